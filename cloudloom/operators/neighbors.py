@@ -142,18 +142,19 @@ def k_nearest(
     rmax: float | None = None,
     metric: str = "l2",
     carry: Sequence[str] = (),
+    keep: Sequence[str] = (),
     budget: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest rows of ``base`` for every row of ``query``.
 
-    Returns ``by..., query_id, nbr_id, distance, rank`` and ``nbr_<col>`` for
-    every column of ``carry``.  Ties are broken by the smaller ``base_id``.
+    Returns ``by..., query_id, nbr_id, distance, rank``, ``nbr_<col>`` for every
+    column of ``carry`` and the query's own columns named in ``keep``.  Ties are broken by the smaller ``base_id``.
     ``exclude_self`` drops the row with the query's own id; ``differ`` keeps
     only rows whose ``differ`` column is not equal to the query's; ``rmax``
     keeps only rows within that distance (closed).  A query with no answer has
     no output row.  ``metric`` is ``l2`` or ``linf``.
     """
-    by, coords, carry = list(by), list(coords), list(carry)
+    by, coords, carry, keep = list(by), list(coords), list(carry), list(keep)
     dims = len(coords)
     need = k + (1 if exclude_self else 0)
     size = max(2 * k, 32)  # base points aimed at per leaf cell
@@ -166,10 +167,10 @@ def k_nearest(
         cols += [F.col(c).cast("double").alias(f"_p{i}") for i, c in enumerate(coords)]
         if differ:
             cols.append(F.col(differ).alias(label))
-        return df.select(*cols, *[F.col(c).alias(f"nbr_{c}") for c in extra])
+        return df.select(*cols, *[F.col(c).alias(name) for c, name in extra])
 
-    b = shape(base, base_id, "_label", carry)
-    q = shape(query, query_id, "_qlabel", [])
+    b = shape(base, base_id, "_label", [(c, f"nbr_{c}") for c in carry])
+    q = shape(query, query_id, "_qlabel", [(c, f"_keep_{c}") for c in keep])
 
     bounds = [F.min(f"_p{i}").alias(f"lo{i}") for i in range(dims)]
     bounds += [F.max(f"_p{i}").alias(f"hi{i}") for i in range(dims)]
@@ -178,7 +179,7 @@ def k_nearest(
         seen = seen.unionByName(q.select(*_axis("_p", dims), F.lit(0).alias("is_base")))
     stat = seen.agg(F.sum("is_base").alias("n"), *bounds).first()
     total = int(stat["n"] or 0)
-    out_schema = _result_schema(b, q, by, query_id, carry, base, metric)
+    out_schema = _result_schema(b, q, by, query_id, carry, keep)
     if total == 0:
         return query.sparkSession.createDataFrame([], out_schema)
     origin = [float(stat[f"lo{i}"]) for i in range(dims)]
@@ -220,22 +221,23 @@ def k_nearest(
     point = ["_id", *_axis("_p", dims)]
     extra = [f"nbr_{c}" for c in carry]
     ask = q.select(*by, h1.alias("_h1"), h2.alias("_h2"), F.lit(0).alias("_role"), *point,
-                   *([F.col("_qlabel").alias("_label")] if differ else []))
+                   *([F.col("_qlabel").alias("_label")] if differ else []), *[f"_keep_{c}" for c in keep])
     offer = pairs.join(b, s.leaf).select(*by, h1.alias("_h1"), h2.alias("_h2"), F.lit(1).alias("_role"), *point,
                                          *(["_label"] if differ else []), *extra)
     rows = ask.unionByName(offer, allowMissingColumns=True)
     rows = rows.repartition("_h1", "_h2").sortWithinPartitions("_h1", "_h2", "_role", "_id")
-    rank = _ranker(dims, k, exclude_self, bool(differ), rmax, metric, by, query_id, extra)
+    rank = _ranker(dims, k, exclude_self, bool(differ), rmax, metric, by, query_id, extra, keep)
     return rows.mapInArrow(rank, out_schema)
 
 
-def _result_schema(b, q, by, query_id, carry, base, metric) -> T.StructType:
+def _result_schema(b, q, by, query_id, carry, keep) -> T.StructType:
     fields = [T.StructField(c, q.schema[c].dataType) for c in by]
     fields.append(T.StructField(query_id, q.schema["_id"].dataType))
     fields.append(T.StructField("nbr_id", b.schema["_id"].dataType))
     fields.append(T.StructField("distance", T.DoubleType()))
     fields.append(T.StructField("rank", T.IntegerType()))
-    fields += [T.StructField(f"nbr_{c}", base.schema[c].dataType) for c in carry]
+    fields += [T.StructField(f"nbr_{c}", b.schema[f"nbr_{c}"].dataType) for c in carry]
+    fields += [T.StructField(c, q.schema[f"_keep_{c}"].dataType) for c in keep]
     return T.StructType(fields)
 
 
@@ -345,7 +347,7 @@ def _to_leaves(s: _Search, cells_df: DataFrame, pyr: DataFrame, gkey: list[str],
     return pairs.select(*gkey, "_lvl", *[F.col(f"{c}_leaf").alias(c) for c in s.cells])
 
 
-def _ranker(dims, k, exclude_self, differ, rmax, metric, by, query_id, extra):
+def _ranker(dims, k, exclude_self, differ, rmax, metric, by, query_id, extra, keep):
     """Rank candidates group by group over rows sorted by group, role and id."""
     limit = None if rmax is None else (rmax if metric == "linf" else rmax * rmax)
 
@@ -399,6 +401,7 @@ def _ranker(dims, k, exclude_self, differ, rmax, metric, by, query_id, extra):
         cols["distance"] = pa.array(val if metric == "linf" else np.sqrt(val))
         cols["rank"] = pa.array(place.astype(np.int32))
         cols |= {c: right.column(c) for c in extra}
+        cols |= {c: left.column(f"_keep_{c}") for c in keep}
         yield from pa.table(cols).combine_chunks().to_batches()
 
     def rank(batches):

@@ -1,0 +1,10 @@
+"""Named queries over the given tables."""
+
+import importlib
+import pkgutil
+
+
+def load_all() -> None:
+    """Import every plan module, which registers its queries."""
+    for module in pkgutil.iter_modules(__path__):
+        importlib.import_module(f"{__name__}.{module.name}")
