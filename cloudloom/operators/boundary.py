@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from cloudloom.functions import geometry as g
 from cloudloom.functions.weights import center_confidence, decay_weight
+from cloudloom.operators.axes import fix_sign
 from cloudloom.operators.neighbors import k_nearest
 
 _TANGENT = T.StructType([T.StructField(n, T.DoubleType()) for n in ("x", "y", "z", "score")])
@@ -147,12 +148,6 @@ def boundary_centers(cands: DataFrame, by: Sequence[str], min_side: int = 4, nor
     return s.select(*head, "tx", "ty", "tz", "tangent_score", conf.alias("confidence"))
 
 
-def fix_sign(v: np.ndarray) -> np.ndarray:
-    """Make the largest-magnitude component of each row positive."""
-    lead = np.take_along_axis(v, np.abs(v).argmax(axis=1)[:, None], axis=1)
-    return v * np.where(lead < 0, -1.0, 1.0)
-
-
 @F.pandas_udf(_TANGENT)
 def _plane_tangent(
     w00: pd.Series, w01: pd.Series, w02: pd.Series, w11: pd.Series, w12: pd.Series, w22: pd.Series,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cloudloom.functions.grid import tile_count
 from cloudloom.operators.graph import components
 from cloudloom.operators.neighbors import k_nearest
+from cloudloom.operators.stats import median
 from cloudloom.session import cut
 
 # Classes that mark a facade after the remap.
@@ -144,11 +145,13 @@ def bisect(points: DataFrame, piece: Sequence[str], budget: int, min_points: int
     key = [*piece, "path"]
     while True:
         stats = out.where("_open").groupBy(*key).agg(
-            F.count("*").alias("_n"), (F.max("x") - F.min("x")).alias("_sx"), (F.max("y") - F.min("y")).alias("_sy"),
-            F.median("x").alias("_mx"), F.median("y").alias("_my"),
+            F.count("*").alias("_n"), (F.max("x") - F.min("x")).alias("_sx"), (F.max("y") - F.min("y")).alias("_sy")
         ).where(F.col("_n") > budget)
-        on_x = F.col("_sx") >= F.col("_sy")
-        stats = stats.select(*key, on_x.alias("_on_x"), F.when(on_x, F.col("_mx")).otherwise(F.col("_my")).alias("_cut"))
+        stats = cut(stats.select(*key, (F.col("_sx") >= F.col("_sy")).alias("_on_x")))
+        if stats.isEmpty():
+            return out.drop("_open")
+        along = out.where("_open").join(stats, key).select(*key, F.when(F.col("_on_x"), F.col("x")).otherwise(F.col("y")).alias("_a"))
+        stats = stats.join(median(along, key, "_a", "_cut"), key)
         trial = out.where("_open").join(stats, key)
         left = F.when(F.col("_on_x"), F.col("x")).otherwise(F.col("y")) <= F.col("_cut")
         sides = trial.groupBy(*key).agg(F.count_if(left).alias("_l"), F.count_if(~left).alias("_r"))
@@ -161,17 +164,22 @@ def bisect(points: DataFrame, piece: Sequence[str], budget: int, min_points: int
         out = cut(moved.withColumn("_open", F.col("_cut").isNotNull()).withColumn("path", F.concat("path", turn)).drop("_on_x", "_cut"))
 
 
-def facade_chunks(points: DataFrame, by: Sequence[str], cell: float = 1.0, budget: int = 1_000_000, min_points: int = 10_000,
-                  facade: Sequence[int] = FACADE_CLASSES) -> DataFrame:
-    """The full facade chunker: a partition of the kept points with ``chunk_idx`` by centroid x."""
+def component_of_points(points: DataFrame, by: Sequence[str], cell: float, facade: Sequence[int] = FACADE_CLASSES) -> DataFrame:
+    """Adds ``label``: the facade component nearest to each point's XY cell (1 if there is none)."""
     placed = with_cells(points, cell, by)
     cells = cut(placed.groupBy(*by, "gx", "gy").agg(F.bool_or(F.col("segment").isin(list(facade))).alias("occ")))
     occupied = cells.where("occ").drop("occ")
     labels = cut(facade_components(occupied, by))
     near = nearest_occupied(cells.where(~F.col("occ")).drop("occ"), occupied, by)
     loose = near.join(labels.withColumnsRenamed({"gx": "near_gx", "gy": "near_gy"}), [*by, "near_gx", "near_gy"]).select(*by, "gx", "gy", "label")
-    every = labels.unionByName(loose.withColumns({c: F.col(c).cast("int") for c in ("gx", "gy")}))
-    owned = placed.join(every, [*by, "gx", "gy"], "left").withColumn("label", F.coalesce("label", F.lit(1))).drop("gx", "gy")
+    every = labels.unionByName(loose)
+    return placed.join(every, [*by, "gx", "gy"], "left").withColumn("label", F.coalesce("label", F.lit(1))).drop("gx", "gy")
+
+
+def facade_chunks(points: DataFrame, by: Sequence[str], cell: float = 1.0, budget: int = 1_000_000, min_points: int = 10_000,
+                  facade: Sequence[int] = FACADE_CLASSES) -> DataFrame:
+    """The full facade chunker: a partition of the kept points with ``chunk_idx`` by centroid x."""
+    owned = cut(component_of_points(points, by, cell, facade))
     size = owned.groupBy(*by, "label").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_points).drop("_n")
     pieces = bisect(owned.join(size, [*by, "label"]), [*by, "label"], budget, min_points)
     key = [*by, "label", "path"]

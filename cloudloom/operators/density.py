@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions.weights import density_bucket
 from cloudloom.operators.neighbors import k_nearest
+from cloudloom.operators.stats import median, quantiles
+from cloudloom.session import cut
 
 
 def knn_density(points: DataFrame, by: Sequence[str], k: int = 10) -> DataFrame:
@@ -20,16 +22,16 @@ def knn_density(points: DataFrame, by: Sequence[str], k: int = 10) -> DataFrame:
 def spacing(points: DataFrame, by: Sequence[str], k: int, default: float = 0.01) -> DataFrame:
     """Median neighbour distance per group; ``default`` for groups with fewer than two points."""
     near = k_nearest(points, points, k, by=by, exclude_self=True)
-    med = near.groupBy(*by).agg(F.median("distance").alias("spacing"))
+    med = median(near, by, "distance", "spacing")
     groups = points.select(*by).distinct()
     return groups.join(med, list(by), "left").withColumn("spacing", F.coalesce("spacing", F.lit(default)))
 
 
 def bucketed(density: DataFrame, by: Sequence[str]) -> DataFrame:
     """Adds ``bucket`` from the 25th and 75th percentile of the group."""
-    cuts = density.groupBy(*by).agg(F.percentile("density", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    out = density.join(cuts, list(by))
-    return out.withColumn("bucket", density_bucket(F.col("density"), F.col("_q")[0], F.col("_q")[1])).drop("_q")
+    density = cut(density)
+    out = density.join(quantiles(density, by, "density", [0.25, 0.75]), list(by))
+    return out.withColumn("bucket", density_bucket(F.col("density"), F.col("q0"), F.col("q1"))).drop("q0", "q1")
 
 
 def _all_buckets(df: DataFrame, by: Sequence[str]) -> DataFrame:

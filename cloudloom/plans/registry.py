@@ -46,8 +46,11 @@ def query(name: str, oracle: str | None = None, views: str = "") -> Callable[[Bu
             with_list = [VIEWS[v] for v in views.split()]
             text = oracle.strip()
             if with_list:
-                rest = text[5:] if text[:5].upper() == "WITH " else None
-                text = "WITH " + ", ".join(with_list) + (", " + rest if rest else " " + text)
+                rest = text[5:].lstrip() if text[:5].upper() == "WITH " else None
+                head = "WITH "
+                if rest and rest.upper().startswith("RECURSIVE "):
+                    head, rest = "WITH RECURSIVE ", rest[10:]
+                text = head + ", ".join(with_list) + (", " + rest if rest else " " + text)
             ORACLES[name] = text
         return fn
 
