@@ -163,3 +163,17 @@ def _plane_tangent(
     score = np.clip(s[:, 2] / (s.sum(axis=1) + 1e-8), 0.0, 1.0)
     score = np.where(s[:, 2] > 1e-8, score, 0.0)
     return pd.DataFrame({"x": lead[:, 0], "y": lead[:, 1], "z": lead[:, 2], "score": score})
+
+
+def fallback_tangents(cands: DataFrame, by: Sequence[str], min_side: int = 4) -> DataFrame:
+    """Tangent from mean surface normal x side normal, for candidates with two full sides."""
+    key = [*by, "point_id"]
+    a, b = _side("label_a", True), _side("label_b", True)
+    cols = [c.alias(f"{t}_{n}") for t, side in (("a", a), ("b", b)) for n, c in side.items() if n in ("n", "d0", "d1", "d2", "snx", "sny", "snz")]
+    s = cands.select(*key, *cols).where((F.col("a_n") >= min_side) & (F.col("b_n") >= min_side))
+    gap = tuple(F.col(f"b_d{i}") / F.col("b_n") - F.col(f"a_d{i}") / F.col("a_n") for i in range(3))
+    s = s.withColumn("separation", g.norm(gap)).where(F.col("separation") >= g.EPS)
+    surface = g.unit_or_zero(tuple(F.col(f"a_sn{c}") + F.col(f"b_sn{c}") for c in "xyz"))
+    s = s.select(*key, *[c.alias(f"_n{x}") for x, c in zip("xyz", g.scale(gap, 1 / F.col("separation")))], *[c.alias(f"_s{x}") for x, c in zip("xyz", surface)])
+    tangent = g.unit_or_zero(g.cross(g.vec("_s"), g.vec("_n")))
+    return s.select(*key, *[c.alias(f"t{x}") for x, c in zip("xyz", tangent)], F.lit(0.3).alias("tangent_score"))

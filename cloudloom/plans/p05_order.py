@@ -38,7 +38,7 @@ def win_max_gap(spark, root):
 def win_gap_split(spark, root):
     from cloudloom.operators.supports import gap_split
 
-    out = gap_split(cluster_members(spark, root), ["cluster_id"], ratio=1.5)
+    out = gap_split(cluster_members(spark, root), ["cluster_id"], ratio=0.4)
     return out.groupBy("cluster_id", "path").agg(F.count("*").alias("n"))
 
 
