@@ -137,13 +137,8 @@ def boundary_centers(cands: DataFrame, by: Sequence[str], min_side: int = 4, nor
     ]
     surface = [(F.col(f"a_sn{a}") + F.col(f"b_sn{a}")) for a in "xyz"] if normals else [F.lit(0.0)] * 3
     s = s.select(*head, *scatter, *[c.alias(f"sn{a}") for a, c in zip("xyz", surface)])
-    s = s.withColumn("_t", _plane_tangent(*[F.col(f"w{i}{j}") for i, j in _MOMENTS], "nx", "ny", "nz"))
-    alt = g.unit_or_zero(g.cross(g.unit_or_zero(g.vec("sn")), g.vec("n")))
-    s = s.select(*head, "_t", *[c.alias(f"_f{a}") for a, c in zip("xyz", alt)])
-    solid = F.col("_t.score") > 0
-    s = s.withColumns({f"t{a}": F.when(solid, F.col(f"_t.{a}")).otherwise(F.col(f"_f{a}")) for a in "xyz"})
-    s = s.withColumn("tangent_score", F.when(solid, F.col("_t.score")).otherwise(0.3))
-    s = s.where(g.norm(g.vec("t")) >= g.EPS)
+    s = s.withColumn("_t", _plane_tangent(*[F.col(f"w{i}{j}") for i, j in _MOMENTS], "nx", "ny", "nz", "snx", "sny", "snz"))
+    s = s.select(*head, *[F.col(f"_t.{a}").alias(f"t{a}") for a in "xyz"], F.col("_t.score").alias("tangent_score")).where("tangent_score > 0")
     conf = center_confidence(F.col("cross_ratio"), F.col("balance"), F.col("separation"), F.col("tangent_score"))
     return s.select(*head, "tx", "ty", "tz", "tangent_score", conf.alias("confidence"))
 
@@ -151,9 +146,13 @@ def boundary_centers(cands: DataFrame, by: Sequence[str], min_side: int = 4, nor
 @F.pandas_udf(_TANGENT)
 def _plane_tangent(
     w00: pd.Series, w01: pd.Series, w02: pd.Series, w11: pd.Series, w12: pd.Series, w22: pd.Series,
-    nx: pd.Series, ny: pd.Series, nz: pd.Series,
+    nx: pd.Series, ny: pd.Series, nz: pd.Series, sx: pd.Series, sy: pd.Series, sz: pd.Series,
 ) -> pd.DataFrame:
-    """Leading direction of a scatter matrix inside the plane across a normal."""
+    """Leading direction of a scatter matrix inside the plane across a normal.
+
+    Where the scatter vanishes: mean surface normal x side normal, score 0.3.
+    A score of 0 means that neither gives a direction.
+    """
     w = np.stack([w00, w01, w02, w01, w11, w12, w02, w12, w22], axis=1).astype(float).reshape(-1, 3, 3)
     n = np.stack([nx, ny, nz], axis=1).astype(float)
     flat = np.eye(3)[None] - n[:, :, None] * n[:, None, :]
@@ -161,7 +160,14 @@ def _plane_tangent(
     s = np.sqrt(np.clip(values, 0.0, None))
     lead = fix_sign(vectors[:, :, 2])
     score = np.clip(s[:, 2] / (s.sum(axis=1) + 1e-8), 0.0, 1.0)
-    score = np.where(s[:, 2] > 1e-8, score, 0.0)
+    surface = np.stack([sx, sy, sz], axis=1).astype(float)
+    surface = surface / np.maximum(np.linalg.norm(surface, axis=1, keepdims=True), 1e-8)
+    other = np.cross(surface, n)
+    size = np.linalg.norm(other, axis=1)
+    solid, spare = s[:, 2] > 1e-8, size >= 1e-8
+    other = other / np.maximum(size, 1e-8)[:, None]
+    lead = np.where(solid[:, None], lead, other)
+    score = np.where(solid, score, np.where(spare, 0.3, 0.0))
     return pd.DataFrame({"x": lead[:, 0], "y": lead[:, 1], "z": lead[:, 2], "score": score})
 
 
@@ -175,5 +181,6 @@ def fallback_tangents(cands: DataFrame, by: Sequence[str], min_side: int = 4) ->
     s = s.withColumn("separation", g.norm(gap)).where(F.col("separation") >= g.EPS)
     surface = g.unit_or_zero(tuple(F.col(f"a_sn{c}") + F.col(f"b_sn{c}") for c in "xyz"))
     s = s.select(*key, *[c.alias(f"_n{x}") for x, c in zip("xyz", g.scale(gap, 1 / F.col("separation")))], *[c.alias(f"_s{x}") for x, c in zip("xyz", surface)])
-    tangent = g.unit_or_zero(g.cross(g.vec("_s"), g.vec("_n")))
+    s = s.select(*key, *[c.alias(f"_k{x}") for x, c in zip("xyz", g.cross(g.vec("_s"), g.vec("_n")))])
+    tangent = g.unit_or_zero(g.vec("_k"))
     return s.select(*key, *[c.alias(f"t{x}") for x, c in zip("xyz", tangent)], F.lit(0.3).alias("tangent_score"))
