@@ -39,7 +39,13 @@ def ls_ce(spark, root):
     return _terms("semantic_only", spark, root, ["loss_ce"])
 
 
-@query("ls_lovasz")
+LOVASZ_SQL = """sm AS (SELECT scene_id, truth, point_id, unnest([exp(v) / list_sum([exp(w) FOR w IN logits]) FOR v IN logits]) AS p, unnest(range(8)) AS c FROM pred WHERE truth >= 0 {w}),
+ er AS (SELECT scene_id, c, point_id, CASE WHEN truth = c THEN 1 ELSE 0 END AS fg, abs(CASE WHEN truth = c THEN 1 ELSE 0 END - p) AS err FROM sm),
+ rk AS (SELECT *, sum(fg) OVER (PARTITION BY scene_id, c) AS g, sum(fg) OVER w AS f, row_number() OVER w AS n FROM er WINDOW w AS (PARTITION BY scene_id, c ORDER BY err DESC, point_id ROWS UNBOUNDED PRECEDING)),
+ pc AS (SELECT scene_id, c, sum(err * (1 - (g - f)/(g + n - f) - CASE WHEN n = 1 THEN 0 ELSE 1 - (g - f + fg)/(g + (n - 1) - (f - fg)) END)) AS loss FROM rk WHERE g > 0 GROUP BY 1, 2)"""
+
+
+@query("ls_lovasz", f"WITH {LOVASZ_SQL.format(w='')} SELECT scene_id, {q6('avg(loss)')} AS lovasz FROM pc GROUP BY 1", "pred")
 def ls_lovasz(spark, root):
     return losses.lovasz(predictions(spark, root), KEY, 8).withColumn("lovasz", r6("lovasz"))
 
@@ -130,7 +136,7 @@ def ls_redesigned(spark, root):
     return _terms("redesigned_support_focus", spark, root, ["loss_ce", "loss_support"])
 
 
-@query("ls_redesigned_focus")
+@query("ls_redesigned_focus", f"WITH {LOVASZ_SQL.format(w='AND support > 0.1')} SELECT scene_id, {q6('avg(loss)')} AS loss_focus FROM pc GROUP BY 1", "pred")
 def ls_redesigned_focus(spark, root):
     """Lovasz term restricted to the boundary region."""
     near = predictions(spark, root).where("support > 0.1")
