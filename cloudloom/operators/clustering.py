@@ -18,6 +18,7 @@ from cloudloom.operators.axes import group_axes, largest_gap, mean_tangent
 from cloudloom.operators.graph import components
 from cloudloom.operators.neighbors import k_nearest
 from cloudloom.operators.pairs import radius_pairs
+from cloudloom.operators.splits import LOCAL_LIMIT, lateral_cut, split_recursively
 from cloudloom.operators.stats import median
 from cloudloom.session import cut
 
@@ -159,28 +160,14 @@ def lateral_gaps(points: DataFrame, keys: Sequence[str], threshold: float, min_p
     return rows, largest_gap(rows, keys, "_lat", F.lit(float(threshold)))
 
 
-def lateral_split(points: DataFrame, keys: Sequence[str], threshold: float, min_points: int, order: str = "center_id") -> DataFrame:
-    """Adds ``path``: the turns taken by splitting each group at lateral gaps until none is left.
+def lateral_split(points: DataFrame, keys: Sequence[str], threshold: float, min_points: int, order: str = "center_id", limit: int = LOCAL_LIMIT) -> DataFrame:
+    """Adds ``path``: the turns of splitting each group at lateral gaps; NULL for fragments below ``min_points``."""
+    def distributed(rows: DataFrame, key: list[str]) -> DataFrame:
+        rows, cuts = lateral_gaps(rows, key, threshold, min_points, order)
+        return rows.join(cuts, key).select(*key, order, (F.col("_lat") < F.col("cut")).alias("_left"))
 
-    Every round splits all groups at once.  Fragments below ``min_points`` get path NULL.
-    """
-    keys = list(keys)
-    out = points.withColumn("path", F.lit(""))
-    todo = out
-    while True:
-        rows, cuts = lateral_gaps(todo, [*keys, "path"], threshold, min_points, order)
-        cuts = cut(cuts)
-        if cuts.isEmpty():
-            return out
-        turn = F.when(F.col("_lat") < F.col("cut"), "0").otherwise("1")
-        moved = rows.join(cuts, [*keys, "path"]).select(*keys, order, F.concat("path", turn).alias("_new"))
-        sizes = moved.groupBy(*keys, "_new").agg(F.count("*").alias("_k"))
-        moved = moved.join(sizes, [*keys, "_new"]).withColumn("_to", F.when(F.col("_k") >= min_points, F.col("_new")))
-        moved = moved.select(*keys, order, "_to", F.lit(True).alias("_hit"))
-        out = out.join(moved, [*keys, order], "left")
-        out = cut(out.withColumn("path", F.when(F.col("_hit"), F.col("_to")).otherwise(F.col("path"))).withColumn("_moved", F.col("_hit")).drop("_hit", "_to"))
-        todo = out.where(F.col("_moved") & F.col("path").isNotNull()).drop("_moved")
-        out = out.drop("_moved")
+    columns = ["x", "y", "z", "tx", "ty", "tz"]
+    return split_recursively(points, keys, order, columns, min_points, distributed, lateral_cut(threshold), limit)
 
 
 def split_parallel(micro: DataFrame, by: Sequence[str], spacing: float, cfg: ClusterConfig) -> DataFrame:
@@ -238,7 +225,7 @@ def merge(micro: DataFrame, by: Sequence[str], spacing: float, cfg: ClusterConfi
     threshold = cfg.split_lateral_scale * spacing
     out = T.StructType([*[micro.schema[c] for c in by], T.StructField("cluster", T.LongType()), T.StructField("root", T.LongType())])
 
-    def decide(key, pts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    def decide(key: tuple, pts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         root = _merge_family(pts, pairs, threshold, cfg.cos_th, cfg.min_cluster_points)
         head = {c: [key[i]] * len(root) for i, c in enumerate(by)}
         return pd.DataFrame({**head, "cluster": list(root), "root": list(root.values())})
@@ -283,19 +270,8 @@ def _has_gap(xyz: np.ndarray, tan: np.ndarray, threshold: float, cos_th: float,
     state = _Directions(cos_th)
     label = np.array([state.place(t) for t in unit])
     for d in range(len(state.total)):
-        p, t = xyz[label == d], unit[label == d]
-        if len(p) < 2 * min_points:
-            continue
-        mean = (t * np.where(t @ t[0] >= 0, 1.0, -1.0)[:, None]).mean(axis=0)
-        if np.linalg.norm(mean) < 1e-9:
-            continue
-        mean = mean / np.linalg.norm(mean)
-        off = p - p.mean(axis=0)
-        lat = off - np.outer(off @ mean, mean)
-        if np.linalg.norm(lat, axis=1).max() < threshold:
-            continue
-        axis = np.linalg.eigh(lat.T @ lat)[1][:, 2]
-        if np.diff(np.sort(lat @ axis)).max() >= threshold:
+        rows = np.hstack([xyz, unit])[label == d]
+        if len(rows) >= 2 * min_points and lateral_cut(threshold)(rows) is not None:
             return True
     return False
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cloudloom.functions import geometry as g
 from cloudloom.operators.axes import group_axes, largest_gap
 from cloudloom.operators.neighbors import k_nearest
+from cloudloom.operators.splits import LOCAL_LIMIT, axial_cut, split_recursively
 from cloudloom.operators.stats import median, pairwise_extent
 from cloudloom.session import cut
 
@@ -56,29 +57,15 @@ def projected(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.withColumn("t", g.dot(g.sub(g.vec(""), g.vec("m")), g.vec("a")))
 
 
-def gap_split(points: DataFrame, keys: Sequence[str], ratio: float = 8.0, min_size: int = 4, ident: str = "center_id") -> DataFrame:
+def gap_split(points: DataFrame, keys: Sequence[str], ratio: float = 8.0, min_size: int = 4, ident: str = "center_id", limit: int = LOCAL_LIMIT) -> DataFrame:
     """Adds ``path``: turns of splitting each cluster at wide gaps along its axis; small fragments are dropped."""
-    keys = list(keys)
-    out = points.withColumn("path", F.lit(""))
-    todo = out
-    while True:
-        key = [*keys, "path"]
-        big = todo.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") >= 2 * min_size).select(*key)
-        rows = cut(todo.join(big, key))
-        if rows.isEmpty():
-            return out
+    def distributed(rows: DataFrame, key: list[str]) -> DataFrame:
         rows = projected(rows, key).join(group_spacing(rows, key, ident), key)
-        cuts = cut(largest_gap(rows, key, "t", F.col("spacing") * ratio))
-        if cuts.isEmpty():
-            return out
-        turn = F.when(F.col("t") < F.col("cut"), "0").otherwise("1")
-        moved = rows.join(cuts, key).select(*keys, ident, F.concat("path", turn).alias("_to"))
-        sizes = moved.groupBy(*keys, "_to").agg((F.count("*") >= min_size).alias("_keep"))
-        moved = moved.join(sizes, [*keys, "_to"])
-        out = out.join(moved, [*keys, ident], "left").where(F.coalesce("_keep", F.lit(True)))
-        out = cut(out.withColumn("_moved", F.col("_to").isNotNull()).withColumn("path", F.coalesce("_to", "path")).drop("_to", "_keep"))
-        todo = out.where("_moved").drop("_moved")
-        out = out.drop("_moved")
+        cuts = largest_gap(rows, key, "t", F.col("spacing") * ratio)
+        return rows.join(cuts, key).select(*key, ident, (F.col("t") < F.col("cut")).alias("_left"))
+
+    out = split_recursively(points, keys, ident, ["x", "y", "z"], min_size, distributed, axial_cut(ratio), limit)
+    return out.where(F.col("path").isNotNull())
 
 
 def fit_lines(points: DataFrame, keys: Sequence[str]) -> DataFrame:
