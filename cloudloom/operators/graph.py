@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cloudloom.session import cut
 
 
-def components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+LOCAL_EDGES = 50_000
+
+
+def components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = (), local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(by..., node, component): the smallest node id reachable from each node.
 
     Large-star / small-star rounds: every round links each node to the smallest
@@ -21,6 +27,8 @@ def components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> Da
     e = edges.select(*by, F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v")
     e = cut(e.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _fingerprint(e, by)
+    if 0 < seen["n"] <= local_edges:
+        return _attach(nodes, _small(e, by), by)
     while seen["n"]:
         both = e.unionByName(e.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*by, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -35,10 +43,37 @@ def components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> Da
         if now == seen:
             break
         seen = now
-    root = e.groupBy(*by, F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return _attach(nodes, e.groupBy(*by, F.col("u").alias("node")).agg(F.min("v").alias("component")), by)
+
+
+def _attach(nodes: DataFrame, root: DataFrame, by: list[str]) -> DataFrame:
     return nodes.join(root, [*by, "node"], "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def _small(e: DataFrame, by: list[str]) -> DataFrame:
+    """A counted, small edge set: each group finishes inside one Arrow batch."""
+    shape = T.StructType([*[e.schema[c] for c in by], T.StructField("node", e.schema["u"].dataType), T.StructField("component", e.schema["v"].dataType)])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        u, v = pdf["u"].to_numpy(), pdf["v"].to_numpy()
+        names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        a, b = at[: len(u)], at[len(u) :]
+        label = np.arange(len(names))
+        while True:
+            low = np.minimum(label[a], label[b])
+            nxt = label.copy()
+            np.minimum.at(nxt, a, low)
+            np.minimum.at(nxt, b, low)
+            nxt = nxt[nxt]
+            if (nxt == label).all():
+                break
+            label = nxt
+        head = {c: [key[i]] * len(names) for i, c in enumerate(by)}
+        return pd.DataFrame({**head, "node": names, "component": names[label]})
+
+    return e.groupBy(*by).applyInPandas(run, shape)
+
+
 def _fingerprint(e: DataFrame, by: Sequence[str]):
     """Count and two order-free hashes of an edge set: equal iff a round changed nothing."""
     h = F.xxhash64(*by, "u", "v")

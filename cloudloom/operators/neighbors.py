@@ -31,6 +31,7 @@ from cloudloom.session import cut
 _FINEST = 30  # bits per axis of the finest cell index
 _SLACK = 1.0 + 1e-9  # keeps box bounds on the safe side of float rounding
 _QUERIES_PER_TASK = 2048
+SMALL_BASE = 4096  # up to this many base rows a group's whole base is its candidate list
 
 
 def _axis(prefix: str, dims: int) -> list[str]:
@@ -144,6 +145,7 @@ def k_nearest(
     carry: Sequence[str] = (),
     keep: Sequence[str] = (),
     budget: int | None = None,
+    small_base: int = SMALL_BASE,
 ) -> DataFrame:
     """The ``k`` nearest rows of ``base`` for every row of ``query``.
 
@@ -177,11 +179,18 @@ def k_nearest(
     seen = b.select(*_axis("_p", dims), F.lit(1).alias("is_base"))
     if not same:
         seen = seen.unionByName(q.select(*_axis("_p", dims), F.lit(0).alias("is_base")))
-    stat = seen.agg(F.sum("is_base").alias("n"), *bounds).first()
+    stat = seen.agg(F.sum("is_base").alias("n"), F.count("*").alias("rows"), *bounds).first()
     total = int(stat["n"] or 0)
+    extra = [f"nbr_{c}" for c in carry]
+    rank = _ranker(dims, k, exclude_self, bool(differ), rmax, metric, by, query_id, extra, keep)
     out_schema = _result_schema(b, q, by, query_id, carry, keep)
     if total == 0:
         return query.sparkSession.createDataFrame([], out_schema)
+    if total <= small_base:
+        parts = max(1, math.ceil(int(stat["rows"]) / _QUERIES_PER_TASK))
+        q = q.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(parts)).cast("int"))
+        b = b.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        return _ranked(q, b, by, [*by, "_part"], dims, bool(differ), keep, extra).mapInArrow(rank, out_schema)
     origin = [float(stat[f"lo{i}"]) for i in range(dims)]
     extent = max(float(stat[f"hi{i}"]) - origin[i] for i in range(dims)) * _SLACK or 1.0
     level = max(0, min(_FINEST, round(math.log(max(total / size, 1.0), 2**dims))))
@@ -215,19 +224,19 @@ def k_nearest(
         share = groups.groupBy(*unit).agg(F.ceil(F.sum("_nq") / F.lit(_QUERIES_PER_TASK)).cast("int").alias("_parts"))
         q = q.join(share, unit).withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
         pairs = pairs.join(share, unit).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    unit = [*unit, "_part"]
-    h1, h2 = F.xxhash64(*unit), F.xxhash64(F.lit(17), *unit)
+    offer = pairs.join(b, s.leaf)
+    return _ranked(q, offer, by, [*unit, "_part"], dims, bool(differ), keep, extra).mapInArrow(rank, out_schema)
+
 
+def _ranked(q: DataFrame, offer: DataFrame, by, unit, dims: int, differ: bool, keep, extra) -> DataFrame:
+    """Queries and candidates of each unit side by side, sorted for the ranker."""
+    h1, h2 = F.xxhash64(*unit), F.xxhash64(F.lit(17), *unit)
     point = ["_id", *_axis("_p", dims)]
-    extra = [f"nbr_{c}" for c in carry]
-    ask = q.select(*by, h1.alias("_h1"), h2.alias("_h2"), F.lit(0).alias("_role"), *point,
-                   *([F.col("_qlabel").alias("_label")] if differ else []), *[f"_keep_{c}" for c in keep])
-    offer = pairs.join(b, s.leaf).select(*by, h1.alias("_h1"), h2.alias("_h2"), F.lit(1).alias("_role"), *point,
-                                         *(["_label"] if differ else []), *extra)
+    head = [*by, h1.alias("_h1"), h2.alias("_h2")]
+    ask = q.select(*head, F.lit(0).alias("_role"), *point, *([F.col("_qlabel").alias("_label")] if differ else []), *[f"_keep_{c}" for c in keep])
+    offer = offer.select(*head, F.lit(1).alias("_role"), *point, *(["_label"] if differ else []), *extra)
     rows = ask.unionByName(offer, allowMissingColumns=True)
-    rows = rows.repartition("_h1", "_h2").sortWithinPartitions("_h1", "_h2", "_role", "_id")
-    rank = _ranker(dims, k, exclude_self, bool(differ), rmax, metric, by, query_id, extra, keep)
-    return rows.mapInArrow(rank, out_schema)
+    return rows.repartition("_h1", "_h2").sortWithinPartitions("_h1", "_h2", "_role", "_id")
 
 
 def _result_schema(b, q, by, query_id, carry, keep) -> T.StructType:
