@@ -57,7 +57,7 @@ def plane(points: DataFrame, by: Sequence[str], threshold: float = 0.02, iterati
 
     by = list(by)
     order = F.xxhash64(F.col("point_id"), F.lit(seed))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(order, "point_id")
+    w = Window.partitionBy(*by).orderBy(order, "point_id")
     drawn = points.select(*by, "point_id", *XYZ).withColumn("_r", F.row_number().over(w) - 1).where(F.col("_r") < 3 * iterations)
     drawn = drawn.withColumn("_plane", F.floor(F.col("_r") / 3)).withColumn("_corner", F.col("_r") % 3)
     corners = [F.max(F.when(F.col("_corner") == i, F.struct(*XYZ))).alias(f"p{i}") for i in range(3)]
@@ -71,13 +71,13 @@ def plane(points: DataFrame, by: Sequence[str], threshold: float = 0.02, iterati
     def hit(t):
         return F.when(F.abs(t["nx"] * F.col("x") + t["ny"] * F.col("y") + t["nz"] * F.col("z") - t["_off"]) <= threshold, t["_plane"])
 
-    near = points.join(F.broadcast(fan), by) if by else points.join(fan)
+    near = points.join(fan, by)
     votes = near.select(*by, F.explode(F.filter(F.transform("_t", hit), lambda v: v.isNotNull())).alias("_plane"))
     score = votes.groupBy(*by, "_plane").agg(F.count("*").alias("_k"))
     best = score.groupBy(*by).agg(F.max_by("_plane", F.struct("_k", (-F.col("_plane")).alias("f"))).alias("_plane"))
     chosen = trial.join(best, [*by, "_plane"]).select(*by, "nx", "ny", "nz", "_off")
     chosen = chosen.withColumnsRenamed({f"n{a}": f"_b{a}" for a in "xyz"})
-    kept = points.join(chosen, by) if by else points.join(chosen)
+    kept = points.join(chosen, by)
     inlier = F.abs(F.col("_bx") * F.col("x") + F.col("_by") * F.col("y") + F.col("_bz") * F.col("z") - F.col("_off")) <= threshold
     return kept.where(inlier).drop("_bx", "_by", "_bz", "_off")
 

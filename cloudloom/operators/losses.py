@@ -310,14 +310,17 @@ def patch_pairs(df: DataFrame, size: int = 48, position: str = "point_id") -> Da
     n(n-1) - (|sum u|^2 - sum |u|^2), so no pair is formed.
     """
     unit = g.unit_floor(g.vec("v"), 1e-6)
-    total = df.agg(F.count("*").alias("_total"))
-    rows = df.select(F.col(position).alias("_p"), "truth", *[c.alias(f"u{a}") for a, c in zip("xyz", unit)]).join(total)  # one aggregate row
-    rows = rows.where(F.col("_p") < F.floor(F.col("_total") / size) * size).withColumn("patch", F.floor(F.col("_p") / size))
-    sums = rows.where("truth >= 0").groupBy("patch", "truth").agg(
+    rows = df.select(F.floor(F.col(position) / size).alias("patch"), "truth", *[c.alias(f"u{a}") for a, c in zip("xyz", unit)])
+    sums = rows.groupBy("patch", "truth").agg(
         F.count("*").alias("n"), *[F.sum(f"u{a}").alias(f"u{a}") for a in "xyz"], F.sum(g.dot(g.vec("u"), g.vec("u"))).alias("uu")
     )
     loss = F.col("n") * (F.col("n") - 1) - (g.dot(g.vec("u"), g.vec("u")) - F.col("uu"))
-    return sums.where("n > 1").groupBy("patch").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"), F.sum(loss).alias("loss_sum"))
+    pairs, used = F.col("n") * (F.col("n") - 1), (F.col("truth") >= 0) & (F.col("n") > 1)
+    out = sums.groupBy("patch").agg(
+        F.sum("n").alias("_rows"), F.sum(F.when(used, pairs)).alias("pairs"), F.sum(F.when(used, loss)).alias("loss_sum")
+    )
+    # the incomplete last patch is left out
+    return out.where((F.col("_rows") == size) & F.col("pairs").isNotNull()).drop("_rows")
 
 
 def local_consistency(df: DataFrame, size: int = 48) -> DataFrame:

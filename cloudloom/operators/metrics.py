@@ -69,7 +69,10 @@ def batch_mean(df: DataFrame, classes: int) -> DataFrame:
     mean = summary(counts, ["batch_id"]).agg(F.avg("miou").alias("mean_of_batches"))
     pooled_counts = counts.groupBy("class_id").agg(*[F.sum(c).alias(c) for c in ("intersection", "union_n", "target")])
     pooled = summary(pooled_counts, []).select(F.col("miou").alias("pooled"))
-    return mean.join(pooled)  # both sides are single aggregate rows
+    both = mean.select("mean_of_batches", F.lit(None).cast("double").alias("pooled")).unionByName(
+        pooled.select(F.lit(None).cast("double").alias("mean_of_batches"), "pooled")
+    )
+    return both.agg(F.max("mean_of_batches").alias("mean_of_batches"), F.max("pooled").alias("pooled"))
 
 
 def boundary_metrics(df: DataFrame, keys: Sequence[str], classes: int, threshold: float, support: str = "support") -> DataFrame:

@@ -74,8 +74,8 @@ def drift(raw: DataFrame, final: DataFrame) -> DataFrame:
     """Share change per class between raw points (VOID left out, shifted down) and kept voxels."""
     r = raw.where("class_id > 0").select((F.col("class_id") - 1).alias("class_id"), F.col("n").alias("nr"))
     both = r.join(final.select("class_id", F.col("n").alias("nf")), "class_id", "full").fillna(0, ["nr", "nf"])
-    total = both.agg(F.sum("nr").alias("tr"), F.sum("nf").alias("tf"))
-    out = both.join(total)  # one aggregate row
+    packed = both.agg(F.sum("nr").alias("tr"), F.sum("nf").alias("tf"), F.collect_list(F.struct("class_id", "nr", "nf")).alias("_c"))
+    out = packed.select("tr", "tf", F.inline("_c"))  # one entry per class
     d = F.when((F.col("tr") > 0) & (F.col("tf") > 0), F.abs(F.col("nf") / F.nullif("tf", F.lit(0)) - F.col("nr") / F.nullif("tr", F.lit(0))))
     level = F.when(d > DRIFT_FAIL, "HARD FAIL").when(d > DRIFT_WARN, "WARN")
     return out.select("class_id", d.alias("drift"), level.alias("level"))

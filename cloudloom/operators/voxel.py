@@ -48,6 +48,12 @@ def zero_filled_histogram(df: DataFrame, cls: Column, classes: int, keys: Sequen
     return wide.select(*keys, F.posexplode(packed).alias("class_id", "n"))
 
 
+def roll_up(hist: DataFrame, sample: str, cls: str, count: str) -> DataFrame:
+    """Class counts per sample and over all samples (``all_samples`` = 1)."""
+    sets = hist.groupingSets([[sample, cls], [cls]], sample, cls)
+    return sets.agg(F.sum(count).alias("n"), F.grouping(sample).cast("bigint").alias("all_samples"))
+
+
 def bounding_box(df: DataFrame, keys: Sequence[str], coords=("x", "y", "z")) -> DataFrame:
     aggs = [F.min(c).alias(f"{c}_min") for c in coords] + [F.max(c).alias(f"{c}_max") for c in coords]
     return df.groupBy(*keys).agg(F.count("*").alias("n"), *aggs)

@@ -98,10 +98,7 @@ def agg_density_global(spark, root):
 )
 def agg_dataset_stats(spark, root):
     per_sample = lattice_points(spark, root).groupBy("sample", "c").agg(F.count("*").alias("m"))
-    per_sample.createOrReplaceTempView("cloudloom_sample_hist")
-    return spark.sql(
-        "SELECT sample, c, sum(m) AS n, CAST(grouping(sample) AS BIGINT) AS all_samples FROM cloudloom_sample_hist GROUP BY GROUPING SETS ((sample, c), (c))"
-    )
+    return voxel.roll_up(per_sample, "sample", "c", "m")
 
 
 @query(
