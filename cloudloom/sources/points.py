@@ -154,7 +154,7 @@ def restructure(rooms: DataFrame) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """log, line_no, value.  A log file is one unsplit record, so line numbers need no sort."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("log"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("log"), "value")
     return files.select("log", F.posexplode(F.split("value", "\n")).alias("line_no", "value")).where("value <> ''")
 
 
