@@ -38,7 +38,7 @@ def _axis(prefix: str, dims: int) -> list[str]:
     return [f"{prefix}{i}" for i in range(dims)]
 
 
-def _cell_at(fine: str, level: Column) -> Column:
+def _cell_at(fine: str, level: str | int) -> Column:
     return F.expr(f"shiftright({fine}, {_FINEST} - {level})")
 
 
@@ -193,9 +193,15 @@ def k_nearest(
         return _ranked(q, b, by, [*by, "_part"], dims, bool(differ), keep, extra).mapInArrow(rank, out_schema)
     origin = [float(stat[f"lo{i}"]) for i in range(dims)]
     extent = max(float(stat[f"hi{i}"]) - origin[i] for i in range(dims)) * _SLACK or 1.0
-    level = max(0, min(_FINEST, round(math.log(max(total / size, 1.0), 2**dims))))
-
-    b = s.locate(b, origin, extent, level)
+    # scans cover surfaces: pick the level by how many cells are really occupied
+    lowest = max(0, min(_FINEST - 5, round(math.log(max(total / size, 1.0), 2**dims)) - 1))
+    b = s.locate(b, origin, extent, lowest)
+    levels = range(lowest, lowest + 5)
+    occupied = b.agg(*[
+        F.approx_count_distinct(F.xxhash64(*by, *[_cell_at(f"_f{i}", v) for i in range(dims)])).alias(str(v)) for v in levels
+    ]).first()
+    level = min(levels, key=lambda v: abs(math.log(total / max(occupied[str(v)], 1) / size)))
+    b = s.rebin(b.withColumn("_lvl", F.lit(level)))
     q = s.locate(q, origin, extent, level)
     pyr = cut(s.pyramid(b))
     uneven = not pyr.where(F.col("_is_leaf") & (F.col("_n") > s.budget)).isEmpty()
