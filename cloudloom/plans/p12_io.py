@@ -207,3 +207,11 @@ def snk_state(spark, root):
 
     o = table(spark, root, "orders").select(F.col("o_orderkey").alias("sample"), "o_orderstatus")
     return merge_state(o.select("sample", F.lit("partial").alias("status")), o.where("o_orderstatus = 'F'").select("sample", F.lit("done").alias("status")))
+
+
+@query("src_scene_npy", f"SELECT CAST(point_id // 4096 AS VARCHAR) AS scene, point_id % 4096 AS point_id, {q6('CAST(x AS FLOAT)', 5)} AS x, {q6('CAST(z AS FLOAT)', 5)} AS z, segment FROM pts", "pts")
+def src_scene_npy(spark, root):
+    """The scan written as array files of 4096 points each and read back."""
+    blocks = scan_points(spark, root).withColumn("block", F.floor(F.col("point_id") / 4096))
+    out = src.decode_scenes(src.encode_scenes(blocks.select("block", "point_id", "x", "y", "z", "segment"), "block"))
+    return out.select("scene", "point_id", r6("x", 5).alias("x"), r6("z", 5).alias("z"), "segment")

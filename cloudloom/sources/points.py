@@ -110,14 +110,35 @@ def paired(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
 
 
 def read_scenes(spark: SparkSession, path: str) -> DataFrame:
-    """Scene folders of row-aligned .npy arrays -> scene, point_id, x, y, z, segment.
-
-    Each task decodes whole files, so the file size bounds its memory; the
-    arrays of a scene are joined on position.
-    """
+    """Scene folders of row-aligned .npy arrays -> scene, point_id, x, y, z, segment."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npy").load(path)
     files = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("scene"), F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("field"), "content")
+    return decode_scenes(files)
+
+
+def encode_scenes(points: DataFrame, scene: str) -> DataFrame:
+    """(scene, field, content): the .npy bytes of coord and segment, rows in id order.
+
+    A file is one group, so scenes have to be of file size (chunks, blocks).
+    """
+    def pack(arr: np.ndarray) -> bytes:
+        out = io.BytesIO()
+        np.save(out, arr, allow_pickle=False)
+        return out.getvalue()
 
+    def encode(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("point_id")
+        coord = pack(pdf[["x", "y", "z"]].to_numpy("float32"))
+        return pd.DataFrame({"scene": [str(key[0])] * 2, "field": ["coord", "segment"], "content": [coord, pack(pdf["segment"].to_numpy("int32"))]})
+
+    return points.groupBy(scene).applyInPandas(encode, "scene string, field string, content binary")
+
+
+def decode_scenes(files: DataFrame) -> DataFrame:
+    """Decodes (scene, field, content) rows and joins the arrays of a scene on position.
+
+    Each task decodes whole files, so the file size bounds its memory.
+    """
     def decode(names: list[str], width: int, field: str):
         def run(batches):
             for pdf in batches:
