@@ -36,9 +36,9 @@ _MULTIPLY = _RANDOM.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) << U(1)
 _ADD = _RANDOM.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 
 
-def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts: list[bytes], size: int = SHINGLE, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's shingles (repeats kept), and where each text's begin."""
-    w = Words(texts)
+    w = Words(texts, lower)
     n = w.counts()
     h = runs(w.hash, size)
     inside = run_starts(w.first, size)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import decontaminate, extract, fingerprints, language, mixing, quality, tokens
+from cloudloom.llm import decontaminate, extract, fingerprints, jaccard, language, mixing, quality, substrings, tokens
 from cloudloom.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = quality.score(docs.select("doc_id", "text"), quality.learn_from(docs, labels))
     return found.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op9_substring_dedup", substrings.SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_words(table(spark, sf_dir, "documents"))
+
+
+@query("op8_jaccard_join", jaccard.SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.group(table(spark, sf_dir, "documents"))
