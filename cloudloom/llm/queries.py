@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import decontaminate, extract, fingerprints, jaccard, language, mixing, quality, substrings, tokens
+from cloudloom.llm import bytespans, decontaminate, extract, fingerprints, jaccard, language, mixing, quality, substrings, tokens
 from cloudloom.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_jaccard_join", jaccard.SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.group(table(spark, sf_dir, "documents"))
+
+
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytespans.dedup_bytes(table(spark, sf_dir, "documents"))
