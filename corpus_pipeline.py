@@ -1,8 +1,73 @@
-"""The corpus pipeline; stages follow."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
-STAGES = []
+1. language_id      rejects texts in no known language (null, or without any letter)
+2. jaccard_join     of each group of documents linked by shingle overlap, only the smallest id stays
+3. decontamination  documents that hold a benchmark window go
+4. mixing           documents are taken as often as the source mix says
+5. token_files      token ids in wavelet matrix shards; the result is read back from them
+
+Every stage returns the columns of ``documents``, the last (doc_id, start, n_tokens, ids_crc32). Documents without an id
+are kept by the filters; rows of equal id count as one document in stage 2, and one of them stays. Empty tables pass.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cloudloom.llm import decontaminate, jaccard, language, mixing, tokens
+from cloudloom.llm.common import keep, ship, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = language.identify(docs, language.learn_from(docs))
+    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = keep(jaccard.group(docs).where("doc_id IS NOT NULL").select("doc_id", "component_id"), "pipeline-groups")
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    out = docs.join(gone, "doc_id", "left_anti")
+    several = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not several.isEmpty():
+        out = out.join(several, "doc_id", "left_anti").unionByName(out.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return out.select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.where("NOT contaminated").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = mixing.mix(docs).where("copies > 0")
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return tokens.encode_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("jaccard_join", jaccard_join),
+    ("decontamination", decontamination),
+    ("mixing", mix_sources),
+    ("token_files", token_files),
+]
+
+#: The first stage is a learned model, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to the ``documents`` of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
