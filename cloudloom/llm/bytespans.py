@@ -30,13 +30,15 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
-from cloudloom.llm.common import GROUP_BYTES, keep
+from cloudloom.llm.common import keep
 from cloudloom.llm.exchange import Groups, answered, below, bounds, firsts, told_in_order
 from cloudloom.llm.suffixes import repeated
 from cloudloom.llm.text import U, _tables, cover, mix, prefix_sums, run_starts
 
 SIZE, GRAM = 200, 100
 PIECE = 1 << 20
+#: Half of what the word operators take: a group holds its anchors and spans beside its texts.
+GROUP_BYTES = 6_000_000
 CROWD = 1_000
 SORT_BYTES = 2_000_000
 ALONE, WHOLE, SENT, WHOLE_SENT, CROWDED, WHOLE_CROWDED = range(6)

@@ -55,11 +55,18 @@ class Groups:
         return self._run(lambda g, docs, told: work(*load(docs), g, told), schema, answers)
 
     def _run(self, run: Callable, schema: str, answers: DataFrame | None) -> DataFrame:
-        if answers is None:
-            return self.docs.groupBy("g").applyInArrow(lambda key, docs: run(key[0].as_py(), docs, None), schema)
+        def alone(key: tuple, docs: pa.Table) -> pa.Table:
+            out = run(key[0].as_py(), docs, None)
+            pa.default_memory_pool().release_unused()
+            return out
 
         def both(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
-            return run(key[0].as_py(), docs, told)
+            out = run(key[0].as_py(), docs, told)
+            pa.default_memory_pool().release_unused()
+            return out
+
+        if answers is None:
+            return self.docs.groupBy("g").applyInArrow(alone, schema)
 
         return self.docs.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(both, schema)
 
