@@ -41,6 +41,7 @@ SHARE = 85  # hundredths of the union
 BLOCK = 1_000
 MU = 0.0085  # weight of the logarithm when the number of long lists is chosen
 BIN_BYTES = 4_000_000
+SALTS = 16
 
 
 def least_overlap(n: int) -> int:
@@ -384,8 +385,12 @@ def group(docs: DataFrame, size: int = SHINGLE, block: int = BLOCK, group_bytes:
     """(doc_id, n_shingles, component_id) of every row."""
     groups = Groups(docs, group_bytes)
     rows = keep(groups.rows.mapInArrow(classify(size), "g long, doc_id long, n long, sig binary"), "jaccard-classes")
-    names = rows.where("doc_id IS NOT NULL AND sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    known = keep(rows.join(names, "sig", "left"), "jaccard-named")
+    # only repeated sets need a name from elsewhere; a salt spreads the copies of a hot set over the join's tasks
+    filled = rows.where("doc_id IS NOT NULL AND sig IS NOT NULL")
+    names = filled.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
+    salted = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = rows.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(salted, ["sig", "salt"], "left").drop("salt")
+    known = keep(named.withColumn("rep", F.when(F.col("sig").isNotNull() & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))), "jaccard-named")
     stands = known.where("doc_id = rep").select("g", F.lit(-1).cast("long").alias("bucket"), F.col("sig").alias("a"), _le_bytes("doc_id").alias("b")).distinct()
     counts = answered(groups.ask(ask_counts(groups.bits, size), stands), answer_counts)
     found = keep(groups.each(candidates(groups.bits, size), _CANDIDATES_DDL, counts.unionByName(stands)), "jaccard-candidates")
