@@ -84,17 +84,21 @@ def count_bins(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
-def train(labelled: DataFrame, per_class: int = PER_CLASS, learn_bytes: int = LEARN_BYTES) -> Model:
-    """Fit on (doc_id, text, label), label 0 or 1."""
-    known = labelled.where("doc_id IS NOT NULL AND label IN (0, 1)").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    up, down = count_bins(known)
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, learn_bytes: int = LEARN_BYTES) -> Model:
+    """Fit on documents (doc_id, text) and their labels (doc_id, label), label 0 or 1. Texts move once, for the counts."""
+    known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").select(F.col("doc_id").alias("of"), F.col("label").cast("int").alias("label"))
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    match = F.col("doc_id") == F.col("of")
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    up, down = count_bins(texts.join(known, match).select("text", "label"))
     ratio = np.log((up + SMOOTH) / (up + SMOOTH).sum()) - np.log((down + SMOOTH) / (down + SMOOTH).sum())
-    key = F.md5(F.concat(F.lit("quality|"), F.col("doc_id").cast("string")).cast("binary"))
-    few = known.select("label", key.alias("key"), F.substring("text", 1, learn_bytes).alias("text")).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64)))
+    few = known.withColumn("key", F.md5(F.concat(F.lit("quality|"), F.col("of").cast("string")).cast("binary"))).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64)))
     for part in (["label", "salt"], ["label"]):
-        few = few.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy("key", "text"))).where(F.col("rank") <= per_class)
-    rows = sorted((r["label"], r["text"].encode()[:learn_bytes]) for r in few.select("label", "text").collect())
+        few = few.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy("key"))).where(F.col("rank") <= per_class)
+    # at most 2 * per_class ids
+    drawn = texts.join(F.broadcast(few.select("of", "label", "key")), match).select("label", "key", F.substring("text", 1, learn_bytes).alias("text"))
+    drawn = drawn.orderBy("key", "text").limit(4 * per_class)
+    rows = sorted((r["label"], r["text"].encode()[:learn_bytes]) for r in drawn.collect())
     label = np.array([1.0 if r[0] else -1.0 for r in rows])
     if len(set(label)) < 2:
         share = 0.5 if not len(label) else float(label[0] > 0)
@@ -129,5 +133,5 @@ def held_out(col: str = "doc_id"):
 
 def learn_from(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """The model of the learning folds: text and label of rows that are not held out."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).select(F.col("doc_id").alias("of"), F.col(label).alias("label"))
-    return train(docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("of")).select("doc_id", "text", "label"))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).select("doc_id", F.col(label).alias("label"))
+    return train(docs.where(~held_out()), known)
