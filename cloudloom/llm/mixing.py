@@ -25,7 +25,7 @@ from cloudloom.llm.common import keep
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
 SEED = "mix-1"
-BUCKETS = 65_536
+BUCKETS = 4_096
 SALTS = 16
 WORD = r"[^\x20\x09-\x0D]+"
 
