@@ -31,11 +31,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _sized(docs: DataFrame, seed: str) -> DataFrame:
-    """Own columns only: _id, _source, _size and _u in (0, 1)."""
+    """Own columns only: __id, __source, __size and __u in (0, 1)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     mark = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|"), F.md5(text)).cast("binary"))
     u = (F.conv(F.substring(mark, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
-    return docs.withColumns({"_size": F.regexp_count(text, F.lit(WORD)).cast("long"), "_u": u})
+    return docs.withColumns({"__size": F.regexp_count(text, F.lit(WORD)).cast("long"), "__u": u})
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -60,47 +60,47 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
 
 def _rank() -> object:
     """Random odds over inclusion odds, as a number in (0, 1) that rises with it."""
-    odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("part") / (1 - F.col("part")))
+    odds = (F.col("__u") / (1 - F.col("__u"))) / (F.col("part") / (1 - F.col("part")))
     return odds / (1 + odds)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
     """All columns of ``docs`` and size, source_size, target, copies, taken."""
     sized = _sized(docs.select("doc_id", "text", F.col("source").alias("source")), seed)
-    compact = keep(sized.select("source", "_size", "_u"), "mix")
-    per = targets(compact.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, share, cap)
+    compact = keep(sized.select("source", "__size", "__u"), "mix")
+    per = targets(compact.groupBy("source").agg(F.sum("__size").alias("source_size")), weights, share, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     per = per.withColumn("whole", F.floor(ratio)).withColumn("part", ratio - F.floor(ratio))
     per = per.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     per = keep(per, "mix-targets")
 
-    salted = per.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    ranked = compact.withColumn("_salt", F.pmod(F.hash("_u"), F.lit(SALTS))).alias("c").join(
-        salted.alias("p"), F.expr("c.source <=> p.source AND c._salt = p._salt")).where("part > 0 AND _size > 0").select("c.source", "_size", "_u", "part", "rest")
-    ranked = ranked.withColumn("_rank", _rank()).withColumn("_bucket", F.least(F.floor(F.col("_rank") * buckets), F.lit(buckets - 1)))
-    sums = ranked.groupBy("source", "_bucket").agg(F.sum("_size").alias("b"), F.max("rest").alias("rest"))
-    up = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    salted = per.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    ranked = compact.withColumn("__salt", F.pmod(F.hash("__u"), F.lit(SALTS))).alias("c").join(
+        salted.alias("p"), F.expr("c.source <=> p.source AND c.__salt = p.__salt")).where("part > 0 AND __size > 0").select("c.source", "__size", "__u", "part", "rest")
+    ranked = ranked.withColumn("__rank", _rank()).withColumn("__bucket", F.least(F.floor(F.col("__rank") * buckets), F.lit(buckets - 1)))
+    sums = ranked.groupBy("source", "__bucket").agg(F.sum("__size").alias("b"), F.max("rest").alias("rest"))
+    up = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("b").over(up), F.lit(0)))
-    edge = sums.where("before < rest AND before + b >= rest").select(F.col("source").alias("s"), F.col("_bucket").alias("k"), "before")
+    edge = sums.where("before < rest AND before + b >= rest").select(F.col("source").alias("s"), F.col("__bucket").alias("k"), "before")
     # rows that share a random number are one step of the order
-    steps = ranked.join(edge, F.expr("source <=> s AND _bucket = k")).groupBy("source", "_rank", "_u").agg(F.sum("_size").alias("b"), F.max("before").alias("before"), F.max("rest").alias("rest"))
-    near = Window.partitionBy("source").orderBy("_rank", "_u").rowsBetween(Window.unboundedPreceding, -1)
+    steps = ranked.join(edge, F.expr("source <=> s AND __bucket = k")).groupBy("source", "__rank", "__u").agg(F.sum("__size").alias("b"), F.max("before").alias("before"), F.max("rest").alias("rest"))
+    near = Window.partitionBy("source").orderBy("__rank", "__u").rowsBetween(Window.unboundedPreceding, -1)
     steps = steps.withColumn("before", F.col("before") + F.coalesce(F.sum("b").over(near), F.lit(0)))
-    cut = steps.groupBy("source").agg(F.max(F.when(2 * F.col("before") + F.col("b") <= 2 * F.col("rest"), F.col("_u"))).alias("last"), F.min("_u").alias("first"))
-    # within a source the rank rises with _u, so the order's head is a range of _u; no step taken: all before the bucket
+    cut = steps.groupBy("source").agg(F.max(F.when(2 * F.col("before") + F.col("b") <= 2 * F.col("rest"), F.col("__u"))).alias("last"), F.min("__u").alias("first"))
+    # within a source the rank rises with __u, so the order's head is a range of __u; no step taken: all before the bucket
     cut = cut.select(F.col("source").alias("s"), F.col("last").alias("upto"), F.col("first").alias("under"))
-    facts = keep(per.join(cut, F.expr("source <=> s"), "left").drop("s").withColumnsRenamed({"source": "_s"}), "mix-cuts")
-    facts = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    facts = keep(per.join(cut, F.expr("source <=> s"), "left").drop("s").withColumnsRenamed({"source": "__s"}), "mix-cuts")
+    facts = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    full = _sized(docs.select(names), seed).withColumn("_salt", F.pmod(F.hash("_u"), F.lit(SALTS)))
-    out = full.alias("d").join(facts.alias("f"), F.expr("d.source <=> f._s AND d._salt = f._salt"))
-    head = F.when(F.col("upto").isNotNull(), F.col("_u") <= F.col("upto")).when(F.col("under").isNotNull(), F.col("_u") < F.col("under")).otherwise(F.lit(False))
-    copies = (F.col("whole") + F.when((F.col("part") > 0) & (F.col("_size") > 0) & head, 1).otherwise(0)).cast("long")
-    return out.select(*[F.col(f"d.{c}") for c in names], F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("_size")).alias("taken"))
+    full = _sized(docs.select(names), seed).withColumn("__salt", F.pmod(F.hash("__u"), F.lit(SALTS)))
+    out = full.alias("d").join(facts.alias("f"), F.expr("d.source <=> f.__s AND d.__salt = f.__salt"))
+    head = F.when(F.col("f.upto").isNotNull(), F.col("__u") <= F.col("f.upto")).when(F.col("f.under").isNotNull(), F.col("__u") < F.col("f.under")).otherwise(F.lit(False))
+    copies = (F.col("f.whole") + F.when((F.col("f.part") > 0) & (F.col("__size") > 0) & head, 1).otherwise(0)).cast("long")
+    return out.select(*[F.col(f"d.{c}") for c in names], F.col("__size").alias("size"), "f.source_size", "f.target", copies.alias("copies"), (copies * F.col("__size")).alias("taken"))
 
 
-RESULT = ["doc_id", "size", "source_size", "target", "taken"]
+RESULT = ["doc_id", "size", "f.source_size", "f.target", "taken"]
 
 SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

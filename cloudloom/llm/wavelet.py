@@ -121,7 +121,7 @@ class WaveletFile:
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
         lo, hi = self._range(token, lo, self.n if hi is None else hi)
-        return hi - lo
+        return max(0, hi - lo)
 
     def occurrence(self, token: int, k: int) -> int:
         """Place of the k-th (from 0) occurrence of a token."""
