@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from cloudloom.operators.axes import group_axes, largest_gap, mean_tangent
 from cloudloom.operators.graph import components
 from cloudloom.operators.neighbors import k_nearest
 from cloudloom.operators.pairs import radius_pairs
-from cloudloom.operators.splits import LOCAL_LIMIT, lateral_cut, split_recursively
+from cloudloom.operators.splits import split_recursively
 from cloudloom.operators.stats import median
 from cloudloom.session import cut
 
@@ -35,7 +34,6 @@ class ClusterConfig:
     merge_lateral_scale: float = 5.0
     rescue_radius_scale: float = 10.0
     min_cluster_points: int = 4
-    local_merge_points: int = 20_000
 
     @property
     def cos_th(self) -> float:
@@ -160,14 +158,13 @@ def lateral_gaps(points: DataFrame, keys: Sequence[str], threshold: float, min_p
     return rows, largest_gap(rows, keys, "_lat", F.lit(float(threshold)))
 
 
-def lateral_split(points: DataFrame, keys: Sequence[str], threshold: float, min_points: int, order: str = "center_id", limit: int = LOCAL_LIMIT) -> DataFrame:
+def lateral_split(points: DataFrame, keys: Sequence[str], threshold: float, min_points: int, order: str = "center_id") -> DataFrame:
     """Adds ``path``: the turns of splitting each group at lateral gaps; NULL for fragments below ``min_points``."""
     def distributed(rows: DataFrame, key: list[str]) -> DataFrame:
         rows, cuts = lateral_gaps(rows, key, threshold, min_points, order)
         return rows.join(cuts, key).select(*key, order, (F.col("_lat") < F.col("cut")).alias("_left"))
 
-    columns = ["x", "y", "z", "tx", "ty", "tz"]
-    return split_recursively(points, keys, order, columns, min_points, distributed, lateral_cut(threshold), limit)
+    return split_recursively(points, keys, order, min_points, distributed)
 
 
 def split_parallel(micro: DataFrame, by: Sequence[str], spacing: float, cfg: ClusterConfig) -> DataFrame:
@@ -177,7 +174,9 @@ def split_parallel(micro: DataFrame, by: Sequence[str], spacing: float, cfg: Clu
     big = clustered.groupBy(*by, "cluster").agg(F.count("*").alias("_n")).where(F.col("_n") >= 2 * cfg.min_cluster_points)
     grouped = cut(tangent_groups(clustered.join(big.drop("_n"), [*by, "cluster"]), [*by, "cluster"], cfg.cos_th))
     parts = lateral_split(grouped, [*by, "cluster", "dir_group"], cfg.split_lateral_scale * spacing, cfg.min_cluster_points)
-    split = parts.groupBy(*by, "cluster").agg(F.max(F.coalesce("path", F.lit("-")) != "").alias("_s")).where("_s").select(*by, "cluster")
+    # a cluster changes only if one of its direction groups leaves two fragments or more
+    left = parts.groupBy(*by, "cluster", "dir_group").agg(F.count_distinct("path").alias("_f"))
+    split = left.where("_f >= 2").select(*by, "cluster").distinct()
     frag = parts.join(split, [*by, "cluster"])
     sizes = frag.where(F.col("path").isNotNull()).groupBy(*by, "cluster", "dir_group", "path").agg(F.count("*").alias("_k"), F.min("center_id").alias("_id"))
     frag = frag.join(sizes, [*by, "cluster", "dir_group", "path"], "left")
@@ -205,95 +204,41 @@ def merge_candidates(micro: DataFrame, by: Sequence[str], spacing: float, cfg: C
 def merge(micro: DataFrame, by: Sequence[str], spacing: float, cfg: ClusterConfig) -> DataFrame:
     """Joins candidate pairs in id order unless the union would show a lateral gap.
 
-    Only clusters linked by candidates can influence each other, so each linked
-    family is one independent problem.  Families up to ``local_merge_points``
-    points are decided in one Arrow group each; larger ones are decided one
-    candidate per round with distributed gap checks.
+    A candidate depends only on earlier ones that touch its two clusters.  So
+    each round decides, all at once, every candidate that is the smallest left
+    at both of its clusters; the outcome is that of the one-by-one order.
     """
     by = list(by)
     micro = cut(micro)
-    links = cut(merge_candidates(micro.where(F.col("cluster").isNotNull()), by, spacing, cfg))
-    if links.isEmpty():
+    todo = cut(merge_candidates(micro.where(F.col("cluster").isNotNull()), by, spacing, cfg).select(*by, "cluster_i", "cluster_j"))
+    if todo.isEmpty():
         return micro
-    nodes = links.select(*by, F.col("cluster_i").alias("node")).unionByName(links.select(*by, F.col("cluster_j").alias("node"))).distinct()
-    family = components(nodes, links.select(*by, F.col("cluster_i").alias("src"), F.col("cluster_j").alias("dst")), by)
-    family = cut(family.withColumnsRenamed({"node": "cluster", "component": "family"}))
-    rows = micro.join(family, [*by, "cluster"]).select(*by, "family", "cluster", "center_id", "x", "y", "z", "tx", "ty", "tz")
-    size = rows.groupBy(*by, "family").agg(F.count("*").alias("_n"))
-    small = size.where(F.col("_n") <= cfg.local_merge_points).select(*by, "family")
-    keyed = links.join(family.withColumnRenamed("cluster", "cluster_i"), [*by, "cluster_i"])
+    touched = todo.select(*by, F.col("cluster_i").alias("cluster")).unionByName(todo.select(*by, F.col("cluster_j").alias("cluster"))).distinct()
+    rows = micro.join(touched, [*by, "cluster"]).select(*by, "cluster", "center_id", "x", "y", "z", "tx", "ty", "tz")
+    root = cut(touched.withColumn("root", F.col("cluster")))
     threshold = cfg.split_lateral_scale * spacing
-    out = T.StructType([*[micro.schema[c] for c in by], T.StructField("cluster", T.LongType()), T.StructField("root", T.LongType())])
-
-    def decide(key: tuple, pts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        root = _merge_family(pts, pairs, threshold, cfg.cos_th, cfg.min_cluster_points)
-        head = {c: [key[i]] * len(root) for i, c in enumerate(by)}
-        return pd.DataFrame({**head, "cluster": list(root), "root": list(root.values())})
-
-    gk = [*by, "family"]
-    local = rows.join(small, gk).groupBy(*gk).cogroup(keyed.join(small, gk).groupBy(*gk)).applyInPandas(decide, out)
-    roots = local
-    large = cut(size.where(F.col("_n") > cfg.local_merge_points).select(*by, "family"))
-    if not large.isEmpty():
-        roots = local.unionByName(_merge_large(rows.join(large, gk), keyed.join(large, gk), by, threshold, cfg))
-    out_df = micro.join(roots, [*by, "cluster"], "left")
-    return out_df.withColumn("cluster", F.coalesce("root", "cluster")).drop("root")
-
-
-def _merge_large(rows: DataFrame, links: DataFrame, by: list[str], threshold: float, cfg: ClusterConfig) -> DataFrame:
-    """One candidate per family and round, with the gap check run as a distributed plan."""
-    gk = [*by, "family"]
-    root = cut(rows.select(*gk, "cluster").distinct().withColumn("root", F.col("cluster")))
-    todo = links
     while True:
         named = todo.join(root.select(*by, F.col("cluster").alias("cluster_i"), F.col("root").alias("ri")), [*by, "cluster_i"])
         named = named.join(root.select(*by, F.col("cluster").alias("cluster_j"), F.col("root").alias("rj")), [*by, "cluster_j"]).where("ri <> rj")
-        named = cut(named.select(*gk, "cluster_i", "cluster_j", "ri", "rj"))
-        first = cut(named.groupBy(*gk).agg(F.min(F.struct("cluster_i", "cluster_j", "ri", "rj")).alias("_f")).select(*gk, "_f.*"))
+        named = cut(named.withColumn("_c", F.struct("cluster_i", "cluster_j")))
+        ends = named.select(*by, F.col("ri").alias("root"), "_c").unionByName(named.select(*by, F.col("rj").alias("root"), "_c"))
+        least = ends.groupBy(*by, "root").agg(F.min("_c").alias("_m"))
+        first = named
+        for side in ("ri", "rj"):
+            first = first.join(least.select(*by, F.col("root").alias(side), F.col("_m").alias(f"_m{side}")), [*by, side]).where(F.col("_c") == F.col(f"_m{side}"))
+        first = cut(first.select(*by, "cluster_i", "cluster_j", "ri", "rj", F.least("ri", "rj").alias("trial")))
         if first.isEmpty():
-            return root.select(*by, "cluster", "root")
-        members = first.select(*gk, F.explode(F.array("ri", "rj")).alias("root")).join(root, [*gk, "root"]).select(*gk, "cluster")
-        trial = rows.join(members, [*gk, "cluster"])
-        grouped = tangent_groups(trial, gk, cfg.cos_th)
-        _, cuts = lateral_gaps(grouped, [*gk, "dir_group"], threshold, cfg.min_cluster_points)
-        good = first.join(cuts.select(*gk).distinct(), gk, "left_anti")
-        change = good.select(*gk, F.greatest("ri", "rj").alias("root"), F.least("ri", "rj").alias("_to"))
-        root = cut(root.join(change, [*gk, "root"], "left").withColumn("root", F.coalesce("_to", "root")).drop("_to"))
-        todo = cut(named.drop("ri", "rj").join(first.select(*gk, "cluster_i", "cluster_j"), [*gk, "cluster_i", "cluster_j"], "left_anti"))
-
-
-def _has_gap(xyz: np.ndarray, tan: np.ndarray, threshold: float, cos_th: float, min_points: int) -> bool:
-    """Does any direction group of these points (in id order) show a lateral gap?"""
-    if len(xyz) < 2 * min_points:
-        return False
-    unit = tan / np.maximum(np.linalg.norm(tan, axis=1, keepdims=True), 1e-8)
-    state = _Directions(cos_th)
-    label = np.array([state.place(t) for t in unit])
-    for d in range(len(state.total)):
-        rows = np.hstack([xyz, unit])[label == d]
-        if len(rows) >= 2 * min_points and lateral_cut(threshold)(rows) is not None:
-            return True
-    return False
-
-
-def _merge_family(pts: pd.DataFrame, pairs: pd.DataFrame, threshold: float, cos_th: float, min_points: int) -> dict[int, int]:
-    """Cluster -> root for one family, candidates taken in (i, j) order."""
-    pts = pts.sort_values("center_id")
-    parts = {int(c): d for c, d in pts.groupby("cluster")}
-    root = {c: c for c in parts}
-    members = {c: [c] for c in parts}
-    for i, j in sorted(zip(pairs["cluster_i"].astype(int), pairs["cluster_j"].astype(int))):
-        a, b = root[i], root[j]
-        if a == b:
-            continue
-        both = pd.concat([parts[c] for c in members[a] + members[b]]).sort_values("center_id")
-        if _has_gap(both[["x", "y", "z"]].to_numpy(), both[["tx", "ty", "tz"]].to_numpy(), threshold, cos_th, min_points):
-            continue
-        low, high = min(a, b), max(a, b)
-        members[low] = members[low] + members.pop(high)
-        for c in members[low]:
-            root[c] = low
-    return root
+            break
+        key = [*by, "trial"]
+        members = first.select(*key, F.explode(F.array("ri", "rj")).alias("root")).join(root, [*by, "root"]).select(*key, "cluster")
+        grouped = tangent_groups(rows.join(members, [*by, "cluster"]), key, cfg.cos_th)
+        _, cuts = lateral_gaps(grouped, [*key, "dir_group"], threshold, cfg.min_cluster_points)
+        good = first.join(cuts.select(*key).distinct(), key, "left_anti")
+        change = good.select(*by, F.greatest("ri", "rj").alias("root"), F.col("trial").alias("_to"))
+        root = cut(root.join(change, [*by, "root"], "left").withColumn("root", F.coalesce("_to", "root")).drop("_to"))
+        todo = cut(named.select(*by, "cluster_i", "cluster_j").join(first.select(*by, "cluster_i", "cluster_j"), [*by, "cluster_i", "cluster_j"], "left_anti"))
+    out = micro.join(root, [*by, "cluster"], "left")
+    return out.withColumn("cluster", F.coalesce("root", "cluster")).drop("root")
 
 
 def rescue(labelled: DataFrame, by: Sequence[str], radius: float) -> DataFrame:

@@ -24,7 +24,6 @@ TRAIN_METRICS = {
     ),
 }
 CLASS_NAMES = ("balustrade", "balcony", "advboard", "wall", "eave", "column", "window", "clutter")
-DETECT_LINES = 5000
 
 
 def key_values(line: Column) -> Column:
@@ -39,12 +38,12 @@ def key_values(line: Column) -> Column:
 
 
 def run_type(lines: DataFrame, keys: Sequence[str] = ("log",)) -> DataFrame:
-    """Kind of run, from the first telling ``Train result`` line within the first 5000 lines."""
+    """Kind of run, from the first telling ``Train result`` line."""
     v = F.col("value")
     kind = F.when(v.contains("loss_support_reg=") & v.contains("loss_focus="), "redesigned").when(v.contains("loss_focus="), "focus").when(
         v.contains("loss_edge="), "support_only"
     )
-    head = lines.where((F.col("line_no") < DETECT_LINES) & v.contains("Train result:")).withColumn("run_type", kind).where("run_type IS NOT NULL")
+    head = lines.where(v.contains("Train result:")).withColumn("run_type", kind).where("run_type IS NOT NULL")
     return head.groupBy(*keys).agg(F.min_by("run_type", "line_no").alias("run_type"))
 
 

@@ -1,124 +1,42 @@
 """Recursive splitting of many point groups at data-dependent gaps.
 
 A split changes the axis and spacing of both halves, so it has to be repeated
-on the results.  Groups above ``limit`` points are halved by rounds of
-distributed aggregations, all groups at once; a group at or below it finishes
-its recursion inside one bounded Arrow batch.
+on the results.  Every round cuts all groups at once by distributed
+aggregations.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cloudloom.session import cut
 
-LOCAL_LIMIT = 2000
-
-Cut = Callable[[np.ndarray, np.ndarray], np.ndarray | None]
-
 
 def split_recursively(
-    points: DataFrame, keys: Sequence[str], ident: str, columns: Sequence[str], min_size: int,
-    distributed: Callable[[DataFrame, list[str]], DataFrame], local: Cut, limit: int = LOCAL_LIMIT,
+    points: DataFrame, keys: Sequence[str], ident: str, min_size: int, distributed: Callable[[DataFrame, list[str]], DataFrame],
 ) -> DataFrame:
     """Adds ``path``: the turns each row took; NULL for rows of fragments below ``min_size``.
 
     ``distributed(rows, key)`` returns ``key..., ident, _left`` for the groups it
-    cuts; ``local(values)`` returns the left mask of one group or None.
+    cuts; groups below twice ``min_size`` are not offered to it.  Only ids, paths
+    and flags are checkpointed between rounds, never the rows themselves.
     """
     keys = list(keys)
     key = [*keys, "path"]
-    out = points.withColumn("path", F.lit("")).withColumn("_done", F.lit(False))
+    state = cut(points.select(*keys, ident).withColumn("path", F.lit("")).withColumn("_done", F.lit(False)))
     while True:
-        live = out.where(~F.col("_done") & F.col("path").isNotNull())
-        big = cut(live.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(*key, F.lit(True).alias("_big")))
-        if big.isEmpty():
+        live = state.where(~F.col("_done") & F.col("path").isNotNull())
+        wide = live.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") >= 2 * min_size).drop("_n")
+        live = cut(live.join(wide, key).drop("_done").select(*keys, ident, "path"))
+        if live.isEmpty():
             break
-        moved = distributed(live.join(big.drop("_big"), key).drop("_done"), key)
+        moved = distributed(points.join(live, [*keys, ident]), key)
         moved = moved.select(*keys, ident, F.concat("path", F.when(F.col("_left"), "0").otherwise("1")).alias("_to"))
         size = moved.groupBy(*keys, "_to").agg(F.count("*").alias("_k"))
         moved = moved.join(size, [*keys, "_to"]).select(*keys, ident, F.when(F.col("_k") >= min_size, F.col("_to")).alias("_to"), F.lit(True).alias("_hit"))
-        out = out.join(big, key, "left").join(moved, [*keys, ident], "left")
-        out = out.withColumn("_done", F.col("_done") | (F.coalesce("_big", F.lit(False)) & F.col("_hit").isNull()))
-        out = cut(out.withColumn("path", F.when(F.col("_hit"), F.col("_to")).otherwise(F.col("path"))).drop("_big", "_hit", "_to"))
-
-    shape = T.StructType([*[points.schema[k] for k in keys], T.StructField("path", T.StringType()), points.schema[ident], T.StructField("_end", T.StringType())])
-    names = [f.name for f in shape.fields]
-
-    def finish(group_key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ident, kind="stable")
-        values = pdf[list(columns)].to_numpy(float)
-        ends = np.full(len(pdf), None, dtype=object)
-        stack = [(np.arange(len(pdf)), group_key[len(keys)])]
-        while stack:
-            rows, path = stack.pop()
-            left = local(values[rows]) if len(rows) >= 2 * min_size else None
-            if left is None:
-                ends[rows] = path
-                continue
-            for side, turn in ((rows[left], "0"), (rows[~left], "1")):
-                if len(side) >= min_size:
-                    stack.append((side, path + turn))
-        head = {k: [group_key[i]] * len(pdf) for i, k in enumerate(key)}
-        return pd.DataFrame({**head, ident: pdf[ident].to_numpy(), "_end": ends})[names]
-
-    live = out.where(~F.col("_done") & F.col("path").isNotNull()).select(*key, ident, *columns)
-    ended = live.groupBy(*key).applyInPandas(finish, shape).drop("path").withColumn("_hit", F.lit(True))
-    out = out.join(ended, [*keys, ident], "left")
-    return cut(out.withColumn("path", F.when(F.col("_hit"), F.col("_end")).otherwise(F.col("path"))).drop("_done", "_end", "_hit"))
-
-
-def main_axis(centered: np.ndarray) -> np.ndarray:
-    v = np.linalg.eigh(centered.T @ centered)[1][:, -1]
-    return v if v[np.abs(v).argmax()] >= 0 else -v
-
-
-def cut_at_gap(t: np.ndarray, threshold: float) -> np.ndarray | None:
-    """Left mask of the widest gap (first on a tie) if it reaches ``threshold``."""
-    s = np.sort(t)
-    gaps = np.diff(s)
-    if len(gaps) == 0 or gaps.max() < threshold:
-        return None
-    at = int(gaps.argmax())
-    return t < (s[at] + s[at + 1]) / 2
-
-
-def median_spacing(xyz: np.ndarray, k: int = 6) -> float:
-    d = [xyz[:, None, i] - xyz[None, :, i] for i in range(3)]
-    d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-    near = np.sort(d2, axis=1)[:, 1 : k + 1]
-    return max(float(np.median(np.sqrt(near))) if near.size else 0.01, 1e-6)
-
-
-def axial_cut(ratio: float) -> Cut:
-    """Cut along the main axis where a gap exceeds ``ratio`` spacings."""
-    def run(xyz: np.ndarray) -> np.ndarray | None:
-        off = xyz - xyz.mean(axis=0)
-        return cut_at_gap(off @ main_axis(off), ratio * median_spacing(xyz))
-
-    return run
-
-
-def lateral_cut(threshold: float) -> Cut:
-    """Cut across the mean tangent where a gap exceeds ``threshold``; columns x, y, z, tx, ty, tz."""
-    def run(rows: np.ndarray) -> np.ndarray | None:
-        xyz, t = rows[:, :3], rows[:, 3:]
-        t = t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-8)
-        mean = (t * np.where(t @ t[0] >= 0, 1.0, -1.0)[:, None]).mean(axis=0)
-        size = np.linalg.norm(mean)
-        if size < 1e-9:
-            return None
-        mean = mean / size
-        off = xyz - xyz.mean(axis=0)
-        lat = off - np.outer(off @ mean, mean)
-        if np.linalg.norm(lat, axis=1).max() < threshold:
-            return None
-        return cut_at_gap(lat @ main_axis(lat - lat.mean(axis=0)), threshold)
-
-    return run
+        out = state.join(moved, [*keys, ident], "left")
+        state = cut(out.select(*keys, ident, F.when(F.col("_hit"), F.col("_to")).otherwise(F.col("path")).alias("path"), F.col("_hit").isNull().alias("_done")))
+    return points.join(state.drop("_done"), [*keys, ident])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cloudloom.functions import geometry as g
 from cloudloom.operators.axes import group_axes, largest_gap
 from cloudloom.operators.neighbors import k_nearest
-from cloudloom.operators.splits import LOCAL_LIMIT, axial_cut, split_recursively
+from cloudloom.operators.splits import split_recursively
 from cloudloom.operators.stats import median, pairwise_extent
 from cloudloom.session import cut
 
@@ -57,14 +57,14 @@ def projected(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.withColumn("t", g.dot(g.sub(g.vec(""), g.vec("m")), g.vec("a")))
 
 
-def gap_split(points: DataFrame, keys: Sequence[str], ratio: float = 8.0, min_size: int = 4, ident: str = "center_id", limit: int = LOCAL_LIMIT) -> DataFrame:
+def gap_split(points: DataFrame, keys: Sequence[str], ratio: float = 8.0, min_size: int = 4, ident: str = "center_id") -> DataFrame:
     """Adds ``path``: turns of splitting each cluster at wide gaps along its axis; small fragments are dropped."""
     def distributed(rows: DataFrame, key: list[str]) -> DataFrame:
         rows = projected(rows, key).join(group_spacing(rows, key, ident), key)
         cuts = largest_gap(rows, key, "t", F.col("spacing") * ratio)
         return rows.join(cuts, key).select(*key, ident, (F.col("t") < F.col("cut")).alias("_left"))
 
-    out = split_recursively(points, keys, ident, ["x", "y", "z"], min_size, distributed, axial_cut(ratio), limit)
+    out = split_recursively(points, keys, ident, min_size, distributed)
     return out.where(F.col("path").isNotNull())
 
 

@@ -147,7 +147,7 @@ def log_per_class(spark, root):
     return logs.class_table(val.unionByName(cls))
 
 
-@query("log_run_type", f"SELECT DISTINCT user_id % 5 AS log, 'focus' AS run_type FROM events WHERE event_type = 'purchase' AND event_id < 5000")
+@query("log_run_type", f"SELECT DISTINCT user_id % 5 AS log, 'focus' AS run_type FROM events WHERE event_type = 'purchase'")
 def log_run_type(spark, root):
     return logs.run_type(_log_lines(spark, root))
 

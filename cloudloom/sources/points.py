@@ -39,12 +39,12 @@ def _check_header(seen: dict[str, list[str]]) -> None:
         if not ok:
             raise PointFormatError(message)
 
-    need(seen["DATA"][:1] == ["ascii"], "only ASCII data is read")
+    need(seen["DATA"] == ["ascii"], "only ASCII data is read")
     need(seen.get("FIELDS", [])[:4] == FIELDS, f"FIELDS must start with {FIELDS}")
     need(seen.get("SIZE", [])[:4] == SIZES, f"SIZE must start with {SIZES}")
     need(seen.get("TYPE", [])[:4] == TYPES, f"TYPE must start with {TYPES}")
-    need(set(seen.get("COUNT", ["1"])) == {"1"}, "COUNT must be 1 everywhere")
-    need(seen.get("HEIGHT", ["1"]) == ["1"], "HEIGHT must be 1")
+    need(set(seen.get("COUNT", [])) == {"1"}, "COUNT must be 1 everywhere")
+    need(seen.get("HEIGHT") == ["1"], "HEIGHT must be 1")
     need(bool(seen.get("POINTS")), "POINTS is missing")
 
 

@@ -97,19 +97,24 @@ def line_cluster(spark):
     return points(spark, rows, "center_id x y z tx ty tz").withColumn("cluster_id", F.lit(0))
 
 
-def test_gap_split_local_equals_distributed(spark):
-    c = line_cluster(spark)
-    got = [{r["center_id"]: r["path"] for r in supports.gap_split(c, ["cluster_id"], limit=k).collect()} for k in (0, 2000)]
-    assert got[0] == got[1]
-    assert set(got[0].values()) == {"0", "1"}
+def test_gap_split(spark):
+    got = {r["center_id"]: r["path"] for r in supports.gap_split(line_cluster(spark), ["cluster_id"]).collect()}
+    assert set(got.values()) == {"0", "1"}
 
 
-def test_lateral_split_local_equals_distributed(spark):
+def test_lateral_split(spark):
     rows = [(i, 0.01 * (i // 2), 0.3 * (i % 2), 0.0, 1.0, 0.0, 0.0) for i in range(80)]
     df = points(spark, rows, "center_id x y z tx ty tz").withColumn("g", F.lit(0))
-    got = [{r["center_id"]: r["path"] for r in clustering.lateral_split(df, ["g"], 0.1, 4, limit=k).collect()} for k in (0, 2000)]
-    assert got[0] == got[1]
-    assert len({got[0][i] for i in range(0, 80, 2)}) == 1 and got[0][0] != got[0][1]
+    got = {r["center_id"]: r["path"] for r in clustering.lateral_split(df, ["g"], 0.1, 4).collect()}
+    assert len({got[i] for i in range(0, 80, 2)}) == 1 and got[0] != got[1]
+
+
+def test_one_surviving_fragment_keeps_the_cluster(spark):
+    rows = [(i, 0, 0.01 * i, 0.3 if i >= 8 else 0.0, 0.0, 1.0, 0.0, 0.0) for i in range(10)]
+    df = points(spark, rows, "center_id cluster x y z tx ty tz").withColumn("scene", F.lit(0))
+    cfg = clustering.ClusterConfig()
+    got = clustering.split_parallel(df, ["scene"], 0.01, cfg).collect()
+    assert {r["cluster"] for r in got} == {0}
 
 
 def test_supports_of_a_line(spark):
@@ -131,14 +136,11 @@ def test_clustering_does_not_depend_on_partitioning(spark):
     assert got[0] == got[1]
 
 
-def test_merge_large_family_matches_local(spark):
-    rows = [(i, i // 5, 0.01 * i, 0.0, 0.0, 1.0, 0.0, 0.0) for i in range(30)]
+def test_merge_of_a_chain(spark):
+    rows = [(i, i // 5, 0.01 * i, 0.0, 0.0, 1.0, 0.0, 0.0) for i in range(20)]
     df = points(spark, rows, "center_id cluster x y z tx ty tz").withColumn("scene", F.lit(0))
-    got = []
-    for limit in (0, 10_000):
-        cfg = clustering.ClusterConfig(local_merge_points=limit)
-        got.append({r["center_id"]: r["cluster"] for r in clustering.merge(df, ["scene"], 0.01, cfg).collect()})
-    assert got[0] == got[1] and set(got[0].values()) == {0}
+    got = {r["center_id"]: r["cluster"] for r in clustering.merge(df, ["scene"], 0.01, clustering.ClusterConfig()).collect()}
+    assert set(got.values()) == {0}
 
 
 def test_quantiles_of_large_groups(spark):
