@@ -85,12 +85,12 @@ def count_bins(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, learn_bytes: int = LEARN_BYTES) -> Model:
-    """Fit on documents (doc_id, text) and their labels (doc_id, label), label 0 or 1. Texts move once, for the counts."""
+    """Fit on documents (doc_id, text) and their labels (doc_id, label), label 0 or 1. Texts move once, for the counts, at every size."""
     known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").select(F.col("doc_id").alias("of"), F.col("label").cast("int").alias("label"))
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     match = F.col("doc_id") == F.col("of")
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    up, down = count_bins(texts.join(known, match).select("text", "label"))
+    up, down = count_bins(texts.join(known.hint("merge"), match).select("text", "label"))
     ratio = np.log((up + SMOOTH) / (up + SMOOTH).sum()) - np.log((down + SMOOTH) / (down + SMOOTH).sum())
     few = known.withColumn("key", F.md5(F.concat(F.lit("quality|"), F.col("of").cast("string")).cast("binary"))).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64)))
     for part in (["label", "salt"], ["label"]):
