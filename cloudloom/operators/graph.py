@@ -4,40 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cloudloom.session import cut
 
+#: Tasks that share the edges of one node; a hub may hold a third of all edges.
+SALTS = 16
 
-LOCAL_EDGES = 50_000
 
-
-def components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = (), local_edges: int = LOCAL_EDGES) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., node, component): the smallest node id reachable from each node.
 
     Large-star / small-star rounds: every round links each node to the smallest
     node it knows, so a long chain shrinks by a factor per round instead of one
-    step.  Both stars are plain aggregations; no neighbour list is collected.
+    step.  Both stars are plain aggregations and no neighbour list is collected.
+    Only nodes whose edges really change are joined, with the edges of one node
+    dealt over ``SALTS`` tasks; once a component is a star nothing is left to join.
     """
     by = list(by)
     e = edges.select(*by, F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v")
     e = cut(e.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _fingerprint(e, by)
-    if 0 < seen["n"] <= local_edges:
-        return _attach(nodes, _small(e, by), by)
     while seen["n"]:
         both = e.unionByName(e.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*by, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        # large star: neighbours above u go to the smallest neighbour of u
-        large = both.where("v > u").join(low, [*by, "u"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(low.where("m < u").select(*by, "u", F.col("m").alias("v"))).where("u <> v").distinct()
-        # small star: neighbours below u, and u, go to the smallest of them
-        least = large.groupBy(*by, "u").agg(F.min("v").alias("m"))
-        small = large.join(least, [*by, "u"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = both.groupBy(*by, "u").agg(F.min("v").alias("m"), F.max("v").alias("top")).where("m < u")
+        # large star: neighbours above a node go to its smallest neighbour; a node without smaller ones keeps them
+        between = _salted(low.where("top > u").select(*by, F.col("u").alias("v"), "m"))
+        large = e.withColumn("_salt", _salt("u")).join(between, [*by, "v", "_salt"], "left").select(*by, "u", F.coalesce("m", "v").alias("v"))
+        large = large.unionByName(low.select(*by, "u", F.col("m").alias("v"))).where("u <> v").distinct()
+        # small star: neighbours below a node, and the node, go to the smallest of them
+        least = large.groupBy(*by, "u").agg(F.min("v").alias("m"), F.max("v").alias("top"))
+        several = _salted(least.where("m < top").select(*by, "u", "m"))
+        small = large.withColumn("_salt", _salt("v")).join(several, [*by, "u", "_salt"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = cut(small.unionByName(least.select(*by, "u", F.col("m").alias("v"))).distinct())
         now = _fingerprint(e, by)
         if now == seen:
@@ -46,32 +45,16 @@ def components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = (), local
     return _attach(nodes, e.groupBy(*by, F.col("u").alias("node")).agg(F.min("v").alias("component")), by)
 
 
-def _attach(nodes: DataFrame, root: DataFrame, by: list[str]) -> DataFrame:
-    return nodes.join(root, [*by, "node"], "left").withColumn("component", F.coalesce("component", "node"))
+def _salt(col: str) -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(SALTS))
+
 
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
 
-def _small(e: DataFrame, by: list[str]) -> DataFrame:
-    """A counted, small edge set: each group finishes inside one Arrow batch."""
-    shape = T.StructType([*[e.schema[c] for c in by], T.StructField("node", e.schema["u"].dataType), T.StructField("component", e.schema["v"].dataType)])
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        u, v = pdf["u"].to_numpy(), pdf["v"].to_numpy()
-        names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-        a, b = at[: len(u)], at[len(u) :]
-        label = np.arange(len(names))
-        while True:
-            low = np.minimum(label[a], label[b])
-            nxt = label.copy()
-            np.minimum.at(nxt, a, low)
-            np.minimum.at(nxt, b, low)
-            nxt = nxt[nxt]
-            if (nxt == label).all():
-                break
-            label = nxt
-        head = {c: [key[i]] * len(names) for i, c in enumerate(by)}
-        return pd.DataFrame({**head, "node": names, "component": names[label]})
-
-    return e.groupBy(*by).applyInPandas(run, shape)
+
+def _attach(nodes: DataFrame, root: DataFrame, by: list[str]) -> DataFrame:
+    return nodes.join(root, [*by, "node"], "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def _fingerprint(e: DataFrame, by: Sequence[str]):

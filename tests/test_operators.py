@@ -75,14 +75,26 @@ def test_supervision_by_hand(spark):
     assert got[1]["support_id"] == -1 and got[1]["dist"] == float("inf")
 
 
-def test_components_both_ways(spark):
+def test_components(spark):
     rng = np.random.default_rng(0)
+    # a long chain, a short one, hubs below, above and between their neighbours, a dense part
     edges = [(i, i + 1) for i in range(40)] + [(100 + i, 101 + i) for i in range(10)] + [(200, int(v)) for v in rng.integers(201, 260, 80)]
-    nodes = spark.createDataFrame([(i,) for i in sorted({v for e in edges for v in e} | {999})], ["node"])
-    e = spark.createDataFrame(edges, ["src", "dst"])
-    both = [{r["node"]: r["component"] for r in components(nodes, e, (), local_edges=k).collect()} for k in (0, 10**6)]
-    assert both[0] == both[1]
-    assert both[0][40] == 0 and both[0][110] == 100 and both[0][999] == 999
+    edges += [(300, v) for v in range(301, 800)] + [(1900, v) for v in range(1000, 1900)] + [(2500, v) for v in range(2000, 3000)]
+    edges += [(int(a), int(b)) for a, b in rng.integers(3000, 3100, (150, 2))]
+    want = {v: v for e in edges for v in e} | {999: 999}
+
+    def root(v):
+        while want[v] != v:
+            v = want[v]
+        return v
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        want[b] = a
+    nodes = spark.createDataFrame([(i,) for i in sorted(want)], ["node"])
+    got = {r["node"]: r["component"] for r in components(nodes, spark.createDataFrame(edges, ["src", "dst"])).collect()}
+    assert got == {v: root(v) for v in want}
+    assert components(nodes, spark.createDataFrame([], "src long, dst long")).where("node <> component").isEmpty()
 
 
 def test_raster_components(spark):
