@@ -11,6 +11,8 @@ from cloudloom.session import cut
 
 #: Tasks that share the edges of one node; a hub may hold a third of all edges.
 SALTS = 16
+#: Edges that one task aims at, so that a small edge set is not dealt over thousands of nearly empty files every round.
+EDGES_PER_TASK, LEAST_TASKS = 50_000, 4
 
 
 def components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -27,17 +29,19 @@ def components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> Da
     e = cut(e.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _fingerprint(e, by)
     while seen["n"]:
+        parts = max(LEAST_TASKS, -(-seen["n"] // EDGES_PER_TASK))
+        e = e.coalesce(parts)
         both = e.unionByName(e.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*by, "u").agg(F.min("v").alias("m"), F.max("v").alias("top")).where("m < u")
+        low = both.groupBy(*by, "u").agg(F.min("v").alias("m"), F.max("v").alias("top")).where("m < u").coalesce(parts)
         # large star: neighbours above a node go to its smallest neighbour; a node without smaller ones keeps them
         between = _salted(low.where("top > u").select(*by, F.col("u").alias("v"), "m"))
-        large = e.withColumn("_salt", _salt("u")).join(between, [*by, "v", "_salt"], "left").select(*by, "u", F.coalesce("m", "v").alias("v"))
-        large = large.unionByName(low.select(*by, "u", F.col("m").alias("v"))).where("u <> v").distinct()
+        large = e.withColumn("_salt", _salt("u")).join(between, [*by, "v", "_salt"], "left").select(*by, "u", F.coalesce("m", "v").alias("v")).coalesce(parts)
+        large = large.unionByName(low.select(*by, "u", F.col("m").alias("v"))).where("u <> v").distinct().coalesce(parts)
         # small star: neighbours below a node, and the node, go to the smallest of them
-        least = large.groupBy(*by, "u").agg(F.min("v").alias("m"), F.max("v").alias("top"))
+        least = large.groupBy(*by, "u").agg(F.min("v").alias("m"), F.max("v").alias("top")).coalesce(parts)
         several = _salted(least.where("m < top").select(*by, "u", "m"))
-        small = large.withColumn("_salt", _salt("v")).join(several, [*by, "u", "_salt"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = cut(small.unionByName(least.select(*by, "u", F.col("m").alias("v"))).distinct())
+        small = large.withColumn("_salt", _salt("v")).join(several, [*by, "u", "_salt"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(parts)
+        e = cut(small.unionByName(least.select(*by, "u", F.col("m").alias("v"))).distinct().coalesce(parts))
         now = _fingerprint(e, by)
         if now == seen:
             break
