@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from cloudloom.operators import neighbors
 from cloudloom.operators.neighbors import k_nearest
 
 
@@ -50,6 +51,25 @@ def test_matches_brute_force(spark, options, small_base):
     assert {(r["point_id"], r["rank"]): r["nbr_id"] for r in got} == want
 
 
+def test_no_unit_exceeds_its_bound_when_a_third_of_the_points_coincide(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    xyz = rng.uniform(-1, 1, (900, 3))
+    xyz[:300] = xyz[0]
+    pdf = pd.DataFrame(xyz, columns=list("xyz")).assign(point_id=rng.permutation(900), segment=0, scene_id=0)
+    seen, ranked = [], neighbors._ranked
+
+    def watch(q, offer, by, unit, *rest):
+        seen.append(q.groupBy(*unit).count().agg({"count": "max"}).first()[0])
+        return ranked(q, offer, by, unit, *rest)
+
+    monkeypatch.setattr(neighbors, "_QUERIES_PER_TASK", 32)
+    monkeypatch.setattr(neighbors, "_ranked", watch)
+    df = spark.createDataFrame(pdf)
+    got = k_nearest(df, df, 4, by=["scene_id"], exclude_self=True, small_base=0).collect()
+    assert {(r["point_id"], r["rank"]): r["nbr_id"] for r in got} == brute(pdf, 4, True)
+    assert max(seen) <= 64  # split by hash of the id: near 32, never the 300 that coincide
+
+
 def test_two_tables_and_empty_base(spark):
     rng = np.random.default_rng(1)
     base = pd.DataFrame(rng.uniform(0, 1, (300, 3)), columns=list("xyz")).assign(point_id=range(300))
