@@ -165,7 +165,7 @@ def bisect(points: DataFrame, piece: Sequence[str], budget: int, min_points: int
 
 
 def component_of_points(points: DataFrame, by: Sequence[str], cell: float, facade: Sequence[int] = FACADE_CLASSES) -> DataFrame:
-    """Adds ``label``: the facade component nearest to each point's XY cell (1 if there is none)."""
+    """Adds ``label``: the facade component nearest to each point's XY cell (0 in a scene without facade)."""
     placed = with_cells(points, cell, by)
     cells = cut(placed.groupBy(*by, "gx", "gy").agg(F.bool_or(F.col("segment").isin(list(facade))).alias("occ")))
     occupied = cells.where("occ").drop("occ")
@@ -173,18 +173,23 @@ def component_of_points(points: DataFrame, by: Sequence[str], cell: float, facad
     near = nearest_occupied(cells.where(~F.col("occ")).drop("occ"), occupied, by)
     loose = near.join(labels.withColumnsRenamed({"gx": "near_gx", "gy": "near_gy"}), [*by, "near_gx", "near_gy"]).select(*by, "gx", "gy", "label")
     every = labels.unionByName(loose)
-    return placed.join(every, [*by, "gx", "gy"], "left").withColumn("label", F.coalesce("label", F.lit(1))).drop("gx", "gy")
+    return placed.join(every, [*by, "gx", "gy"], "left").withColumn("label", F.coalesce("label", F.lit(0))).drop("gx", "gy")
 
 
 def facade_chunks(points: DataFrame, by: Sequence[str], cell: float = 1.0, budget: int = 1_000_000, min_points: int = 10_000,
                   facade: Sequence[int] = FACADE_CLASSES) -> DataFrame:
-    """The full facade chunker: a partition of the kept points with ``chunk_idx`` by centroid x."""
-    owned = cut(component_of_points(points, by, cell, facade))
+    """The full facade chunker: a partition of the kept points with ``chunk_idx`` by centroid x.
+
+    A scene without facade points stays one chunk of all its points, whatever its size.
+    """
+    placed = cut(component_of_points(points, by, cell, facade))
+    plain, owned = placed.where("label = 0"), placed.where("label > 0")
     size = owned.groupBy(*by, "label").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_points).drop("_n")
     pieces = bisect(owned.join(size, [*by, "label"]), [*by, "label"], budget, min_points)
     key = [*by, "label", "path"]
     stats = pieces.groupBy(*key).agg(F.count("*").alias("_n"), F.avg("x").alias("_cx")).where(F.col("_n") >= min_points)
-    return pieces.join(order_chunks(stats, by, key), key).drop("label", "path")
+    ordered = pieces.join(order_chunks(stats, by, key), key).drop("label", "path")
+    return ordered.unionByName(plain.drop("label").withColumn("chunk_idx", F.lit(0)))
 
 
 def order_chunks(stats: DataFrame, by: Sequence[str], key: Sequence[str], at: str = "_cx") -> DataFrame:

@@ -14,11 +14,11 @@ from pyspark.sql import types as T
 
 from cloudloom.functions import geometry as g
 from cloudloom.operators.axes import group_axes, largest_gap, mean_tangent
+from cloudloom.operators.density import spacing as scene_spacing
 from cloudloom.operators.graph import components
 from cloudloom.operators.neighbors import k_nearest
 from cloudloom.operators.pairs import radius_pairs
 from cloudloom.operators.splits import split_recursively
-from cloudloom.operators.stats import median
 from cloudloom.session import cut
 
 
@@ -254,29 +254,33 @@ def rescue(labelled: DataFrame, by: Sequence[str], radius: float) -> DataFrame:
     return out.withColumn("rescued", F.col("_to").isNotNull()).withColumn("cluster", F.coalesce("cluster", "_to")).drop("_to")
 
 
-def global_spacing(centers: DataFrame, by: Sequence[str], default: float = 0.01) -> float:
-    """Median nearest-neighbour distance of all centres of a scene set."""
-    near = k_nearest(centers, centers, 1, by=by, query_id="center_id", base_id="center_id", exclude_self=True)
-    got = median(near, [], "distance", "m").first()
-    return default if got is None or got["m"] is None else float(got["m"])
-
-
 def cluster_centers(centers: DataFrame, scene: Sequence[str] = ("scene_id",), cfg: ClusterConfig = ClusterConfig(), spacing: float | None = None) -> DataFrame:
     """Full stage: centres with ``cluster`` (smallest member id at founding) or NULL.
 
-    ``centers``: scene, center_id, label_a, label_b, x, y, z, tx, ty, tz.  One
-    spacing is used for all scenes given; call per scene for scene-wise spacing.
+    ``centers``: scene, center_id, label_a, label_b, x, y, z, tx, ty, tz.  All
+    thresholds are multiples of the scene's own spacing (the median distance of
+    its centres to their nearest centre, 0.01 for a lone centre), so coordinates are
+    measured in spacings while clustering and a scene's result does not depend
+    on the others.  ``spacing`` sets one value for all scenes.
     """
     by = [*scene, "label_a", "label_b"]
-    spacing = spacing or global_spacing(centers, scene)
-    micro = cut(dbscan(centers, cfg.micro_eps_scale * spacing, cfg.micro_min_samples, by))
-    split = cut(split_parallel(micro, by, spacing, cfg))
-    merged = cut(merge(split, by, spacing, cfg))
-    whole = rescue(merged, by, cfg.rescue_radius_scale * spacing)
+    if spacing is None:
+        unit = scene_spacing(centers, scene, 1, ident="center_id")
+        placed = centers.join(unit, list(scene))
+    else:
+        placed = centers.withColumn("spacing", F.lit(float(spacing)))
+    step = F.greatest("spacing", F.lit(1e-9))
+    placed = placed.withColumns({f"_o{a}": F.col(a) for a in "xyz"})
+    placed = cut(placed.withColumns({a: F.col(f"_o{a}") / step for a in "xyz"}).drop("spacing"))
+    micro = cut(dbscan(placed, cfg.micro_eps_scale, cfg.micro_min_samples, by))
+    split = cut(split_parallel(micro, by, 1.0, cfg))
+    merged = cut(merge(split, by, 1.0, cfg))
+    whole = rescue(merged, by, cfg.rescue_radius_scale)
     big = whole.where(F.col("cluster").isNotNull()).groupBy(*by, "cluster").agg(F.count("*").alias("_n"))
     keep = big.where(F.col("_n") >= cfg.min_cluster_points).select(*by, "cluster", F.lit(True).alias("_ok"))
     out = whole.join(keep, [*by, "cluster"], "left")
-    return out.withColumn("cluster", F.when(F.col("_ok"), F.col("cluster"))).drop("_ok")
+    out = out.withColumn("cluster", F.when(F.col("_ok"), F.col("cluster"))).drop("_ok", *"xyz")
+    return out.withColumnsRenamed({f"_o{a}": a for a in "xyz"})
 
 
 def cluster_records(members: DataFrame, keys: Sequence[str]) -> DataFrame:

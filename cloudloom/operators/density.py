@@ -19,9 +19,9 @@ def knn_density(points: DataFrame, by: Sequence[str], k: int = 10) -> DataFrame:
     return near.groupBy(*by, "point_id").agg(F.avg("distance").alias("density"))
 
 
-def spacing(points: DataFrame, by: Sequence[str], k: int, default: float = 0.01) -> DataFrame:
+def spacing(points: DataFrame, by: Sequence[str], k: int, default: float = 0.01, ident: str = "point_id") -> DataFrame:
     """Median neighbour distance per group; ``default`` for groups with fewer than two points."""
-    near = k_nearest(points, points, k, by=by, exclude_self=True)
+    near = k_nearest(points, points, k, by=by, query_id=ident, base_id=ident, exclude_self=True)
     med = median(near, by, "distance", "spacing")
     groups = points.select(*by).distinct()
     return groups.join(med, list(by), "left").withColumn("spacing", F.coalesce("spacing", F.lit(default)))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.operators import boundary, clustering, supervise
+from cloudloom.operators.prefix import numbered
 from cloudloom.operators.supports import SupportConfig, fit_supports
 from cloudloom.session import cut
 
@@ -51,8 +52,8 @@ def build_edge_supervision(points: DataFrame, scene: Sequence[str], cfg: EdgeCon
     key = [*scene, "label_a", "label_b", "cluster_id"]
     fit = SupportConfig(cfg.line_residual, cfg.polyline_residual, cfg.min_size, cfg.max_vertices, cfg.min_density)
     fitted = fit_supports(members, key, fit)
-    # the first member id and the fragment path identify a support inside its scene
-    sup = cut(fitted.withColumn("support_id", F.xxhash64(*key[len(scene):], "path")))
+    # supports are numbered inside their scene; on ties the first one wins
+    sup = cut(numbered(fitted, scene, [*key[len(scene):], "path"], "support_id"))
     segs = cut(supervise.segments_of(sup.select(*scene, "support_id", F.transform("segments", lambda s: s.dropFields("seg")).alias("segments")), scene))
     bad = supervise.bad_supports(sup.withColumn("cluster_id", F.struct(*key[len(scene):])), segs, members.withColumn("cluster_id", F.struct(*key[len(scene):])), scene)
     skip = cut(bad.select(*scene, "support_id"))

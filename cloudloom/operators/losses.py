@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from cloudloom.functions import geometry as g
 from cloudloom.functions.weights import cross_entropy, sigmoid, smooth_l1, softmax, softplus
 from cloudloom.operators.neighbors import k_nearest
-from cloudloom.operators.pairs import radius_pairs, seeded_order, seeded_sample
 from cloudloom.operators.prefix import totals_above
 
 TAU = 1e-3
@@ -22,7 +21,11 @@ DIST_SCALE = 0.08
 
 
 def prepare(df: DataFrame) -> DataFrame:
-    """Per-point terms: ce, prob, target support, distances, direction and side errors."""
+    """Per-point terms: ce, prob, target support, distances, direction and side errors.
+
+    ``mask`` is the given ``boundary_mask``, else support above 0.5; ``weight`` is
+    the given ``s_weight``, else the mask.
+    """
     gt = g.norm(g.vec("v"))
     pu, vu = g.unit_floor(g.vec("p"), 1e-6), g.unit_floor(g.vec("v"), 1e-6)
     out = df.withColumns({
@@ -32,10 +35,12 @@ def prepare(df: DataFrame) -> DataFrame:
         "cos": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), g.dot(pu, vu))),
         "side_gt": g.side_of(g.vec("v")).cast("double"),
         "hot": F.when(F.col("support") > 0.5, 1.0).otherwise(0.0),
+        "mask": F.col("boundary_mask").cast("double") if "boundary_mask" in df.columns else F.when(F.col("support") > 0.5, 1.0).otherwise(0.0),
         "region": F.when(F.col("valid") > 0.5, 1.0).otherwise(0.0),
         "is_labelled": F.when(F.col("truth") != -1, 1.0).otherwise(0.0),
     })
-    return out.withColumn("sv", F.col("support") * F.col("valid")).withColumn("ce0", F.coalesce("ce", F.lit(0.0)))
+    weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s_weight"))) if "s_weight" in df.columns else F.col("mask")
+    return out.withColumns({"weight": weight, "sv": F.col("support") * F.col("valid"), "ce0": F.coalesce("ce", F.lit(0.0))})
 
 
 def bce_logits(logit: Column, target: Column, pos_weight: Column | float = 1.0) -> Column:
@@ -124,12 +129,12 @@ def _focal_mse(alpha: float = 9.0) -> Column:
     return F.avg((1.0 + alpha * F.col("support")) * d * d)
 
 
-def _monitor(target: Column) -> dict[str, Column]:
+def _monitor(target: Column, part: str = "hot") -> dict[str, Column]:
     neg = 1.0 - target
     return {
         "prob_pos_mean": F.sum(F.col("prob") * target) / F.greatest(F.sum(target), F.lit(1e-6)),
         "prob_neg_mean": F.sum(F.col("prob") * neg) / F.greatest(F.sum(neg), F.lit(1e-6)),
-        "boundary_ce_frac": frac_of_ce(F.col("hot")),
+        "boundary_ce_frac": frac_of_ce(F.col(part)),
     }
 
 
@@ -153,18 +158,18 @@ def _axis_side() -> dict[str, Column]:
     }
 
 
-def _bfanet(weight: str, ce_weight: float = 5.0, dice_weight: float = 1.0) -> dict[str, Column]:
-    t = F.col("hot")
+def _masked_ce(weight: str, ce_weight: float = 10.0, dice_weight: float = 1.0) -> dict[str, Column]:
+    t = F.col("mask")
     out = {
         "loss_ce": ce_over_all(1.0 + F.col(weight) * (ce_weight - 1.0)),
         "loss_bce": F.avg(bce_logits(F.col("support_logit"), t)),
         "loss_dice": dice(F.col("prob"), t),
     }
     out["loss_aux"] = out["loss_bce"] + dice_weight * out["loss_dice"]
-    return {**out, **_monitor(t)}
+    return {**out, **_monitor(t, "mask")}
 
 
-def _boundary_binary(ce_weight: float = 5.0, pos_weight: float = 1.0, sample_scale: float = 9.0) -> dict[str, Column]:
+def _boundary_binary(ce_weight: float = 10.0, pos_weight: float = 1.0, sample_scale: float = 9.0) -> dict[str, Column]:
     t = F.col("hot")
     near = F.when(F.col("support") > 0, 1.0).otherwise(0.0)
     return {
@@ -174,11 +179,15 @@ def _boundary_binary(ce_weight: float = 5.0, pos_weight: float = 1.0, sample_sca
     }
 
 
-def _upweight(ce_weight: float = 5.0) -> dict[str, Column]:
-    return {"loss_ce": ce_over_labelled(1.0 + F.col("hot") * F.col("support") * (ce_weight - 1.0)), "loss_aux": _focal_mse()}
+def _truncated(ce_weight: float = 10.0) -> dict[str, Column]:
+    return {"loss_ce": ce_over_labelled(1.0 + F.col("hot") * F.col("support") * (ce_weight - 1.0))}
+
 
+def _upweight(ce_weight: float = 10.0) -> dict[str, Column]:
+    return {**_truncated(ce_weight), "loss_aux": _focal_mse()}
 
-def _soft_weighted(ce_weight: float = 5.0) -> dict[str, Column]:
+
+def _soft_weighted(ce_weight: float = 10.0) -> dict[str, Column]:
     w = 1.0 + F.col("support") * (ce_weight - 1.0)
     mid = F.when((F.col("support") > 0) & (F.col("support") <= 0.5), 1.0).otherwise(0.0)
     return {"loss_ce": ce_over_labelled(w), "boundary_ce_frac": frac_of_ce(F.col("hot")), "transition_ce_frac": frac_of_ce(mid), "mean_weight": F.avg(w)}
@@ -202,10 +211,10 @@ def _proximity(weighted_by_support: bool = True) -> dict[str, Column]:
     }
 
 
-def _marginal() -> dict[str, Column]:
-    lab, t = F.col("is_labelled"), F.col("hot")
+def _marginal(ce_weight: float = 5.0) -> dict[str, Column]:
+    lab, t = F.col("is_labelled"), F.col("mask")
     return {
-        "loss_ce": ce_over_all(1.0 + F.col("support") * 4.0),
+        "loss_ce": ce_over_all(1.0 + F.col("weight") * (ce_weight - 1.0)),
         "loss_marg_bce": F.avg(F.when(lab > 0, bce_logits(F.col("support_logit"), t))),
         "loss_marg_dice": dice(F.col("prob") * lab, t * lab),
     }
@@ -214,13 +223,13 @@ def _marginal() -> dict[str, Column]:
 LOSSES: dict[str, Callable[..., dict[str, Column]]] = {
     "semantic_only": lambda: {"loss_ce": ce_mean()},
     "semantic_boundary": _semantic_boundary,
-    "support_only": lambda: {"loss_ce": ce_mean(), **_support()},
-    "support_shape": lambda: {"loss_ce": ce_mean(), **_support()},
+    "boundary_weighted_semantic": _truncated,
+    "support_shape": lambda: {"loss_ce": ce_mean(), **_support(1.0, 0.2)},
     "route_a": _semantic_boundary,
     "axis_side": _axis_side,
     "redesigned_support_focus": lambda: {"loss_ce": ce_mean(), **_support(1.0, 0.2)},
-    "pure_bfanet": lambda: _bfanet("hot"),
-    "support_weighted_bfanet": lambda: _bfanet("support"),
+    "hard_mask": lambda: _masked_ce("mask"),
+    "support_weighted": lambda: _masked_ce("weight"),
     "boundary_binary": _boundary_binary,
     "soft_boundary": lambda: {"loss_ce": ce_mean(), "loss_aux": F.avg(bce_logits(F.col("support_logit"), F.col("support"), F.col("pos_weight")))},
     "focal_mse_boundary": lambda: {"loss_ce": ce_mean(), "loss_aux": _focal_mse()},
@@ -234,9 +243,40 @@ LOSSES: dict[str, Callable[..., dict[str, Column]]] = {
         "loss_direction": masked(1.0 - F.col("cos"), F.col("valid") > 0.5),
     },
     "cr_sd": _marginal,
-    "dual_pure_bfanet": lambda: _bfanet("hot"),
+    "dual_hard_mask": lambda: _masked_ce("mask"),
     "dual_boundary_binary": _boundary_binary,
-    "dual_support_weighted_bfanet": lambda: _bfanet("support"),
+    "dual_support_weighted": lambda: _masked_ce("weight"),
+}
+
+_SUPPORT = {"loss_support": 1.0}
+_AUX = {"loss_aux": 0.3}
+_MASK = {"loss_bce": 1.0, "loss_dice": 1.0}
+_EDGE = {**_SUPPORT, "loss_dir": 1.0, "loss_dist": 1.0}
+
+# The weight of each term in the total; CE and Lovasz always count once
+TOTALS: dict[str, dict[str, float]] = {
+    "semantic_only": {},
+    "semantic_boundary": _EDGE,
+    "boundary_weighted_semantic": {},
+    "support_shape": {**_SUPPORT, "loss_ordinal": 0.5},
+    "route_a": {**_EDGE, "loss_coherence": 0.1},
+    "axis_side": {**_SUPPORT, "loss_axis": 1.0, "loss_side": 1.0},
+    "redesigned_support_focus": {**_SUPPORT, "loss_focus_lovasz": 0.5},
+    "hard_mask": _MASK,
+    "support_weighted": _MASK,
+    "boundary_binary": {"loss_bce": 0.3, "loss_dice": 0.3},
+    "soft_boundary": _AUX,
+    "focal_mse_boundary": _AUX,
+    "boundary_upweight": _AUX,
+    "soft_weighted_semantic": {},
+    "support_guided_semantic_focus": {**_SUPPORT, "loss_focus": 1.0},
+    "boundary_proximity_cue": _AUX,
+    "unweighted_boundary_cue": _AUX,
+    "serial_derivation": {**_AUX, "loss_direction": 1.0, "loss_local": 0.5},
+    "cr_sd": {"loss_marg_bce": 1.0, "loss_marg_dice": 1.0},
+    "dual_hard_mask": _MASK,
+    "dual_boundary_binary": {"loss_bce": 0.3, "loss_dice": 0.3},
+    "dual_support_weighted": _MASK,
 }
 
 
@@ -248,11 +288,35 @@ def loss_terms(name: str, df: DataFrame, keys: Sequence[str], **options) -> Data
     return rows.groupBy(*keys).agg(*[c.alias(n) for n, c in LOSSES[name](**options).items()])
 
 
+def total_loss(name: str, df: DataFrame, keys: Sequence[str], classes: int = 8) -> DataFrame:
+    """All terms of one loss type per key, ``lovasz``, its pair terms, and their weighted sum ``loss``.
+
+    A term without any pair counts zero.  ``support_shape`` and
+    ``route_a`` need ``scene_id`` among the keys, and ``route_a`` a ``basin`` column.
+    """
+    keys, shares = list(keys), TOTALS[name]
+    out = loss_terms(name, df, keys).join(lovasz(df, keys, classes), keys, "left")
+    extra = None
+    if "loss_focus_lovasz" in shares:
+        extra = lovasz(df.where("support > 0.1"), keys, classes).withColumnRenamed("lovasz", "loss_focus_lovasz")
+    elif "loss_ordinal" in shares:
+        extra = ordinal_pairs(df).groupBy(*keys).agg(F.avg("loss").alias("loss_ordinal"))
+    elif "loss_coherence" in shares:
+        extra = coherence(df, keys).select(*keys, "loss_coherence")
+    elif "loss_local" in shares:
+        extra = local_consistency(df, keys)
+    if extra is not None:
+        out = out.join(extra, keys, "left")
+    parts = {"loss_ce": 1.0, "lovasz": 1.0, **shares}
+    return out.withColumn("loss", sum((F.coalesce(c, F.lit(0.0)) * w for c, w in parts.items()), F.lit(0.0)))
+
+
 def dual(name: str, df: DataFrame, early: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Both supervision stages side by side, the early one suffixed ``_v1``, and the CE total."""
-    late, first = loss_terms(name, df, keys), loss_terms(name, early, keys)
+    """Both supervision stages side by side, the early one suffixed ``_v1``, with the CE total and ``loss``."""
+    late, first = total_loss(name, df, keys), total_loss(name, early, keys)
     first = first.withColumnsRenamed({c: f"{c}_v1" for c in first.columns if c not in keys})
-    return late.join(first, list(keys)).withColumn("loss_ce_total", F.col("loss_ce") + F.col("loss_ce_v1"))
+    out = late.join(first, list(keys)).withColumn("loss_ce_total", F.col("loss_ce") + F.col("loss_ce_v1"))
+    return out.withColumnRenamed("loss", "loss_v2").withColumn("loss", F.col("loss_v2") + F.col("loss_v1"))
 
 
 def gate(df: DataFrame) -> str:
@@ -265,24 +329,23 @@ def gate(df: DataFrame) -> str:
 
 # -- pair terms --------------------------------------------------------------------
 
-def ordinal_pairs(df: DataFrame, radius: float = 0.15, min_gap: float = 0.02, margin: float = 0.05, points: int = 512, max_pairs: int = 2048) -> DataFrame:
+def ordinal_pairs(df: DataFrame, radius: float = 0.15, min_gap: float = 0.02, margin: float = 0.05, k: int = 16) -> DataFrame:
     """Margin ranking of support over close pairs, per scene.
 
-    Drawing ``points`` points and ``max_pairs`` pairs per scene is part of the
-    loss; here the draw is seeded.  At most 512 points per scene are paired.
+    Every narrow-band point is paired with its ``k`` nearest narrow-band points
+    closer than ``radius``; a pair found from both sides counts once.  In training the pairs
+    are drawn at random; here all points take part and ``k`` bounds the pairs.
+    Scenes with fewer than four narrow-band points have none.
     """
     dist = g.norm(g.vec("v"))
     band = df.where("valid > 0.5 AND support > 0.1").select("scene_id", "point_id", "x", "y", "z", sigmoid(F.col("support_logit")).alias("prob"), dist.alias("dist"))
     enough = band.groupBy("scene_id").agg(F.count("*").alias("_n")).where("_n >= 4").select("scene_id")
-    drawn = seeded_sample(band, points, ["scene_id"], "point_id").join(enough, "scene_id", "left_semi")
-    pairs = radius_pairs(drawn, radius, ["scene_id"], "point_id", carry=["prob", "dist"])
-    pairs = pairs.where((F.col("d2") < radius * radius) & (F.abs(F.col("dist_i") - F.col("dist_j")) > min_gap))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("scene_id").orderBy(seeded_order(F.col("point_id_i")), seeded_order(F.col("point_id_j")), "point_id_i", "point_id_j")
-    pairs = pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_pairs)
-    gap = F.when(F.col("dist_i") < F.col("dist_j"), F.col("prob_i") - F.col("prob_j")).otherwise(F.col("prob_j") - F.col("prob_i"))
-    return pairs.groupBy("scene_id").agg(F.count("*").alias("pairs"), F.avg(F.greatest(F.lit(0.0), F.lit(margin) - gap)).alias("loss"))
+    band, own = band.join(enough, "scene_id", "left_semi"), ["prob", "dist"]
+    near = k_nearest(band, band, k, by=["scene_id"], exclude_self=True, rmax=radius, carry=own, keep=own)
+    near = near.where((F.col("distance") < radius) & (F.abs(F.col("dist") - F.col("nbr_dist")) > min_gap))
+    gap = F.when(F.col("dist") < F.col("nbr_dist"), F.col("prob") - F.col("nbr_prob")).otherwise(F.col("nbr_prob") - F.col("prob"))
+    pairs = near.groupBy("scene_id", F.least("point_id", "nbr_id").alias("i"), F.greatest("point_id", "nbr_id").alias("j")).agg(F.max(gap).alias("gap"))
+    return pairs.groupBy("scene_id").agg(F.count("*").alias("pairs"), F.avg(F.greatest(F.lit(0.0), F.lit(margin) - F.col("gap"))).alias("loss"))
 
 
 def basin_neighbours(df: DataFrame, radius: float = 0.30) -> DataFrame:
@@ -297,32 +360,28 @@ def basin_neighbours(df: DataFrame, radius: float = 0.30) -> DataFrame:
     return near.select("scene_id", "basin", "point_id", "nbr_id", g.dot(g.vec("u"), g.vec("nbr_u")).alias("cos"))
 
 
-def coherence(df: DataFrame) -> DataFrame:
-    """Mean over basins of 1 - mean cosine."""
+def coherence(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean over basins of 1 - mean cosine, per key (``scene_id`` or none)."""
     per_basin = basin_neighbours(df).groupBy("scene_id", "basin").agg((1.0 - F.avg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cos"))))).alias("t"))
-    return per_basin.agg(F.coalesce(F.avg("t"), F.lit(0.0)).alias("loss_coherence"), F.count("*").alias("basins"))
+    return per_basin.groupBy(*keys).agg(F.coalesce(F.avg("t"), F.lit(0.0)).alias("loss_coherence"), F.count("*").alias("basins"))
 
 
-def patch_pairs(df: DataFrame, size: int = 48, position: str = "point_id") -> DataFrame:
-    """Per patch of ``size`` consecutive rows: same-label ordered pairs and their summed 1 - cosine.
+def patch_pairs(df: DataFrame, keys: Sequence[str] = (), size: int = 48, position: str = "point_id") -> DataFrame:
+    """Per patch of ``size`` consecutive positions of a key: same-label ordered pairs and their summed 1 - cosine.
 
     For unit vectors the sum over ordered pairs of one label is
-    n(n-1) - (|sum u|^2 - sum |u|^2), so no pair is formed.
+    n(n-1) - (|sum u|^2 - sum |u|^2), so no pair is formed.  A patch holds the rows
+    of one key only and an incomplete one counts like any other.
     """
-    unit = g.unit_floor(g.vec("v"), 1e-6)
-    rows = df.select(F.floor(F.col(position) / size).alias("patch"), "truth", *[c.alias(f"u{a}") for a, c in zip("xyz", unit)])
-    sums = rows.groupBy("patch", "truth").agg(
+    keys, unit = list(keys), g.unit_floor(g.vec("p"), 1e-6)
+    rows = df.select(*keys, F.floor(F.col(position) / size).alias("patch"), "truth", *[c.alias(f"u{a}") for a, c in zip("xyz", unit)])
+    sums = rows.where("truth >= 0").groupBy(*keys, "patch", "truth").agg(
         F.count("*").alias("n"), *[F.sum(f"u{a}").alias(f"u{a}") for a in "xyz"], F.sum(g.dot(g.vec("u"), g.vec("u"))).alias("uu")
     )
     loss = F.col("n") * (F.col("n") - 1) - (g.dot(g.vec("u"), g.vec("u")) - F.col("uu"))
-    pairs, used = F.col("n") * (F.col("n") - 1), (F.col("truth") >= 0) & (F.col("n") > 1)
-    out = sums.groupBy("patch").agg(
-        F.sum("n").alias("_rows"), F.sum(F.when(used, pairs)).alias("pairs"), F.sum(F.when(used, loss)).alias("loss_sum")
-    )
-    # the incomplete last patch is left out
-    return out.where((F.col("_rows") == size) & F.col("pairs").isNotNull()).drop("_rows")
+    return sums.where("n > 1").groupBy(*keys, "patch").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"), F.sum(loss).alias("loss_sum"))
 
 
-def local_consistency(df: DataFrame, size: int = 48) -> DataFrame:
-    p = patch_pairs(df, size)
-    return p.agg(F.coalesce(F.sum("loss_sum") / F.sum("pairs"), F.lit(0.0)).alias("loss_local"))
+def local_consistency(df: DataFrame, keys: Sequence[str] = (), size: int = 48) -> DataFrame:
+    p = patch_pairs(df, keys, size)
+    return p.groupBy(*keys).agg(F.coalesce(F.sum("loss_sum") / F.sum("pairs"), F.lit(0.0)).alias("loss_local"))

@@ -9,40 +9,32 @@ from pyspark.sql import functions as F
 
 from cloudloom.session import cut
 
-_FAN = 1024
-_DEPTH = 5
 
-
-def totals_above(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], limit: int = 100_000) -> DataFrame:
+def totals_above(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
     """Adds ``<v>_above``: the sum of ``v`` over rows with a larger ``order`` value.
 
-    ``order`` lies in [0, 1] and is unique per key.  Rows are put in value
-    buckets, a bucket above ``limit`` rows is cut in 1024 finer ones, and only
-    bucket totals and single buckets are ever ordered.
+    ``order`` is unique per key.  Rows are range partitioned by key and value, so
+    a key of any size spreads over even, contiguous ranges; only the totals of
+    ranges and the rows of one range are ever ordered.  The ranges come from a
+    sample, so they are checkpointed before they are read twice.
     """
     keys = list(keys)
-    out = df.withColumn("_depth", F.lit(1))
-    for depth in range(1, _DEPTH):
-        heavy = out.where(F.col("_depth") == depth).groupBy(*keys, _bucket(order).alias("_b")).count().where(F.col("count") > limit)
-        heavy = cut(heavy.select(*keys, "_b"))
-        if heavy.isEmpty():
-            break
-        marked = out.withColumn("_b", _bucket(order)).join(heavy.withColumn("_split", F.lit(True)), [*keys, "_b"], "left")
-        deeper = F.when(F.col("_split") & (F.col("_depth") == depth), depth + 1).otherwise(F.col("_depth"))
-        out = cut(marked.withColumn("_depth", deeper).drop("_split", "_b"))
-    out = out.withColumn("_b", _bucket(order))
-    per_bucket = out.groupBy(*keys, "_b").agg(*[F.sum(v).alias(f"_t{v}") for v in values])
+    ranged = df.repartitionByRange(*keys, order).withColumn("_b", F.spark_partition_id())
+    out = cut(ranged)
+    per_range = out.groupBy(*keys, "_b").agg(*[F.sum(v).alias(f"_t{v}") for v in values])
     down = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.desc("_b"))
     before = down.rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.select(*keys, "_b", *[F.coalesce(F.sum(f"_t{v}").over(before), F.lit(0)).alias(f"_o{v}") for v in values])
+    per_range = per_range.select(*keys, "_b", *[F.coalesce(F.sum(f"_t{v}").over(before), F.lit(0)).alias(f"_o{v}") for v in values])
     inner = Window.partitionBy(*keys, "_b").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
-    out = out.join(per_bucket, [*keys, "_b"])
+    out = out.join(per_range, [*keys, "_b"])
     return out.withColumns({f"{v}_above": F.col(f"_o{v}") + F.coalesce(F.sum(v).over(inner), F.lit(0)) for v in values}).drop(
-        "_b", "_depth", *[f"_o{v}" for v in values]
+        "_b", *[f"_o{v}" for v in values]
     )
 
 
-def _bucket(order: str):
-    """Lower edge of the row's bucket at its depth."""
-    width = F.pow(F.lit(float(_FAN)), F.col("_depth"))
-    return F.floor(F.col(order) * width) / width
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Adds ``out``: the position 0, 1, ... of each row within its key; ``order`` is unique per key."""
+    one = [*keys, "_key"]
+    rows = totals_above(df.withColumns({"_key": F.lit(1), "_n": F.lit(1), "_at": F.struct(*order)}), one, "_at", ["_n"])
+    size = rows.groupBy(*one).agg(F.max("_n_above").alias("_last"))
+    return rows.join(size, one).withColumn(out, F.col("_last") - F.col("_n_above")).drop("_key", "_n", "_at", "_n_above", "_last")

@@ -11,34 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloudloom.operators.prefix import totals_above
-from cloudloom.session import cut
 
 _BLOCK = 1024
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], limit: int = 1_000_000) -> DataFrame:
-    """Exact linearly interpolated quantiles per group as ``q0, q1, ...``.
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Exact linearly interpolated quantiles per group as ``q0, q1, ...``; NULL values are left out.
 
-    Groups up to ``limit`` rows use the built-in aggregate, which holds a group's
-    values in one task.  Larger groups are reduced to (value, count) and ranked
-    with bucketed running totals, so no task ever sees a whole group.
+    Groups are reduced to (value, count) and ranked with running totals over
+    value ranges, so no task ever sees a whole group.
     """
     keys = list(keys)
-    v = cut(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")))
-    sizes = v.groupBy(*keys).agg(F.count("*").alias("_n"))
-    names = [f"q{i}" for i in range(len(probs))]
-    big = cut(sizes.where(F.col("_n") > limit))
-    some_big = not big.isEmpty()
-    small = v.join(big.select(*keys), keys, "left_anti") if some_big and keys else v
-    direct = small.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
-    direct = direct.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    if not some_big:
-        return direct
-    span = v.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n")).where(F.col("_n") > limit)
-    one = [*keys, "_one"]
-    rows = v.withColumn("_one", F.lit(1)).groupBy(*one, "_v").agg(F.count("*").alias("c")).join(span.withColumn("_one", F.lit(1)), one)
-    width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
-    rows = totals_above(rows.withColumn("_u", (F.col("_v") - F.col("_lo")) / width), one, "_u", ["c"])
+    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_key", F.lit(1))
+    one = [*keys, "_key"]
+    rows = totals_above(v.groupBy(*one, "_v").agg(F.count("*").alias("c")), one, "_v", ["c"])
+    # the smallest value of a group sees all others above it
+    size = rows.groupBy(*one).agg(F.max(F.col("c_above") + F.col("c")).alias("_n"))
+    rows = rows.join(size, one)
     start = F.col("_n") - F.col("c_above") - F.col("c")
     aggs = []
     for i, p in enumerate(probs):
@@ -46,10 +35,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
         for tag, idx in (("l", F.floor(at)), ("h", F.ceil(at))):
             aggs.append(F.max(F.when((idx >= start) & (idx < start + F.col("c")), F.col("_v"))).alias(f"_{tag}{i}"))
         aggs.append(F.max(at - F.floor(at)).alias(f"_f{i}"))
-    ranked = rows.groupBy(*one).agg(*aggs).select(
-        *keys, *[(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_f{i}")).alias(n) for i, n in enumerate(names)]
+    return rows.groupBy(*one).agg(*aggs).select(
+        *keys, *[(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_f{i}")).alias(f"q{i}") for i in range(len(probs))]
     )
-    return direct.unionByName(ranked) if keys else ranked
 
 
 def median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
@@ -58,11 +46,13 @@ def median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFram
 
 def summarise(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float) -> DataFrame:
     """min, mean, median, max, population deviation and the share inside [low, high]."""
-    v = F.col(value)
-    return df.groupBy(*keys).agg(
-        F.min(v).alias("lo"), F.avg(v).alias("mean"), F.median(v).alias("med"), F.max(v).alias("hi"), F.stddev_pop(v).alias("std"),
+    v, one = F.col(value), [*keys, "_one"]
+    df = df.withColumn("_one", F.lit(1))
+    out = df.groupBy(*one).agg(
+        F.min(v).alias("lo"), F.avg(v).alias("mean"), F.max(v).alias("hi"), F.stddev_pop(v).alias("std"),
         F.avg(F.when(v.between(low, high), 1.0).otherwise(0.0)).alias("in_window"),
     )
+    return out.join(median(df, one, value, "med"), one).drop("_one")
 
 
 def radius_pick(summary: DataFrame, centre: float = 10.0, share: float = 0.6) -> DataFrame:

@@ -72,7 +72,7 @@ def jn_label_support(spark, root):
 
 NEAREST_SQL = f"""{SUP_SQL}, cand AS (SELECT p.point_id, s.support_id, s.seg, x, y, z, ax, ay, az, bx, by_, bz,
    (bx-ax)*(bx-ax) + (by_-ay)*(by_-ay) + (bz-az)*(bz-az) AS l2, (x-ax)*(bx-ax) + (y-ay)*(by_-ay) + (z-az)*(bz-az) AS dt
-   FROM pts p JOIN supp u ON p.segment IN (u.label_a, u.label_b) JOIN seg s USING (support_id) WHERE p.point_id % 5 <> 0),
+   FROM pts p JOIN supp u ON p.segment IN (u.label_a, u.label_b) JOIN seg s USING (support_id)),
  tt AS (SELECT *, CASE WHEN l2 < 1e-8 THEN 0.0 ELSE greatest(0.0, least(1.0, dt / l2)) END AS t FROM cand),
  best AS (SELECT point_id, support_id, sqrt({SEGD}) AS dist, ax+t*(bx-ax)-x AS vx, ay+t*(by_-ay)-y AS vy, az+t*(bz-az)-z AS vz FROM tt
    WHERE sqrt({SEGD}) <= 0.08 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY sqrt({SEGD}), support_id, seg) = 1)"""
@@ -82,13 +82,12 @@ NEAREST_SQL = f"""{SUP_SQL}, cand AS (SELECT p.point_id, s.support_id, s.seg, x,
     "jn_nearest_support",
     f"""WITH {NEAREST_SQL} SELECT p.point_id, coalesce(b.support_id, -1) AS support_id, b.point_id IS NOT NULL AS valid,
         CASE WHEN b.point_id IS NULL THEN CAST('Infinity' AS DOUBLE) ELSE {q6('dist')} END AS dist, {q6('coalesce(vx, 0)')} AS vx, {q6('coalesce(vy, 0)')} AS vy, {q6('coalesce(vz, 0)')} AS vz,
-        {q6('coalesce(exp(-(dist*dist)/(2*0.02*0.02)), 0)')} AS support FROM pts p LEFT JOIN best b USING (point_id) WHERE p.point_id % 5 <> 0""",
+        {q6('coalesce(exp(-(dist*dist)/(2*0.02*0.02)), 0)')} AS support FROM pts p LEFT JOIN best b USING (point_id)""",
     "pts",
 )
 def jn_nearest_support(spark, root):
     sup, segs = support_tables(spark, root)
-    asked = scan_points(spark, root).where("point_id % 5 <> 0")
-    out = supervise.supervise(asked, sup, segs, radius=0.08, sigma=0.02)
+    out = supervise.supervise(scan_points(spark, root), sup, segs, radius=0.08, sigma=0.02)
     return out.select("point_id", "support_id", "valid", r6("dist").alias("dist"), *[r6(f"vec_{a}").alias(f"v{a}") for a in "xyz"], r6("support").alias("support"))
 
 
@@ -186,11 +185,11 @@ def jn_fragment_vote(spark, root):
     return fragment_vote(frag, ["point_id"], 8).select("point_id", "pred", r6("prob").alias("prob"))
 
 
-@query("jn_center_cluster", f"WITH s AS (SELECT point_id // {SIZE} AS cluster_id, count(*) AS size FROM pts GROUP BY 1) SELECT point_id AS center_id, cluster_id, size FROM pts JOIN s ON point_id // {SIZE} = cluster_id WHERE point_id % 2 = 0", "pts")
+@query("jn_center_cluster", f"WITH s AS (SELECT point_id // {SIZE} AS cluster_id, count(*) AS size FROM pts GROUP BY 1) SELECT point_id AS center_id, cluster_id, size FROM pts JOIN s ON point_id // {SIZE} = cluster_id", "pts")
 def jn_center_cluster(spark, root):
     members = cluster_members(spark, root).select("center_id", "cluster_id")
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
-    return members.where("center_id % 2 = 0").join(sizes, "cluster_id").select("center_id", "cluster_id", "size")
+    return members.join(sizes, "cluster_id").select("center_id", "cluster_id", "size")
 
 
 @query("jn_support_members", f"WITH {SUP_SQL} SELECT support_id, point_id AS center_id, label_a, label_b FROM supp JOIN pts ON cluster_id = point_id // {SIZE}", "pts")
@@ -209,14 +208,17 @@ def jn_coverage(spark, root):
     return pairs.coverage(table(spark, root, "customer"), done, "c_custkey")
 
 
-_NB = "nb AS (SELECT *, 1/(1+exp(-support_logit)) AS prob, sqrt(vx*vx+vy*vy+vz*vz) AS dist FROM pred WHERE valid > 0.5 AND support > 0.1), sm AS (SELECT * FROM nb QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY (point_id * 2654435761) % 4294967296, point_id) <= 512 AND count(*) OVER (PARTITION BY scene_id) >= 4)"
+# all narrow-band points, each against its 16 nearest ones; a pair found from both sides counts once
+ORDINAL_SQL = f"""nb AS (SELECT *, 1/(1+exp(-support_logit)) AS prob, sqrt(vx*vx+vy*vy+vz*vz) AS dist FROM pred WHERE valid > 0.5 AND support > 0.1 QUALIFY count(*) OVER (PARTITION BY scene_id) >= 4),
+ nk AS (SELECT a.scene_id, a.point_id AS s, b.point_id AS t, {D2} AS d2, a.dist AS da, b.dist AS db, a.prob AS pa, b.prob AS pb FROM nb a JOIN nb b ON a.scene_id = b.scene_id AND a.point_id <> b.point_id
+   QUALIFY row_number() OVER (PARTITION BY a.scene_id, a.point_id ORDER BY {D2}, b.point_id) <= 16),
+ orp AS (SELECT DISTINCT scene_id, least(s, t) AS i, greatest(s, t) AS j, CASE WHEN da < db THEN pa - pb ELSE pb - pa END AS gap FROM nk WHERE sqrt(d2) < 0.15::DOUBLE AND abs(da - db) > 0.02),
+ ord AS (SELECT scene_id, count(*) AS pairs, avg(greatest(0, 0.05::DOUBLE - gap)) AS loss FROM orp GROUP BY 1)"""
 
 
 @query(
     "jn_ordinal_pairs",
-    f"""WITH {_NB}, pr AS (SELECT a.scene_id, a.point_id AS i, b.point_id AS j, CASE WHEN a.dist < b.dist THEN a.prob - b.prob ELSE b.prob - a.prob END AS gap FROM sm a JOIN sm b ON a.scene_id = b.scene_id AND a.point_id < b.point_id
-         AND {D2} < 0.15::DOUBLE * 0.15::DOUBLE AND abs(a.dist - b.dist) > 0.02)
-        SELECT scene_id, count(*) AS pairs, {q6('avg(greatest(0, 0.05::DOUBLE - gap))')} AS loss FROM (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY (i * 2654435761) % 4294967296, (j * 2654435761) % 4294967296, i, j) <= 2048) GROUP BY 1""",
+    f"WITH {ORDINAL_SQL} SELECT scene_id, pairs, {q6('loss')} AS loss FROM ord",
     "pred",
 )
 def jn_ordinal_pairs(spark, root):
@@ -240,13 +242,12 @@ def jn_basin_nn(spark, root):
     return out.select("scene_id", "basin", "point_id", "nbr_id", r6("cos").alias("cos"))
 
 
-PATCH_SQL = """pa AS (SELECT *, point_id // 48 AS patch, vx/greatest(sqrt(vx*vx+vy*vy+vz*vz),1e-6) AS ux, vy/greatest(sqrt(vx*vx+vy*vy+vz*vz),1e-6) AS uy, vz/greatest(sqrt(vx*vx+vy*vy+vz*vz),1e-6) AS uz FROM pred
-   WHERE point_id < (SELECT count(*) // 48 * 48 FROM pred)),
- pp AS (SELECT a.patch, a.ux*b.ux+a.uy*b.uy+a.uz*b.uz AS cos FROM pa a JOIN pa b ON a.patch = b.patch AND a.truth = b.truth AND a.truth >= 0 AND a.point_id <> b.point_id)"""
+PATCH_SQL = """pa AS (SELECT *, point_id // 48 AS patch, px/greatest(sqrt(px*px+py*py+pz*pz),1e-6) AS ux, py/greatest(sqrt(px*px+py*py+pz*pz),1e-6) AS uy, pz/greatest(sqrt(px*px+py*py+pz*pz),1e-6) AS uz FROM pred),
+ pp AS (SELECT a.scene_id, a.patch, a.ux*b.ux+a.uy*b.uy+a.uz*b.uz AS cos FROM pa a JOIN pa b ON a.scene_id = b.scene_id AND a.patch = b.patch AND a.truth = b.truth AND a.truth >= 0 AND a.point_id <> b.point_id)"""
 
 
-@query("jn_patch_pairs", f"WITH {PATCH_SQL} SELECT patch, count(*) AS pairs, {q6('sum(1 - cos)', 5)} AS loss_sum FROM pp GROUP BY 1", "pred")
+@query("jn_patch_pairs", f"WITH {PATCH_SQL} SELECT scene_id, patch, count(*) AS pairs, {q6('sum(1 - cos)', 5)} AS loss_sum FROM pp GROUP BY 1, 2", "pred")
 def jn_patch_pairs(spark, root):
     from cloudloom.operators.losses import patch_pairs
 
-    return patch_pairs(predictions(spark, root)).select("patch", "pairs", r6("loss_sum", 5).alias("loss_sum"))
+    return patch_pairs(predictions(spark, root), ["scene_id"]).select("scene_id", "patch", "pairs", r6("loss_sum", 5).alias("loss_sum"))

@@ -59,7 +59,7 @@ def val_chunk(spark, root):
 
 @query(
     "val_sanity",
-    f"""WITH {VOX_SQL}, r AS (SELECT c - 1 AS class_id, count(*) AS n FROM lat WHERE c > 0 AND c < 9 GROUP BY 1), f AS (SELECT winner - 1 AS class_id, count(*) AS n FROM vox WHERE winner > 0 GROUP BY 1),
+    f"""WITH {VOX_SQL}, r AS (SELECT c - 1 AS class_id, count(*) AS n FROM lat WHERE c > 0 GROUP BY 1), f AS (SELECT winner - 1 AS class_id, count(*) AS n FROM vox WHERE winner > 0 GROUP BY 1),
         d AS (SELECT coalesce(r.class_id, f.class_id) AS class_id, abs(coalesce(f.n, 0) / (SELECT sum(n) FROM f) - coalesce(r.n, 0) / (SELECT sum(n) FROM r)) AS drift FROM r FULL JOIN f ON r.class_id = f.class_id)
         SELECT CASE WHEN drift > 0.15 THEN 'HARD FAIL' ELSE 'WARN' END AS level, 'class ' || class_id AS subject, {q6('drift')} AS value FROM d WHERE drift > 0.05
         UNION ALL SELECT 'HARD FAIL', 'chunk ' || sample, n::DOUBLE FROM (SELECT sample, count(*) AS n FROM lat GROUP BY 1) WHERE n > 11990
@@ -68,7 +68,7 @@ def val_chunk(spark, root):
 )
 def val_sanity(spark, root):
     lat = lattice_points(spark, root)
-    raw = lat.where("c < 9").groupBy(F.col("c").alias("class_id")).agg(F.count("*").alias("n"))
+    raw = lat.groupBy(F.col("c").alias("class_id")).agg(F.count("*").alias("n"))
     final = voxel.drop_void(voxels(spark, root)).groupBy(F.col("segment").alias("class_id")).agg(F.count("*").alias("n"))
     chunks = lat.groupBy("sample").agg(F.count("*").alias("n")).select(F.concat(F.lit("chunk "), F.col("sample").cast("string")).alias("chunk"), "n")
     expected = spark.range(7).select(F.col("id").alias("sample"))

@@ -159,7 +159,7 @@ def test_quantiles_of_large_groups(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"g": [0] * 400 + [1] * 50, "v": np.round(np.concatenate([rng.normal(0, 1, 300), np.full(100, 0.25), rng.uniform(0, 1, 50)]), 3)})
     df = spark.createDataFrame(pdf)
-    got = {r["g"]: (r["q0"], r["q1"], r["q2"]) for r in stats.quantiles(df, ["g"], "v", [0.25, 0.5, 0.9], limit=100).collect()}
+    got = {r["g"]: (r["q0"], r["q1"], r["q2"]) for r in stats.quantiles(df, ["g"], "v", [0.25, 0.5, 0.9]).collect()}
     for g, part in pdf.groupby("g"):
         assert np.allclose(got[g], np.quantile(part["v"], [0.25, 0.5, 0.9]))
 
@@ -168,7 +168,7 @@ def test_running_totals_with_fine_buckets(spark):
     rng = np.random.default_rng(6)
     err = np.unique(np.concatenate([rng.uniform(0, 1, 100), rng.uniform(0.5, 0.5001, 200)]))
     df = spark.createDataFrame([(float(e), 1) for e in err], ["err", "n"])
-    got = {r["err"]: r["n_above"] for r in totals_above(df, [], "err", ["n"], limit=20).collect()}
+    got = {r["err"]: r["n_above"] for r in totals_above(df, [], "err", ["n"]).collect()}
     assert got == {e: len(err) - 1 - i for i, e in enumerate(err)}
 
 
@@ -219,3 +219,44 @@ def test_remap_rejects_out_of_range(spark):
     df = spark.createDataFrame([(17,)], ["c"])
     with pytest.raises(Exception, match="out of range"):
         df.select(grid.remap_after_void(F.col("c"))).collect()
+
+
+def test_a_scene_clusters_alone_as_among_others(spark):
+    rng = np.random.default_rng(8)
+    near = rng.normal(0, 1, (40, 3)) * [0.05, 0.002, 0.002]
+    pdf = pd.DataFrame(np.concatenate([near, near * 7 + 1]), columns=list("xyz"))
+    pdf = pdf.assign(center_id=range(80), scene_id=[0] * 40 + [1] * 40, label_a=1, label_b=2, tx=1.0, ty=0.0, tz=0.0)
+
+    def run(part):
+        return {r["center_id"]: r["cluster"] for r in clustering.cluster_centers(spark.createDataFrame(part)).collect()}
+
+    both = run(pdf)
+    assert {k: v for k, v in both.items() if k < 40} == run(pdf[pdf.scene_id == 0])
+    # the second scene is the first one seven times larger: the same clusters
+    assert [both[i] for i in range(40)] == [None if both[40 + i] is None else both[40 + i] - 40 for i in range(40)]
+
+
+def test_scene_without_facade_stays_whole(spark):
+    rows = [(0, i, float(i), 0.0, 0.0, 9) for i in range(100)] + [(1, i, float(i % 10), 0.0, 0.0, 2) for i in range(60)]
+    df = points(spark, rows, "scene_id point_id x y z segment")
+    out = chunking.facade_chunks(df, ["scene_id"], budget=20, min_points=5, facade=(2,))
+    got = {(r["scene_id"], r["chunk_idx"]): r["count"] for r in out.groupBy("scene_id", "chunk_idx").count().collect()}
+    assert got[0, 0] == 100 and sum(n for (s, _), n in got.items() if s == 1) == 60 and len(got) > 2
+
+
+def test_numbers_within_a_key(spark):
+    from cloudloom.operators.prefix import numbered
+
+    df = spark.createDataFrame([(k, i, "ab"[i % 2]) for k in range(3) for i in range(20)], "k int, i int, t string")
+    got = {(r["k"], r["i"]): r["n"] for r in numbered(df, ["k"], ["t", "i"], "n").collect()}
+    assert got == {(k, i): i // 2 + 10 * (i % 2) for k in range(3) for i in range(20)}
+
+
+def test_ordinal_pairs_of_all_points(spark):
+    from cloudloom.operators import losses
+
+    rows = [(0, i, 0.01 * i, 0.0, 0.0, 0.03 * i + 0.01, 0.0, 0.0, 1.0, 0.5, 0.0) for i in range(6)]
+    df = points(spark, rows, "scene_id point_id x y z vx vy vz valid support support_logit")
+    got = losses.ordinal_pairs(df).first()
+    assert got["pairs"] == 15 and abs(got["loss"] - 0.05) < 1e-9
+    assert losses.ordinal_pairs(df.where("point_id < 3")).isEmpty()
