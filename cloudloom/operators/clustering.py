@@ -139,9 +139,10 @@ class _Directions:
 
 
 def lateral_gaps(points: DataFrame, keys: Sequence[str], threshold: float, min_points: int, order: str = "center_id"):
-    """Groups with a lateral gap: (projected rows with ``_lat``, cuts).
+    """Groups with a lateral gap: (ids with ``_lat``, cuts).
 
-    The lateral axis is the main axis of the offsets across the mean tangent.
+    The lateral axis is the main axis of the offsets across the mean tangent.  The
+    offsets are read four times, so ids and offsets are checkpointed.
     """
     keys = list(keys)
     stats = points.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.avg(a).alias(f"_m{a}") for a in "xyz"])
@@ -150,7 +151,7 @@ def lateral_gaps(points: DataFrame, keys: Sequence[str], threshold: float, min_p
     rows = points.join(stats, keys)
     off = tuple(F.col(a) - F.col(f"_m{a}") for a in "xyz")
     along = g.dot(off, g.vec("mt"))
-    rows = rows.withColumns({f"_l{a}": off[i] - along * F.col(f"mt{a}") for i, a in enumerate("xyz")})
+    rows = cut(rows.select(*keys, order, *[(off[i] - along * F.col(f"mt{a}")).alias(f"_l{a}") for i, a in enumerate("xyz")]))
     wide = rows.groupBy(*keys).agg(F.max(g.norm(g.vec("_l"))).alias("_wide")).where(F.col("_wide") >= threshold).select(*keys)
     rows = rows.join(wide, keys)
     axis = group_axes(rows, keys, ("_lx", "_ly", "_lz")).select(*keys, "ax", "ay", "az")

@@ -34,7 +34,7 @@ def split_recursively(
         if live.isEmpty():
             break
         moved = distributed(points.join(live, [*keys, ident]), key)
-        moved = moved.select(*keys, ident, F.concat("path", F.when(F.col("_left"), "0").otherwise("1")).alias("_to"))
+        moved = cut(moved.select(*keys, ident, F.concat("path", F.when(F.col("_left"), "0").otherwise("1")).alias("_to")))
         size = moved.groupBy(*keys, "_to").agg(F.count("*").alias("_k"))
         moved = moved.join(size, [*keys, "_to"]).select(*keys, ident, F.when(F.col("_k") >= min_size, F.col("_to")).alias("_to"), F.lit(True).alias("_hit"))
         out = state.join(moved, [*keys, ident], "left")
