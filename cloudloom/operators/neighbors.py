@@ -31,7 +31,6 @@ from cloudloom.session import cut
 _FINEST = 30  # bits per axis of the finest cell index
 _SLACK = 1.0 + 1e-9  # keeps box bounds on the safe side of float rounding
 _QUERIES_PER_TASK = 2048
-SMALL_BASE = 4096  # up to this many base rows a group's whole base is its candidate list
 
 
 def _axis(prefix: str, dims: int) -> list[str]:
@@ -145,7 +144,6 @@ def k_nearest(
     carry: Sequence[str] = (),
     keep: Sequence[str] = (),
     budget: int | None = None,
-    small_base: int = SMALL_BASE,
 ) -> DataFrame:
     """The ``k`` nearest rows of ``base`` for every row of ``query``.
 
@@ -186,11 +184,6 @@ def k_nearest(
     out_schema = _result_schema(b, q, by, query_id, carry, keep)
     if total == 0:
         return query.sparkSession.createDataFrame([], out_schema)
-    if total <= small_base:
-        parts = max(1, math.ceil(int(stat["rows"]) / _QUERIES_PER_TASK))
-        q = q.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(parts)).cast("int"))
-        b = b.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        return _ranked(q, b, by, [*by, "_part"], dims, bool(differ), keep, extra).mapInArrow(rank, out_schema)
     origin = [float(stat[f"lo{i}"]) for i in range(dims)]
     extent = max(float(stat[f"hi{i}"]) - origin[i] for i in range(dims)) * _SLACK or 1.0
     # scans cover surfaces: pick the level by how many cells are really occupied

@@ -42,11 +42,10 @@ def brute(pdf, k, exclude_self=False, differ=False, rmax=None):
 @pytest.mark.parametrize("options", [
     dict(k=5, exclude_self=True), dict(k=2, differ="segment"), dict(k=3, exclude_self=True, rmax=0.1),
 ])
-@pytest.mark.parametrize("small_base", [0, 1 << 20])
-def test_matches_brute_force(spark, options, small_base):
+def test_matches_brute_force(spark, options):
     pdf = cloud()
     df = spark.createDataFrame(pdf)
-    got = k_nearest(df, df, by=["scene_id"], small_base=small_base, **options).collect()
+    got = k_nearest(df, df, by=["scene_id"], **options).collect()
     want = brute(pdf, options["k"], options.get("exclude_self", False), "differ" in options, options.get("rmax"))
     assert {(r["point_id"], r["rank"]): r["nbr_id"] for r in got} == want
 
@@ -65,7 +64,7 @@ def test_no_unit_exceeds_its_bound_when_a_third_of_the_points_coincide(spark, mo
     monkeypatch.setattr(neighbors, "_QUERIES_PER_TASK", 32)
     monkeypatch.setattr(neighbors, "_ranked", watch)
     df = spark.createDataFrame(pdf)
-    got = k_nearest(df, df, 4, by=["scene_id"], exclude_self=True, small_base=0).collect()
+    got = k_nearest(df, df, 4, by=["scene_id"], exclude_self=True).collect()
     assert {(r["point_id"], r["rank"]): r["nbr_id"] for r in got} == brute(pdf, 4, True)
     assert max(seen) <= 64  # split by hash of the id: near 32, never the 300 that coincide
 
@@ -75,7 +74,7 @@ def test_two_tables_and_empty_base(spark):
     base = pd.DataFrame(rng.uniform(0, 1, (300, 3)), columns=list("xyz")).assign(point_id=range(300))
     ask = pd.DataFrame(rng.uniform(-1, 2, (200, 3)), columns=list("xyz")).assign(point_id=range(200))
     b, q = spark.createDataFrame(base), spark.createDataFrame(ask)
-    got = {r["point_id"]: r["nbr_id"] for r in k_nearest(q, b, 1, small_base=0).collect()}
+    got = {r["point_id"]: r["nbr_id"] for r in k_nearest(q, b, 1).collect()}
     d = ((ask[list("xyz")].to_numpy()[:, None] - base[list("xyz")].to_numpy()[None]) ** 2).sum(axis=2)
     assert got == dict(enumerate(d.argmin(axis=1)))
     assert k_nearest(q, b.limit(0), 1).count() == 0
