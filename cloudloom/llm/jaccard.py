@@ -225,8 +225,8 @@ class Index:
     def search(self, tokens: np.ndarray, n: int, open_: np.ndarray) -> np.ndarray:
         """The block's sets linked with the query among those that ``open_`` marks."""
         at = np.searchsorted(self.h, tokens)
-        at = at[at < len(self.h)] if len(self.h) else at[:0]
-        lists = at[np.isin(self.h[at], tokens, assume_unique=True)]
+        inside = at < len(self.h)
+        lists = at[inside][self.h[at[inside]] == tokens[inside]]
         need = least_overlap(n)
         if len(lists) < need:
             return np.empty(0, np.int64)

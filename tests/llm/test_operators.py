@@ -201,6 +201,52 @@ def test_jaccard(rows, none):
     assert jaccard.group(none).count() == 0
 
 
+def similar_texts(seed, n=60, words=60, most=7):
+    """Texts of few templates with some words replaced: many pairs lie on both sides of the threshold."""
+    r = random.Random(seed)
+    texts = []
+    for i in range(n):
+        w = [f"t{i % 3}w{j}" for j in range(words)]
+        for _ in range(r.randrange(most)):
+            w[r.randrange(words)] = f"x{r.randrange(4)}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def smallest_linked(sets_, linked):
+    """Smallest position of each set's component, by brute force."""
+    label = list(range(len(sets_)))
+    moved = True
+    while moved:
+        moved = False
+        for i, a in enumerate(sets_):
+            for j, b in enumerate(sets_):
+                if label[j] < label[i] and linked(len(a & b), len(a | b)):
+                    label[i], moved = label[j], True
+    return label
+
+
+def shingles_of(text, size):
+    w = text.split()
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
+
+
+def test_jaccard_index_skips_foreign_shingles():
+    block = np.arange(1, 131, dtype=np.uint64) * np.uint64(10)
+    query = np.sort(np.concatenate([block[:90], block[:10] - np.uint64(1)]))
+    index = jaccard.Index([block[:100]], np.array([100]))  # 90 of 110 shared
+    assert index.search(query, 100, np.ones(1, bool)).tolist() == []
+    assert index.search(block[:90], 90, np.ones(1, bool)).tolist() == [0]
+
+
+def test_jaccard_over_blocks(spark):
+    texts = similar_texts(1)
+    want = smallest_linked([shingles_of(t, 4) for t in texts], lambda both, union: 100 * both >= 85 * union)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 3 < len(set(want)) < 55
+    assert want == [r.component_id for r in sorted(jaccard.group(docs, block=4).collect(), key=lambda r: r.doc_id)]
+
+
 def test_words(rows, none):
     data = [(d, t.split()) for d, t in given(rows)]
     first: dict = {}
