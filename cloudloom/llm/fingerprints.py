@@ -132,20 +132,21 @@ def edited(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(send, "part long, chunk binary").groupBy("part").applyInArrow(work, _EDITED)
 
 
-def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
+def near_duplicates(docs: DataFrame, like: float = LIKE, block: int | None = None) -> DataFrame:
     """(doc_id, group) for every row: the smallest id of the group that bands and verified likeness connect.
 
-    Texts that are equal are one node. In each band, documents of equal minima are tied to the band's smallest id, and
-    only ties whose exact Jaccard similarity reaches ``like`` stay, so no group's pairs are spelt out. Null ids and
-    wordless texts stand alone (null ids with a null group).
+    Texts that are equal are one node. Documents that share bands form families, whose sets are searched in blocks as
+    in the Jaccard join: links between components are verified on whole sets, whatever the likeness to a band's smallest
+    id, and no group's pairs are spelt out. Null ids and wordless texts stand alone (null ids with a null group).
     """
+    from cloudloom.llm import jaccard
     from cloudloom.llm.common import keep
     from cloudloom.operators.graph import components
 
     own = id_text(docs).where("doc_id IS NOT NULL").withColumn("text", F.coalesce("text", F.lit("")))
     same = own.select("doc_id", F.sha2("text", 256).alias("s"), F.xxhash64("text").alias("h"))
     nodes = keep(same.groupBy("s").agg(F.min("doc_id").alias("rep")), "near-nodes")
-    schema = "doc_id long, bands array<long>, parts binary"
+    schema = "doc_id long, n int, tokens binary, prefix array<long>"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1_000_000):
@@ -157,26 +158,12 @@ def near_duplicates(docs: DataFrame, like: float = LIKE) -> DataFrame:
             for i in range(len(texts)):
                 some = first[i + 1] > first[i]
                 bands.append([int.from_bytes(hashlib.blake2b(sig[i, b * rows : (b + 1) * rows].tobytes(), digest_size=8, salt=b.to_bytes(2)).digest(), signed=True) for b in range(BANDS)] if some else [])
-            parts = [distinct(h[first[i] : first[i + 1]]).tobytes() for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bands, pa.list_(pa.int64())), pa.array(parts, pa.binary())], names=["doc_id", "bands", "parts"])
+            parts = [distinct(h[first[i] : first[i + 1]]) for i in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in parts], pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "tokens", "prefix"])
 
     reps = own.join(nodes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     signed = keep(reps.select("doc_id", "text").mapInArrow(sign, schema), "near-signed")
-    bands = signed.select("doc_id", F.explode("bands").alias("band"))
-    hubs = bands.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    ties = bands.join(hubs, "band").where("doc_id <> hub").select("doc_id", "hub").distinct()
-    pairs = ties.join(signed.select("doc_id", F.col("parts").alias("a")), "doc_id").join(signed.select(F.col("doc_id").alias("hub"), F.col("parts").alias("b")), "hub")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                x, y = np.frombuffer(a, U), np.frombuffer(b, U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= like * (len(x) + len(y) - both))
-            yield batch.select(["doc_id", "hub"]).filter(pa.array(ok, pa.bool_()))
-
-    edges = pairs.select("doc_id", "hub", "a", "b").mapInArrow(verify, "doc_id long, hub long").select(F.col("doc_id").alias("src"), F.col("hub").alias("dst"))
+    edges = jaccard.links(signed.where("n > 0"), block or jaccard.BLOCK, round(100 * like, 9))
     groups = components(nodes.select(F.col("rep").alias("node")).distinct(), edges)
     of = nodes.join(groups, F.col("rep") == F.col("node")).select("s", F.col("component").alias("group"))
     found = same.join(of, "s").select("doc_id", "group")

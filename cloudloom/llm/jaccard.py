@@ -44,12 +44,12 @@ BIN_BYTES = 4_000_000
 SALTS = 16
 
 
-def least_overlap(n: int) -> int:
-    return (SHARE * n + 99) // 100
+def least_overlap(n: int, share: float = SHARE) -> int:
+    return int(-(-share * n // 100))
 
 
-def linked(both: int, n: int, m: int) -> bool:
-    return both > 0 and 100 * both >= SHARE * (n + m - both)
+def linked(both: int, n: int, m: int, share: float = SHARE) -> bool:
+    return both > 0 and 100 * both >= share * (n + m - both)
 
 
 def sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
@@ -170,7 +170,8 @@ def candidates(bits: int, size: int):
 class Leaders:
     """A growing inverted index of few sets, searched by DivideSkip on plain lists."""
 
-    def __init__(self):
+    def __init__(self, share: float = SHARE):
+        self.share = share
         self.lists: dict[int, list[int]] = {}
         self.size: list[int] = []
 
@@ -183,7 +184,7 @@ class Leaders:
 
     def search(self, tokens: list[int], n: int) -> Iterator[int]:
         found = [self.lists[t] for t in tokens if t in self.lists]
-        need = least_overlap(n)
+        need = least_overlap(n, self.share)
         if len(found) < need:
             return
         found.sort(key=len)
@@ -204,14 +205,14 @@ class Leaders:
         for p in probes:
             i = bisect_left(p, k)
             count += i < len(p) and p[i] == k
-        return linked(count, n, self.size[k])
+        return linked(count, n, self.size[k], self.share)
 
 
 class Index:
     """The inverted lists of a whole block, searched by DivideSkip on arrays."""
 
-    def __init__(self, tokens: list[np.ndarray], sizes: np.ndarray):
-        self.tokens, self.sizes = tokens, sizes
+    def __init__(self, tokens: list[np.ndarray], sizes: np.ndarray, share: float = SHARE):
+        self.tokens, self.sizes, self.share = tokens, sizes, share
         h = np.concatenate([np.empty(0, U), *tokens])
         doc = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
         order = np.argsort(h, kind="stable")
@@ -227,7 +228,7 @@ class Index:
         at = np.searchsorted(self.h, tokens)
         inside = at < len(self.h)
         lists = at[inside][self.h[at[inside]] == tokens[inside]]
-        need = least_overlap(n)
+        need = least_overlap(n, self.share)
         if len(lists) < need:
             return np.empty(0, np.int64)
         lists = lists[np.argsort(self.length[lists], kind="stable")]
@@ -237,7 +238,7 @@ class Index:
         start = firsts(merged)
         met, count = merged[start], np.diff(np.append(start, len(merged)))
         m = self.sizes[met]
-        ok = open_[met] & (count >= need - long) & (100 * np.minimum(m, n) >= SHARE * np.maximum(m, n))
+        ok = open_[met] & (count >= need - long) & (100 * np.minimum(m, n) >= self.share * np.maximum(m, n))
         met, count = met[ok], count[ok]
         if not len(met):
             return met
@@ -245,7 +246,7 @@ class Index:
         spot = np.searchsorted(self.keys, want)
         spot[spot == len(self.keys)] = 0
         both = count + (self.keys[spot] == want).sum(0)
-        return met[100 * both >= SHARE * (n + self.sizes[met] - both)]
+        return met[100 * both >= self.share * (n + self.sizes[met] - both)]
 
 
 class Union:
@@ -264,10 +265,10 @@ class Union:
         return a != b
 
 
-def link_block(ids: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray]) -> list[tuple[int, int]]:
+def link_block(ids: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], share: float = SHARE) -> list[tuple[int, int]]:
     """Links that connect what is connected inside one block."""
     links: list[tuple[int, int]] = []
-    union, leaders, who = Union(np.arange(len(ids))), Leaders(), []
+    union, leaders, who = Union(np.arange(len(ids))), Leaders(share), []
     for q in np.argsort(-sizes, kind="stable").tolist():
         own = tokens[q].tolist()
         hits = list(leaders.search(own, int(sizes[q])))
@@ -281,7 +282,7 @@ def link_block(ids: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray]) ->
     names, counts = np.unique(label, return_counts=True)
     if len(names) > 1:
         top = names[np.argmax(counts)]
-        links += _ask_rest(Index(tokens, sizes), np.flatnonzero(label != top), np.arange(len(ids)), union, tokens, sizes)
+        links += _ask_rest(Index(tokens, sizes, share), np.flatnonzero(label != top), np.arange(len(ids)), union, tokens, sizes)
     return [(int(ids[a]), int(ids[b])) for a, b in links]
 
 
@@ -316,12 +317,12 @@ def _bins(table: pa.Table, names: list[str]) -> Iterator[pa.Table]:
         yield table.slice(a, b - a)
 
 
-def link_bin(table: pa.Table) -> pa.Table:
-    links = [x for part in _bins(table, ["family", "block"]) for x in link_block(*_arrays(part))]
+def link_bin(table: pa.Table, share: float = SHARE) -> pa.Table:
+    links = [x for part in _bins(table, ["family", "block"]) for x in link_block(*_arrays(part), share)]
     return pa.table({"src": [x[0] for x in links], "dst": [x[1] for x in links]}, _LINKS)
 
 
-def rest_bin(table: pa.Table) -> pa.Table:
+def rest_bin(table: pa.Table, share: float = SHARE) -> pa.Table:
     """Queries (asks) against one block's sets, between components only."""
     out = []
     for part in _bins(table, ["family", "block", "turn"]):
@@ -330,7 +331,7 @@ def rest_bin(table: pa.Table) -> pa.Table:
         label = part.column("component").to_numpy()
         union = Union(label)
         base = np.flatnonzero(~asks)
-        index = Index([tokens[i] for i in base], sizes[base])
+        index = Index([tokens[i] for i in base], sizes[base], share)
         for q in np.flatnonzero(asks).tolist():
             open_ = np.array([union.find(int(label[i])) != union.find(int(label[q])) for i in base], bool)
             for k in index.search(tokens[q], int(sizes[q]), open_).tolist():
@@ -339,15 +340,15 @@ def rest_bin(table: pa.Table) -> pa.Table:
     return pa.table({"src": [x[0] for x in out], "dst": [x[1] for x in out]}, _LINKS)
 
 
-def _in_blocks(sets_: DataFrame, block: int, bins: int) -> DataFrame:
+def _in_blocks(sets_: DataFrame, block: int, bins: int, share: float) -> DataFrame:
     """Links found inside blocks of each family's sets (family, doc_id, n, tokens)."""
     counts = sets_.groupBy("family").agg(F.ceil(F.count("*") / block).alias("blocks"))
     dealt = sets_.join(counts, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     dealt = dealt.withColumn("bin", F.pmod(F.xxhash64("family", "block"), F.lit(bins)))
-    return dealt.select("bin", "family", "block", "doc_id", "n", "tokens").groupBy("bin").applyInArrow(link_bin, "src long, dst long")
+    return dealt.select("bin", "family", "block", "doc_id", "n", "tokens").groupBy("bin").applyInArrow(lambda t: link_bin(t, share), "src long, dst long")
 
 
-def links(found: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(found: DataFrame, block: int = BLOCK, share: float = SHARE) -> DataFrame:
     """Links (src, dst) that connect every component of the candidate sets (doc_id, n, tokens, prefix)."""
     prefix = found.select("doc_id", F.explode("prefix").alias("t"))
     hubs = prefix.groupBy("t").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far")).where("hub < far")
@@ -359,14 +360,14 @@ def links(found: DataFrame, block: int = BLOCK) -> DataFrame:
     volume = found.agg(F.sum(F.octet_length("tokens")).alias("b")).first()["b"] or 0
     bins = group_count(volume, BIN_BYTES)
     of = found.select("doc_id", "n", "tokens").join(family.select("doc_id", "family"), "doc_id")
-    first = keep(_in_blocks(of, block, bins), "jaccard-links")
+    first = keep(_in_blocks(of, block, bins, share), "jaccard-links")
     large = family.where(F.col("members") > block).select("doc_id", "family")
     if large.isEmpty():
         return first
     parts = keep(components(large.select(F.col("doc_id").alias("node")), first.join(large.select(F.col("doc_id").alias("src")), "src", "left_semi")), "jaccard-parts").withColumnRenamed("node", "doc_id")
     large = keep(found.select("doc_id", "n", "tokens").join(large, "doc_id"), "jaccard-large")
     leaders = large.join(parts.where("doc_id = component").select("doc_id"), "doc_id", "left_semi")
-    second = keep(first.unionByName(_in_blocks(leaders, block, bins)), "jaccard-links")
+    second = keep(first.unionByName(_in_blocks(leaders, block, bins, share)), "jaccard-links")
     parts = keep(components(parts.select(F.col("doc_id").alias("node")), second.join(parts.select(F.col("doc_id").alias("src")), "src", "left_semi")), "jaccard-parts").withColumnRenamed("node", "doc_id")
     labelled = keep(large.join(parts, "doc_id"), "jaccard-labelled")
     count = labelled.groupBy("family", "component").agg(F.count("*").alias("c"))
@@ -377,7 +378,7 @@ def links(found: DataFrame, block: int = BLOCK) -> DataFrame:
     asks = rest.where("component <> top").withColumn("turn", turn_of).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
     names = ["family", "block", "turn", "asks", "doc_id", "n", "tokens", "component"]
     both = base.select(names).unionByName(asks.select(names)).withColumn("bin", F.pmod(F.xxhash64("family", "block", "turn"), F.lit(bins)))
-    third = both.groupBy("bin").applyInArrow(rest_bin, "src long, dst long")
+    third = both.groupBy("bin").applyInArrow(lambda t: rest_bin(t, share), "src long, dst long")
     return keep(second.unionByName(third), "jaccard-links")
 
 

@@ -40,6 +40,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(table(spark, sf_dir, "documents"))
 
 
+@query("op2_near_duplicates")
+def op2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op3_html_text")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")

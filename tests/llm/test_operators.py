@@ -247,6 +247,17 @@ def test_jaccard_over_blocks(spark):
     assert want == [r.component_id for r in sorted(jaccard.group(docs, block=4).collect(), key=lambda r: r.doc_id)]
 
 
+def test_near_duplicates_beyond_the_hub(spark):
+    words = [f"w{j}" for j in range(150)]
+    # thirty smaller ids, 0.74 like the pair's first, take the head of every band that the pair (0.82) shares
+    texts = [" ".join([*words[: 4 * i], *(f"h{i}x{j}" for j in range(18)), *words[4 * i + 18 :]]) for i in range(30)]
+    texts += [" ".join(words), " ".join([*words[:70], *(f"z{j}" for j in range(10)), *words[80:]]), *similar_texts(3, n=40, words=90, most=5)]
+    want = smallest_linked([shingles_of(t, 5) for t in texts], lambda both, union: 10 * both >= 8 * union)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert want[:32] == [*range(31), 30] and len(set(want[32:])) < 40
+    assert want == [r.group for r in sorted(fingerprints.near_duplicates(docs, block=8).collect(), key=lambda r: r.doc_id)]
+
+
 def test_words(rows, none):
     data = [(d, t.split()) for d, t in given(rows)]
     first: dict = {}
