@@ -9,9 +9,11 @@
    L longest are set aside, the short ones are merged, ids met T - L times are candidates, and they are probed in the
    long lists by binary search. T is the overlap that any linked set must reach. What is already connected needs no
    further link, so a block first links sets to leaders, and then only sets outside the largest component ask.
-5. Large families of several blocks: leaders of the blocks' components meet next, and at last every set outside its
-   family's largest component asks all the family's blocks. So no link between components is missed, no pairs of a
-   group are spelt out, and all steps are exact on 64-bit shingle hashes.
+5. Large families of several blocks: leaders of the blocks' components meet next. At last, for each rare shingle that
+   several components have, every set outside the shingle's largest component asks the blocks of the shingle's other
+   sets; linked sets share such a shingle, so no link between components is missed. The sets that a block and a turn of
+   queries need are copied, and bins are sized by the copies. No pairs of a group are spelt out, and all steps are
+   exact on 64-bit shingle hashes.
 
 Defined results: null and wordless texts have an empty set and are linked with nothing; fewer words than a shingle's are
 one shingle; a null id has no links and a null component; rows of equal id are one node; an empty table gives no row.
@@ -325,18 +327,17 @@ def link_bin(table: pa.Table, share: float = SHARE) -> pa.Table:
 def rest_bin(table: pa.Table, share: float = SHARE) -> pa.Table:
     """Queries (asks) against one block's sets, between components only."""
     out = []
-    for part in _bins(table, ["family", "block", "turn"]):
+    for part in _bins(table, ["t", "block", "turn"]):
         asks = part.column("asks").to_numpy(zero_copy_only=False)
         ids, sizes, tokens = _arrays(part)
-        label = part.column("component").to_numpy()
-        union = Union(label)
+        label = part.column("component").to_numpy().copy()
         base = np.flatnonzero(~asks)
         index = Index([tokens[i] for i in base], sizes[base], share)
         for q in np.flatnonzero(asks).tolist():
-            open_ = np.array([union.find(int(label[i])) != union.find(int(label[q])) for i in base], bool)
-            for k in index.search(tokens[q], int(sizes[q]), open_).tolist():
-                if union.join(int(label[q]), int(label[base[k]])):
+            for k in index.search(tokens[q], int(sizes[q]), label[base] != label[q]).tolist():
+                if label[q] != label[base[k]]:
                     out.append((int(ids[q]), int(ids[base[k]])))
+                    label[label == label[base[k]]] = label[q]
     return pa.table({"src": [x[0] for x in out], "dst": [x[1] for x in out]}, _LINKS)
 
 
@@ -348,6 +349,25 @@ def _in_blocks(sets_: DataFrame, block: int, bins: int, share: float) -> DataFra
     return dealt.select("bin", "family", "block", "doc_id", "n", "tokens").groupBy("bin").applyInArrow(lambda t: link_bin(t, share), "src long, dst long")
 
 
+def _asking(labelled: DataFrame, block: int) -> DataFrame:
+    """(t, block, turn, asks, doc_id): for each rare shingle t that several components have, its sets as base and those
+    outside its largest component as queries. Shingles of the same sets are asked once."""
+    at = labelled.select("doc_id", "component", F.explode("prefix").alias("t")).distinct()
+    sums = [F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")]
+    per = at.groupBy("t", "component").agg(*sums)
+    mixed = per.groupBy("t").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("all"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.count("*").alias("parts")).where("parts > 1")
+    # equal members have equal components, so any of the shingles will do
+    mixed = mixed.groupBy("all", "x", "y").agg(F.min(F.struct("t", "m")).alias("k"))
+    mixed = mixed.select("k.t", F.col("k.m.component").alias("top"), F.ceil(F.col("all") / block).alias("blocks"), F.ceil((F.col("all") - F.col("k.m.c")) / block).alias("turns"))
+    salted = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = at.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(salted, ["t", "salt"])
+    block_of, turn_of = F.pmod(F.xxhash64("doc_id"), F.col("blocks")), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("turns"))
+    base = rows.withColumn("block", block_of).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).withColumn("asks", F.lit(False))
+    asks = rows.where("component <> top").withColumn("turn", turn_of).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    names = ["t", "block", "turn", "asks", "doc_id"]
+    return base.select(names).unionByName(asks.select(names))
+
+
 def links(found: DataFrame, block: int = BLOCK, share: float = SHARE) -> DataFrame:
     """Links (src, dst) that connect every component of the candidate sets (doc_id, n, tokens, prefix)."""
     prefix = found.select("doc_id", F.explode("prefix").alias("t"))
@@ -365,19 +385,16 @@ def links(found: DataFrame, block: int = BLOCK, share: float = SHARE) -> DataFra
     if large.isEmpty():
         return first
     parts = keep(components(large.select(F.col("doc_id").alias("node")), first.join(large.select(F.col("doc_id").alias("src")), "src", "left_semi")), "jaccard-parts").withColumnRenamed("node", "doc_id")
-    large = keep(found.select("doc_id", "n", "tokens").join(large, "doc_id"), "jaccard-large")
+    large = keep(found.select("doc_id", "n", "tokens", "prefix").join(large, "doc_id"), "jaccard-large")
     leaders = large.join(parts.where("doc_id = component").select("doc_id"), "doc_id", "left_semi")
     second = keep(first.unionByName(_in_blocks(leaders, block, bins, share)), "jaccard-links")
     parts = keep(components(parts.select(F.col("doc_id").alias("node")), second.join(parts.select(F.col("doc_id").alias("src")), "src", "left_semi")), "jaccard-parts").withColumnRenamed("node", "doc_id")
     labelled = keep(large.join(parts, "doc_id"), "jaccard-labelled")
-    count = labelled.groupBy("family", "component").agg(F.count("*").alias("c"))
-    top = count.groupBy("family").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("all")).select("family", F.col("m.component").alias("top"), F.ceil(F.col("all") / block).alias("blocks"), F.ceil((F.col("all") - F.col("m.c")) / block).alias("turns"))
-    rest = labelled.join(top.where("turns > 0"), "family")
-    block_of, turn_of = F.pmod(F.xxhash64("doc_id"), F.col("blocks")), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("turns"))
-    base = rest.withColumn("block", block_of).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).withColumn("asks", F.lit(False))
-    asks = rest.where("component <> top").withColumn("turn", turn_of).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-    names = ["family", "block", "turn", "asks", "doc_id", "n", "tokens", "component"]
-    both = base.select(names).unionByName(asks.select(names)).withColumn("bin", F.pmod(F.xxhash64("family", "block", "turn"), F.lit(bins)))
+    dealt = keep(_asking(labelled, block), "jaccard-asking")
+    lengths = labelled.select("doc_id", F.octet_length("tokens").alias("b"))
+    volume = dealt.groupBy("doc_id").agg(F.count("*").alias("c")).join(lengths, "doc_id").agg(F.sum(F.col("c") * F.col("b")).alias("b")).first()["b"] or 0
+    both = dealt.join(labelled.select("doc_id", "n", "tokens", "component"), "doc_id")
+    both = both.withColumn("bin", F.pmod(F.xxhash64("t", "block", "turn"), F.lit(group_count(volume, BIN_BYTES))))
     third = both.groupBy("bin").applyInArrow(lambda t: rest_bin(t, share), "src long, dst long")
     return keep(second.unionByName(third), "jaccard-links")
 

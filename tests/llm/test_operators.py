@@ -247,6 +247,16 @@ def test_jaccard_over_blocks(spark):
     assert want == [r.component_id for r in sorted(jaccard.group(docs, block=4).collect(), key=lambda r: r.doc_id)]
 
 
+def test_asking_stays_with_shared_shingles(spark):
+    """600 sets of one family in 300 components: only the sets of a shared rare shingle meet, each member set once."""
+    data = [(i, 1, i // 2, [10 * (i // 4), 10 * (i // 4) + 1, -1 - i]) for i in range(600)]
+    rows = spark.createDataFrame(data, "doc_id long, family long, component long, prefix array<long>")
+    got = jaccard._asking(rows, 10).collect()
+    assert len(got) == 600 + 300  # all pairs of blocks of the family would be 600 * 60 + 598 * 60
+    assert {r.doc_id for r in got if not r.asks} == set(range(600))
+    assert sum(r.asks for r in got) == 300 and len({r.t for r in got}) == 150
+
+
 def test_near_duplicates_beyond_the_hub(spark):
     words = [f"w{j}" for j in range(150)]
     # thirty smaller ids, 0.74 like the pair's first, take the head of every band that the pair (0.82) shares
