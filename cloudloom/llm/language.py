@@ -4,8 +4,8 @@ Features are the shares of letter trigrams (UTF-8 bytes, case folded, every othe
 ``FEATURES`` bins. Families are told apart by one-versus-one machines over families, languages inside a family by
 one-versus-one machines over its languages; votes decide, the sum of margins breaks ties.
 
-The models learn from at most ``PER_LANGUAGE`` labelled texts a language: those whose md5 of the id comes first, at
-most ``LEARN_BYTES`` of each. Prediction reads whole texts.
+The models learn from at most ``PER_LANGUAGE`` labelled texts a language: those whose md5 of the id comes first. Their
+whole texts become shares in Spark tasks, at most ``FEATURES`` numbers a row. Prediction reads whole texts, too.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; null lang is never learned from; without
 any labelled row all are ``und``; with one language all other texts get it with score 1; repeated rows agree.
@@ -24,11 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloudloom.llm import svm
-from cloudloom.llm.common import crc32_of_id, slices, texts_of, with_columns
+from cloudloom.llm.common import batch_of, crc32_of_id, slices, texts_of, with_columns
 
 FEATURES = 1 << 15
 PER_LANGUAGE = 600
-LEARN_BYTES = 6_000
 UNKNOWN = "und"
 #: Families of languages; one that is not listed is a family of its own.
 FAMILIES = {
@@ -80,8 +79,8 @@ class Tree:
         self.pairs: list[tuple[str, str, str]] = []  # (level, one, other)
         self.weights = np.empty((0, FEATURES + 1))
 
-    def learn(self, texts: list[bytes], langs: list[str]) -> "Tree":
-        first, index, value = shares(texts)
+    def learn(self, first: np.ndarray, index: np.ndarray, value: np.ndarray, langs: list[str]) -> "Tree":
+        """Fit on sparse rows of shares and their languages."""
         langs_of = np.array(langs)
         family_of = np.array([self.family[x] for x in langs])
         weights = []
@@ -142,19 +141,40 @@ class Tree:
         return out, score
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, learn_bytes: int = LEARN_BYTES, families: dict[str, str] | None = None) -> Tree:
+_SHARES = pa.schema([("lang", pa.string()), ("key", pa.string()), ("h", pa.int64()), ("copies", pa.int64()), ("at", pa.binary()), ("value", pa.binary())])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shares of each whole text that has a letter."""
+    for batch in slices(batches, 1_000_000):
+        some = pa.array([bool(_LETTER.search(t)) for t in batch.column("text").to_pylist()], pa.bool_())
+        batch = batch.filter(some)
+        if batch.num_rows:
+            first, index, value = shares(texts_of(batch))
+            packed = {"at": [index[a:b].astype("<i4").tobytes() for a, b in zip(first, first[1:])], "value": [value[a:b].astype("<f8").tobytes() for a, b in zip(first, first[1:])]}
+            yield batch_of({**{n: batch.column(n) for n in ("lang", "key", "h", "copies")}, **packed}, _SHARES)
+
+
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, families: dict[str, str] | None = None) -> Tree:
     """Fit on (doc_id, text, lang): at most ``per_language`` rows of each language."""
     key = F.md5(F.concat(F.lit("lang|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    known = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", key.alias("key"), F.substring("text", 1, learn_bytes).alias("text"))
+    known = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", key.alias("key"), F.xxhash64("text").alias("h"), "text")
     # ids that come first in the order of their digests: a salted first cut keeps the ranking small for a hot language
-    salted = known.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64)))
+    salted = known.drop("text").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64)))
     for part in (["lang", "salt"], ["lang"]):
-        rank = F.row_number().over(Window.partitionBy(*part).orderBy("key", "text"))
+        rank = F.row_number().over(Window.partitionBy(*part).orderBy("key", "h"))
         salted = salted.withColumn("rank", rank).where(F.col("rank") <= per_language)
-    rows = [(r["lang"], r["text"].encode()) for r in salted.select("lang", "text").collect() if _LETTER.search(r["text"])]
-    rows.sort()
-    tree = Tree(sorted({r[0] for r in rows}), FAMILIES if families is None else families)
-    return tree.learn([r[1][:learn_bytes] for r in rows], [r[0] for r in rows]) if rows else tree
+    # at most per_language keys a language; a row that repeats is read once and counts as often as it was drawn
+    drawn = salted.groupBy("lang", "key", "h").agg(F.count("*").alias("copies"))
+    texts = known.join(F.broadcast(drawn), ["lang", "key", "h"]).dropDuplicates(["lang", "key", "h"]).select("lang", "key", "h", "copies", "text")
+    found = texts.mapInArrow(_shared, "lang string, key string, h long, copies long, at binary, value binary").collect()
+    rows = [r for r in sorted(found, key=lambda r: (r["lang"], r["key"], r["h"])) for _ in range(r["copies"])]
+    tree = Tree(sorted({r["lang"] for r in rows}), FAMILIES if families is None else families)
+    if not rows:
+        return tree
+    at = [np.frombuffer(r["at"], "<i4") for r in rows]
+    value = np.concatenate([np.frombuffer(r["value"], "<f8") for r in rows])
+    return tree.learn(np.concatenate([[0], np.cumsum([len(x) for x in at])]), np.concatenate(at).astype(np.int64), value, [r["lang"] for r in rows])
 
 
 def identify(docs: DataFrame, tree: Tree) -> DataFrame:

@@ -3,8 +3,8 @@
 Features are words and pairs of neighbouring words, hashed to ``FEATURES`` bins, each present or not. The log-count
 ratios come from all labelled rows of the learning folds, counted in Spark: every task adds up its documents' bins
 before anything moves. The machine, fitted by dual coordinate descent, sees at most ``PER_CLASS`` rows a class, those
-whose md5 of the id comes first, with at most ``LEARN_BYTES`` of each text, which bounds the driver's memory. A logistic
-curve fitted on those rows turns margins into scores. Scoring reads whole texts.
+whose md5 of the id comes first. Their whole texts become bins in Spark tasks, at most ``FEATURES`` numbers a row. A
+logistic curve fitted on those rows turns margins into scores. Scoring reads whole texts.
 
 Defined results: null and empty text have no feature and get the score of the bias; rows without label, or with a null
 id, are not learned from; with fewer than two classes every score is the share of class 1 (0.5 without any label);
@@ -28,7 +28,6 @@ from cloudloom.llm.text import U, Words, distinct, mix
 
 FEATURES = 1 << 18
 PER_CLASS = 2_000
-LEARN_BYTES = 6_000
 SMOOTH = 1.0
 FOLDS, HELD_OUT = 5, 0
 CUT = 0.3
@@ -84,7 +83,18 @@ def count_bins(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, learn_bytes: int = LEARN_BYTES) -> Model:
+_BINNED = pa.schema([("label", pa.int32()), ("key", pa.string()), ("bins", pa.binary())])
+
+
+def _binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bins of each whole text."""
+    for batch in slices(batches, 1_000_000):
+        bins, first = features(texts_of(batch))
+        own = bins.astype("<i4")
+        yield batch_of({"label": batch.column("label"), "key": batch.column("key"), "bins": [own[a:b].tobytes() for a, b in zip(first, first[1:])]}, _BINNED)
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit on documents (doc_id, text) and their labels (doc_id, label), label 0 or 1. Texts move once, for the counts, at every size."""
     known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").select(F.col("doc_id").alias("of"), F.col("label").cast("int").alias("label"))
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -96,14 +106,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, learn_
     for part in (["label", "salt"], ["label"]):
         few = few.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy("key"))).where(F.col("rank") <= per_class)
     # at most 2 * per_class ids
-    drawn = texts.join(F.broadcast(few.select("of", "label", "key")), match).select("label", "key", F.substring("text", 1, learn_bytes).alias("text"))
-    drawn = drawn.orderBy("key", "text").limit(4 * per_class)
-    rows = sorted((r["label"], r["text"].encode()[:learn_bytes]) for r in drawn.collect())
+    drawn = texts.join(F.broadcast(few.select("of", "label", "key")), match).select("label", "key", "text")
+    drawn = drawn.mapInArrow(_binned, "label int, key string, bins binary").orderBy("key", "bins").limit(4 * per_class)
+    rows = sorted((r["label"], bytes(r["bins"])) for r in drawn.collect())
     label = np.array([1.0 if r[0] else -1.0 for r in rows])
     if len(set(label)) < 2:
         share = 0.5 if not len(label) else float(label[0] > 0)
         return Model(np.zeros(FEATURES), 0.0, 0.0, {0.0: -60.0, 0.5: 0.0, 1.0: 60.0}[share])
-    bins, first = features([r[1] for r in rows])
+    each = [np.frombuffer(r[1], "<i4") for r in rows]
+    bins, first = np.concatenate(each).astype(np.int64), np.concatenate([[0], np.cumsum([len(b) for b in each])])
     value = ratio[bins] / np.sqrt(np.maximum(1, np.repeat(np.diff(first), np.diff(first))))
     w = svm.fit(first, bins, value, label, FEATURES, cost=1.0)
     margin = np.add.reduceat(np.append(w[bins] * value, 0.0), np.minimum(first[:-1], len(bins))) * (np.diff(first) > 0) + w[FEATURES]

@@ -38,6 +38,18 @@ def test_language(rows, none, spark, sf_dir):
     assert {r.lang_pred for r in language.identify(rows, language.learn_from(none)).collect()} == {"und"}
 
 
+def test_training_reads_whole_texts(spark):
+    r = random.Random(5)
+    lead = " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(1_000)) + " "  # the same 7000 bytes for all
+    docs = spark.createDataFrame([(i, lead + ("der Hund und die Katze " if i % 2 else "el perro con los gatos ") * 20, ("de", "es")[i % 2 == 0]) for i in range(40)], "doc_id long, text string, lang string")
+    tree = language.train(docs)
+    assert tree.names == ["de", "es"]
+    assert all(r.lang == r.lang_pred for r in language.identify(docs, tree).collect())
+    model = quality.train(docs, docs.selectExpr("doc_id", "CAST(lang = 'de' AS INT) AS label"))
+    scores = {r.lang: r.score for r in quality.score(docs, model).collect()}
+    assert scores["de"] > 0.5 > scores["es"]
+
+
 def small_text(rows, i):
     return rows.where(f"doc_id = {i}").first().text
 
