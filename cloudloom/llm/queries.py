@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import bytespans, decontaminate, extract, fingerprints, jaccard, language, mixing, quality, substrings, tokens
+from cloudloom.llm import bytespans, chat, decontaminate, divergence, extract, fingerprints, jaccard, language, mixing, phrases, quality, substrings, tokens
 from cloudloom.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_suffix_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytespans.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
+@query("op11_source_audit", divergence.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_chat_format", chat.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest_table(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_phrases", phrases.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
