@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,24 +28,27 @@ def local_session(cores: int | str = "*", app: str = "cloudloom", **conf) -> Spa
     return spark
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cloudloom-ckpt-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if shared:
+            sc.setCheckpointDir(shared)
+        elif sc.master.startswith("local[") or sc.master == "local":
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="cloudloom-ckpt-"))
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+    """Materialise ``df`` as a table in the shared checkpoint folder and drop its lineage.
 
     Iterative operators call this once per round, so that the plan stays flat
-    and a lost executor costs at most one round.
+    and a lost executor costs at most one round.  A table, unlike a checkpointed
+    plan, carries no constraints of the plans it came from; those multiply with
+    every round until planning alone takes minutes.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
