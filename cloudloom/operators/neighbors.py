@@ -160,17 +160,24 @@ def k_nearest(
     size = max(2 * k, 32)  # base points aimed at per leaf cell
     budget = budget or 8 * size
     s = _Search(dims, by, need, budget, metric, differ)
-    same = query is base
+    same = query is base and query_id == base_id
+    taken = [(c, f"nbr_{c}") for c in carry]
+    kept = [(c, f"_keep_{c}") for c in keep]
 
     def shape(df, ident, label, extra):
         cols = [F.col(c).alias(c) for c in by] + [F.col(ident).alias("_id")]
         cols += [F.col(c).cast("double").alias(f"_p{i}") for i, c in enumerate(coords)]
         if differ:
             cols.append(F.col(differ).alias(label))
-        return df.select(*cols, *[F.col(c).alias(name) for c, name in extra])
-
-    b = shape(base, base_id, "_label", [(c, f"nbr_{c}") for c in carry])
-    q = shape(query, query_id, "_qlabel", [(c, f"_keep_{c}") for c in keep])
+        # the input is read by every step of the search, so whatever made it runs once
+        return cut(df.select(*cols, *[F.col(c).alias(name) for c, name in extra]))
+
+    if same:
+        b = shape(base, base_id, "_label", [*taken, *kept])
+        q = b.select(*[F.col(c).alias("_qlabel" if c == "_label" else c) for c in b.columns if c not in [n for _, n in taken]])
+        b = b.drop(*[n for _, n in kept])
+    else:
+        b, q = shape(base, base_id, "_label", taken), shape(query, query_id, "_qlabel", kept)
 
     bounds = [F.min(f"_p{i}").alias(f"lo{i}") for i in range(dims)]
     bounds += [F.max(f"_p{i}").alias(f"hi{i}") for i in range(dims)]

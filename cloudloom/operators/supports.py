@@ -60,7 +60,8 @@ def projected(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 def gap_split(points: DataFrame, keys: Sequence[str], ratio: float = 8.0, min_size: int = 4, ident: str = "center_id") -> DataFrame:
     """Adds ``path``: turns of splitting each cluster at wide gaps along its axis; small fragments are dropped."""
     def distributed(rows: DataFrame, key: list[str]) -> DataFrame:
-        rows = projected(rows, key).join(group_spacing(rows, key, ident), key)
+        rows = cut(projected(rows, key).select(*key, ident, "x", "y", "z", "t"))
+        rows = rows.join(group_spacing(rows, key, ident), key)
         cuts = largest_gap(rows, key, "t", F.col("spacing") * ratio)
         return rows.join(cuts, key).select(*key, ident, (F.col("t") < F.col("cut")).alias("_left"))
 
