@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -202,42 +203,117 @@ def merge_candidates(micro: DataFrame, by: Sequence[str], spacing: float, cfg: C
     return near.where(lateral <= cfg.merge_lateral_scale * spacing).select(*by, "cluster_i", "cluster_j")
 
 
-def merge(micro: DataFrame, by: Sequence[str], spacing: float, cfg: ClusterConfig) -> DataFrame:
+#: Trials of one component that are looked ahead in a round.
+LOOKAHEAD = 256
+
+
+class _Replay:
+    """The one-by-one merge of one key's candidates, with the outcomes known so far.
+
+    A candidate whose trial is not known yet is taken for good, and its trial is put down to be looked at.  What was
+    found counts only for the very list of members it was found for, so a trial that rested on a merge that failed is
+    looked at again.
+    """
+
+    def __init__(self, ahead: int):
+        self.ahead, self.members, self.root = ahead, {}, {}
+        self.trials: list[tuple[int, int, int, list[int]]] = []
+
+    def find(self, x: int) -> int:
+        while self.root.setdefault(x, x) != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
+        return x
+
+    def union(self, i: int, j: int) -> None:
+        ri, rj = self.find(i), self.find(j)
+        self.members[rj] = self.members.get(rj, [rj]) + self.members.pop(ri, [ri])
+        self.root[ri] = rj
+
+    def run(self, rows: list[tuple[int, int, int | None, bool | None]]) -> "_Replay":
+        """``rows``: (cluster_i, cluster_j, mark of the members looked at, whether they show a gap)."""
+        rows = sorted(rows, key=lambda r: r[:2])
+        whole = _Replay(0)
+        for i, j, _, _ in rows:
+            if whole.find(i) != whole.find(j):
+                whole.union(i, j)
+        looked: dict[int, int] = {}
+        for i, j, mark, gap in rows:
+            ri, rj = self.find(i), self.find(j)
+            if ri == rj:
+                continue
+            part = whole.find(i)
+            if looked.get(part, 0) > self.ahead:
+                continue
+            both = self.members.get(ri, [ri]) + self.members.get(rj, [rj])
+            now = int.from_bytes(hashlib.blake2b(np.array(both, np.int64).tobytes(), digest_size=8).digest(), "little", signed=True)
+            if mark is not None and mark == now:
+                if gap:
+                    continue
+            else:
+                looked[part] = looked.get(part, 0) + 1
+                if looked[part] > self.ahead:
+                    continue
+                self.trials.append((i, j, now, both))
+            self.union(i, j)
+        return self
+
+
+def merge(micro: DataFrame, by: Sequence[str], spacing: float, cfg: ClusterConfig, ahead: int = LOOKAHEAD) -> DataFrame:
     """Joins candidate pairs in id order unless the union would show a lateral gap.
 
-    A candidate depends only on earlier ones that touch its two clusters.  So
-    each round decides, all at once, every candidate that is the smallest left
-    at both of its clusters; the outcome is that of the one-by-one order.
+    A candidate's trial looks at all members that its two sides have gathered by then, so the outcome depends on the
+    order by definition.  A round replays the order on cluster ids alone, taking unknown trials for good, and looks at
+    all unknown trials together, up to ``ahead`` of each connected set of clusters.  A round settles every trial that
+    rests on no failed merge, so a chain of n merges takes n / ``ahead`` rounds and one more for each failure that
+    others rest on.  Members stand in the order in which the unions list them, each cluster's by id.
     """
     by = list(by)
     micro = cut(micro)
-    todo = cut(merge_candidates(micro.where(F.col("cluster").isNotNull()), by, spacing, cfg).select(*by, "cluster_i", "cluster_j"))
+    pair = ["cluster_i", "cluster_j"]
+    todo = merge_candidates(micro.where(F.col("cluster").isNotNull()), by, spacing, cfg).select(*by, *pair)
+    todo = cut(todo.withColumns({"mark": F.lit(None).cast("long"), "gap": F.lit(None).cast("boolean")}))
     if todo.isEmpty():
         return micro
-    touched = todo.select(*by, F.col("cluster_i").alias("cluster")).unionByName(todo.select(*by, F.col("cluster_j").alias("cluster"))).distinct()
-    rows = micro.join(touched, [*by, "cluster"]).select(*by, "cluster", "center_id", "x", "y", "z", "tx", "ty", "tz")
-    root = cut(touched.withColumn("root", F.col("cluster")))
+    ids = T.StructType([todo.schema[c] for c in by])
+    touched = todo.select(*by, F.explode(F.array(*pair)).alias("cluster")).distinct()
+    rows = cut(micro.join(touched, [*by, "cluster"]).select(*by, "cluster", "center_id", "x", "y", "z", "tx", "ty", "tz"))
     threshold = cfg.split_lateral_scale * spacing
+
+    def replay(table: pa.Table) -> _Replay:
+        return _Replay(ahead).run(list(zip(*(table.column(c).to_pylist() for c in (*pair, "mark", "gap")))))
+
+    def keyed(key: tuple, n: int) -> dict:
+        return {c: pa.array([k.as_py()] * n, k.type) for c, k in zip(by, key)}
+
+    def plan(key: tuple, table: pa.Table) -> pa.Table:
+        t = replay(table).trials
+        return pa.table({**keyed(key, len(t)), "cluster_i": pa.array([x[0] for x in t], pa.int64()), "cluster_j": pa.array([x[1] for x in t], pa.int64()),
+                         "mark": pa.array([x[2] for x in t], pa.int64()), "members": pa.array([x[3] for x in t], pa.list_(pa.int64()))})
+
+    def roots(key: tuple, table: pa.Table) -> pa.Table:
+        r = replay(table)
+        sets = [m for m in r.members.values() if len(m) > 1]
+        flat = [(c, min(m)) for m in sets for c in m]
+        return pa.table({**keyed(key, len(flat)), "cluster": pa.array([c for c, _ in flat], pa.int64()), "root": pa.array([c for _, c in flat], pa.int64())})
+
+    long = T.LongType()
+    planned = T.StructType([*ids, *[T.StructField(c, long) for c in (*pair, "mark")], T.StructField("members", T.ArrayType(long))])
+    rooted = T.StructType([*ids, T.StructField("cluster", long), T.StructField("root", long)])
+    key = [*by, *pair]
     while True:
-        named = todo.join(root.select(*by, F.col("cluster").alias("cluster_i"), F.col("root").alias("ri")), [*by, "cluster_i"])
-        named = named.join(root.select(*by, F.col("cluster").alias("cluster_j"), F.col("root").alias("rj")), [*by, "cluster_j"]).where("ri <> rj")
-        named = cut(named.withColumn("_c", F.struct("cluster_i", "cluster_j")))
-        ends = named.select(*by, F.col("ri").alias("root"), "_c").unionByName(named.select(*by, F.col("rj").alias("root"), "_c"))
-        least = ends.groupBy(*by, "root").agg(F.min("_c").alias("_m"))
-        first = named
-        for side in ("ri", "rj"):
-            first = first.join(least.select(*by, F.col("root").alias(side), F.col("_m").alias(f"_m{side}")), [*by, side]).where(F.col("_c") == F.col(f"_m{side}"))
-        first = cut(first.select(*by, "cluster_i", "cluster_j", "ri", "rj", F.least("ri", "rj").alias("trial")))
-        if first.isEmpty():
+        trials = cut(todo.groupBy(*by).applyInArrow(plan, planned))
+        if trials.isEmpty():
             break
-        key = [*by, "trial"]
-        members = first.select(*key, F.explode(F.array("ri", "rj")).alias("root")).join(root, [*by, "root"]).select(*key, "cluster")
-        grouped = tangent_groups(rows.join(members, [*by, "cluster"]), key, cfg.cos_th)
-        _, cuts = lateral_gaps(grouped, [*key, "dir_group"], threshold, cfg.min_cluster_points)
-        good = first.join(cuts.select(*key).distinct(), key, "left_anti")
-        change = good.select(*by, F.greatest("ri", "rj").alias("root"), F.col("trial").alias("_to"))
-        root = cut(root.join(change, [*by, "root"], "left").withColumn("root", F.coalesce("_to", "root")).drop("_to"))
-        todo = cut(named.select(*by, "cluster_i", "cluster_j").join(first.select(*by, "cluster_i", "cluster_j"), [*by, "cluster_i", "cluster_j"], "left_anti"))
+        members = trials.select(*key, F.posexplode("members").alias("_at", "cluster")).join(rows, [*by, "cluster"])
+        members = cut(members.withColumn("_order", F.struct("_at", "center_id")).drop("_at", "cluster", "center_id"))
+        grouped = tangent_groups(members, key, cfg.cos_th, "_order")
+        _, cuts = lateral_gaps(grouped, [*key, "dir_group"], threshold, cfg.min_cluster_points, "_order")
+        bad = cuts.select(*key).distinct().withColumn("_bad", F.lit(True))
+        seen = trials.join(bad, key, "left").select(*key, F.col("mark").alias("_mark"), F.coalesce("_bad", F.lit(False)).alias("_gap"))
+        todo = todo.join(seen, key, "left").select(*key, F.coalesce("_mark", "mark").alias("mark"), F.when(F.col("_mark").isNotNull(), F.col("_gap")).otherwise(F.col("gap")).alias("gap"))
+        todo = cut(todo)
+    root = todo.groupBy(*by).applyInArrow(roots, rooted)
     out = micro.join(root, [*by, "cluster"], "left")
     return out.withColumn("cluster", F.coalesce("root", "cluster")).drop("root")
 
