@@ -24,6 +24,7 @@ language has no pair rows; repeated rows count as often as they stand; an empty
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -47,11 +48,19 @@ _COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", p
 def collapse(docs: DataFrame) -> DataFrame:
     """(lang, text, sources): each distinct text of a language once, with (source, copies) of every source that has it.
 
-    Copies meet in the map-side half of the first aggregation, so a text that a third of all rows repeat travels once
-    a task and source.
+    Copies are first counted inside each Arrow batch, then in the map-side half of the aggregation, so a text that a
+    third of all rows repeat travels once a task; ``sources`` has at most one entry a source and batch.
     """
     read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    held = read.groupBy("lang", "text", "source").agg(F.count("*").alias("copies"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = ["lang", "source", "text"]
+            count = Counter(zip(*(batch.column(n).to_pylist() for n in names)))
+            columns = [pa.array(c, pa.string()) for c in zip(*count)] or [pa.array([], pa.string())] * 3
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(count.values()), pa.int64())], names=[*names, "copies"])
+
+    held = read.mapInArrow(fold, "lang string, source string, text string, copies long")
     return held.groupBy("lang", "text").agg(F.collect_list(F.struct("source", "copies")).alias("sources"))
 
 
@@ -102,13 +111,12 @@ def shares(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFr
 
     ``q`` is the language's own share of the term.
     """
-    texts = keep(collapse(docs), "divergence-texts")
-    counts = keep(count_terms(texts), "divergence-counts")
+    counts = keep(count_terms(collapse(docs)), "divergence-counts")
     kept = counts.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("cnt").alias("all")).where(F.col("df") >= min_docs).drop("df")
     kept = keep(kept, "divergence-kept")
     size = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all").alias("n_lang"))
     used = keep(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "cnt"), "divergence-used")
-    groups = texts.select("lang", F.explode("sources.source").alias("source")).distinct()
+    groups = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
     groups = groups.join(used.groupBy("lang", "source").agg(F.sum("cnt").alias("n")), ["lang", "source"], "left").join(size, "lang", "left")
     groups = groups.select("lang", "source", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("n", F.lit(0)).alias("n"))
     groups = keep(groups.withColumn("p0", share("0")), "divergence-groups")
