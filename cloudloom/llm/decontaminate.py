@@ -5,8 +5,9 @@ one.  Documents are searched word-wise: a shift table over blocks of two words t
 shift of nought opens the bucket of patterns that end in that block, the bucket is split by its patterns' first word,
 and a comparison of the words confirms.
 
-Patterns go to the executors in blocks of at most ``block_windows`` windows, so what a task holds is bounded however
-large the benchmark is; with several blocks a task searches its documents once for each. Documents are never shuffled.
+Patterns go to the executors in blocks of at most ``block_windows`` windows, compressed texts of a few bytes a window;
+a worker builds one block at a time, as arrays of word numbers, and searches its documents once for each block.
+Documents are never shuffled.
 
 Defined results: null or wordless text has no words and no hits; a null item text has no windows; windows of a null
 item_id hit words but name no item; repeated rows are judged each on its own; an empty benchmark hits nothing.
@@ -15,8 +16,11 @@ item_id hit words but name no item; repeated rows are judged each on its own; an
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+import pickle
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -32,62 +36,89 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_BLANK).split()
 
 
+def windows(words: list[bytes], size: int) -> Iterator[tuple[bytes, ...]]:
+    for i in range(max(0, len(words) - size) + 1 if words else 0):
+        yield tuple(words[i : i + size])
+
+
 class WuManber:
-    """Searches word patterns of one length."""
-
-    def __init__(self, length: int, patterns: Iterable[tuple[bytes, ...]]):
-        self.length, self.block = length, min(2, length)
-        self.jump = length - self.block + 1
-        self.shift: dict = {}
-        self.bucket: dict = {}
-        for p in patterns:
-            for end in range(self.block, length + 1):
-                key = self._key(p, end)
-                self.shift[key] = min(self.shift.get(key, self.jump), length - end)
-            self.bucket.setdefault(self._key(p, length), {}).setdefault(p[0], []).append(p)
-
-    def _key(self, words, end: int):
-        return (words[end - 2], words[end - 1]) if self.block == 2 else words[end - 1]
-
-    def scan(self, words: list[bytes]) -> Iterator[tuple[int, tuple[bytes, ...]]]:
-        """(start, pattern) of each occurrence."""
-        m, n, get, jump, two = self.length, len(words), self.shift.get, self.jump, self.block == 2
+    """Searches windows of one length, given as rows of word numbers.
+
+    A block of two words is the number ``one * size + other``. Shifts stand in one dict of the blocks that occur, the
+    windows themselves in one array sorted by their last block and first word; a bucket is a range of its rows.
+    """
+
+    def __init__(self, windows: np.ndarray, size: int):
+        self.length, self.size = windows.shape[1], size
+        self.block = min(2, self.length)
+        self.jump = self.length - self.block + 1
+        last, first = self._blocks(windows, self.length), windows[:, 0]
+        order = np.lexsort((first, last))
+        self.windows, self.order = windows[order], order
+        last, first = last[order], first[order].astype(np.int64)
+        # the far shifts first, so that nearer ones of the same block stay
+        self.shift: dict[int, int] = {}
+        for end in range(self.block, self.length + 1):
+            self.shift.update(dict.fromkeys(self._blocks(windows, end).tolist(), self.length - end))
+        starts = np.flatnonzero(np.concatenate([[True], (last[1:] != last[:-1]) | (first[1:] != first[:-1])]))
+        self.bucket = dict(zip(zip(last[starts].tolist(), first[starts].tolist()), zip(starts.tolist(), [*starts[1:].tolist(), len(last)])))
+
+    def _blocks(self, windows: np.ndarray, end: int) -> np.ndarray:
+        other = windows[:, end - 1].astype(np.int64)
+        return windows[:, end - 2].astype(np.int64) * self.size + other if self.block == 2 else other
+
+    def scan(self, words: list[int]) -> Iterator[tuple[int, int]]:
+        """(start, window) of each occurrence in word numbers, -1 for words that no window has."""
+        m, n, size, get, jump, two = self.length, len(words), self.size, self.shift.get, self.jump, self.block == 2
         i = m
         while i <= n:
-            key = (words[i - 2], words[i - 1]) if two else words[i - 1]
+            key = words[i - 1]
+            if key < 0:
+                i += m
+                continue
+            if two:
+                if words[i - 2] < 0:
+                    i += m - 1
+                    continue
+                key += words[i - 2] * size
             step = get(key, jump)
             if step:
                 i += step
                 continue
-            for p in self.bucket[key].get(words[i - m], ()):
-                if tuple(words[i - m : i]) == p:
-                    yield i - m, p
+            lo, hi = self.bucket.get((key, words[i - m]), (0, 0))
+            for row in range(lo, hi):
+                if self.windows[row].tolist() == words[i - m : i]:
+                    yield i - m, int(self.order[row])
             i += 1
 
 
-def windows(words: list[bytes], size: int) -> Iterator[tuple[bytes, ...]]:
-    for i in range(max(0, len(words) - size) + 1 if words else 0):
-        yield tuple(words[i : i + size])
-
-
 class Patterns:
-    """One block of windows: automata by length, and the items of each window."""
+    """One block of windows: a searcher for each length, and the items of each window."""
 
     def __init__(self, items: list[tuple[int | None, list[bytes]]], size: int):
-        self.items: dict[tuple[bytes, ...], set] = {}
+        self.number: dict[bytes, int] = {}
+        by_length: dict[int, tuple[list, list]] = {}
         for item, words in items:
-            for w in windows(words, size):
-                self.items.setdefault(w, set()).add(item)
-        by_length: dict[int, list] = {}
-        for w in self.items:
-            by_length.setdefault(len(w), []).append(w)
-        self.automata = [WuManber(n, p) for n, p in sorted(by_length.items())]
+            row = np.array([self.number.setdefault(w, len(self.number)) for w in words], np.int32)
+            if len(row):
+                n = min(size, len(row))
+                found, owner = by_length.setdefault(n, ([], []))
+                found.append(np.lib.stride_tricks.sliding_window_view(row, n))
+                owner += [item] * (len(row) - n + 1)
+        self.searchers = []
+        for n, (found, owner) in sorted(by_length.items()):
+            every, back = np.unique(np.concatenate(found), axis=0, return_inverse=True)
+            order = np.argsort(back.ravel(), kind="stable")
+            edge = np.searchsorted(back.ravel()[order], np.arange(len(every) + 1))
+            self.searchers.append((WuManber(every, len(self.number)), [owner[k] for k in order.tolist()], edge))
 
     def search(self, words: list[bytes], hit: bytearray, found: set) -> None:
-        for a in self.automata:
-            for at, p in a.scan(words):
+        get = self.number.get
+        known = [get(w, -1) for w in words]
+        for a, owner, edge in self.searchers:
+            for at, k in a.scan(known):
                 hit[at : at + a.length] = b"\1" * a.length
-                found |= self.items[p]
+                found.update(owner[edge[k] : edge[k + 1]])
 
 
 def item_blocks(benchmark: DataFrame, size: int, block_windows: int) -> Iterator[list[tuple[int | None, list[bytes]]]]:
@@ -107,31 +138,45 @@ def item_blocks(benchmark: DataFrame, size: int, block_windows: int) -> Iterator
         yield block
 
 
+def pressed(block: list[tuple[int | None, list[bytes]]]) -> bytes:
+    return zlib.compress(pickle.dumps([(item, b" ".join(words)) for item, words in block]))
+
+
+def loaded(block: bytes, size: int) -> Patterns:
+    return Patterns([(item, text.split(b" ")) for item, text in pickle.loads(zlib.decompress(block))], size)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """All columns of ``docs`` and n_words, n_hit, n_items, items_sha256, contaminated."""
     sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in item_blocks(benchmark, size, block_windows)]
+    blocks = [sc.broadcast(pressed(b)) for b in item_blocks(benchmark, size, block_windows)]
     added = {"n_words": T.LongType(), "n_hit": T.LongType(), "n_items": T.LongType(), "items_sha256": T.StringType(), "contaminated": T.BooleanType()}
     shape = T.StructType([f for f in docs.schema if f.name not in added] + [T.StructField(n, t) for n, t in added.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = Patterns(blocks[0].value, size) if len(blocks) == 1 else None
-        for batch in slices(batches, 8_000_000 if only else 32_000_000):
-            lists = [words_of(t) for t in texts_of(batch)]
-            hits, found = [bytearray(len(w)) for w in lists], [set() for _ in lists]
-            for b in blocks:
-                patterns = only or Patterns(b.value, size)
-                for words, hit, items in zip(lists, hits, found):
-                    patterns.search(words, hit, items)
+        only = loaded(blocks[0].value, size) if len(blocks) == 1 else None
+        for batch in slices(batches, 4_000_000 if only else 32_000_000):
+            texts = texts_of(batch)
+            counts, hits, found = [0] * len(texts), [bytearray() for _ in texts], [set() for _ in texts]
+            # one block of patterns and the words of one text are held at a time
+            for k in range(max(1, len(blocks))):
+                patterns = only or (loaded(blocks[k].value, size) if blocks else None)
+                for i, text in enumerate(texts):
+                    words = words_of(text)
+                    if k == 0:
+                        counts[i], hits[i] = len(words), bytearray(len(words))
+                    if patterns:
+                        patterns.search(words, hits[i], found[i])
             names = [sorted(str(i) for i in s if i is not None) for s in found]
             n_hit = [h.count(1) for h in hits]
             yield with_columns(batch, {
-                "n_words": pa.array(list(map(len, lists)), pa.int64()),
+                "n_words": pa.array(counts, pa.int64()),
                 "n_hit": pa.array(n_hit, pa.int64()),
                 "n_items": pa.array(list(map(len, names)), pa.int64()),
                 "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
                 "contaminated": pa.array([n > 0 for n in n_hit]),
             })
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, shape)
 

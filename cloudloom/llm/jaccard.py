@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import GROUP_BYTES, batch_of, group_count, keep, slices, texts_of
+from cloudloom.llm.common import batch_of, group_count, keep, slices, texts_of
 from cloudloom.llm.exchange import Groups, answered, below, bounds, firsts, told_in_order
 from cloudloom.llm.fingerprints import shingles
 from cloudloom.llm.text import U, distinct, mix
@@ -43,6 +43,8 @@ SHARE = 85  # hundredths of the union
 BLOCK = 1_000
 MU = 0.0085  # weight of the logarithm when the number of long lists is chosen
 BIN_BYTES = 4_000_000
+#: Text bytes a group of documents aims at.
+GROUP_BYTES = 6_000_000
 SALTS = 16
 
 
