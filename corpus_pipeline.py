@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
-1. language_id      rejects texts in no known language (null, or without any letter)
+1. language_id      rejects texts in no language: exactly those that the operator calls ``und``, null or without any
+                    letter. A text with letters always gets one of the learned languages, and none goes for a low score.
 2. jaccard_join     of each group of documents linked by shingle overlap, only the smallest id stays
 3. decontamination  documents that hold a benchmark window go
 4. mixing           documents are taken as often as the source mix says
@@ -19,10 +20,21 @@ from cloudloom.llm import decontaminate, jaccard, language, mixing, tokens
 from cloudloom.llm.common import keep, ship, table
 
 
+#: Columns of ``documents`` that the operators read; all others travel under names that no operator uses.
+READ = ("doc_id", "text", "lang", "source")
+
+
+def with_own_columns(docs: DataFrame, work) -> DataFrame:
+    """``work(docs)`` with the columns of ``docs`` alone, whatever the operator calls its own."""
+    away = {c: f"__docs_{i}" for i, c in enumerate(docs.columns) if c not in READ}
+    out = work(docs.withColumnsRenamed(away))
+    return out.select(*[F.col(away.get(c, c)).alias(c) for c in docs.columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = language.identify(docs, language.learn_from(docs))
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    tree = language.learn_from(docs)
+    return with_own_columns(docs, lambda d: language.identify(d, tree).where(F.col("lang_pred") != language.UNKNOWN))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,14 +50,14 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.where("NOT contaminated").select(*docs.columns)
+    items = table(spark, sf_dir, "benchmark")
+    return with_own_columns(docs, lambda d: decontaminate.decontaminate(d, items).where("NOT contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = mixing.mix(docs).where("copies > 0")
-    return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return with_own_columns(docs, lambda d: mixing.mix(d).where("copies > 0").withColumn("copy", times))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
