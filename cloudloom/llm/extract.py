@@ -2,8 +2,11 @@
 
 A page becomes a sequence of words and tags. Words score positive, tags negative; the weights come from labelled pages
 as log odds of standing inside the main text, words set to 1. One linear scan keeps the best run so far (Kadane).
-Elements that are never main text (menus, footers, adverts, forms, scripts ... by element or by class) score only
-their tags, and their words never reach the output even inside the run.
+Elements that are never main text by what they are (menus, footers, forms, scripts ...) score only their tags, and
+their words never reach the output even inside the run. The same holds for elements that a whole class, id or role
+names as such (``ad``, ``site-footer``, ``comment-list``): every part of the name must be a word for such matter or for
+a container, so ``has-sidebar`` or ``comments-open`` name nothing. An element that holds an article or main element, or
+more than half of the page's words, is never taken for noise by its name; the scan decides on it.
 
 Defined results: null, empty and tagless-wordless html give the empty text; a page whose tags outweigh all words gives
 the empty text too; broken markup is read as browsers do: a close tag closes what is open inside it, an unfinished tag
@@ -37,100 +40,156 @@ NOISE_CLASS = set("ad ads advert adverts advertisement advertising sponsor spons
 PRIOR = {**{t: (20, 2) for t in "p b i em strong br h1 h2 h3 h4 h5 h6 blockquote pre code q sub sup span article section ul ol li a img figure figcaption table tr td th tbody thead".split()}, **{t: (1, 20) for t in NOISE}}
 TAG_FLOOR, TAG_TOP = -8.0, -0.05
 
+#: Words that only say where or what kind of box, beside a word for noise in one name.
+BOX_WORDS = set("list box container wrapper wrap block section area inner outer bar item items post posts site page top bottom left right primary secondary slot unit link links thread group panel zone".split())
+
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*>|[^>]*\Z)""", re.S)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 
-def is_noise(name: str, attrs: str) -> bool:
-    if name in NOISE:
-        return True
+def named_noise(name: str, attrs: str) -> bool:
+    """A whole class, id or role says that the element is no main text."""
     if len(attrs) < 4 or name in ("body", "html", "main"):
         return False
     for m in _NAMES.finditer(attrs):
-        for word in re.split(r"[^a-z]+", m[1].lower()):
-            if word in NOISE_CLASS:
+        for token in m[1].strip("\"'").lower().split():
+            parts = [p for p in re.split(r"[-_\d]+", token) if p]
+            if any(p in NOISE_CLASS for p in parts) and all(p in NOISE_CLASS or p in BOX_WORDS for p in parts):
                 return True
     return False
 
 
 class Piece:
-    """A stretch of text or one tag: its kind (a tag of noise begins with !), text, noise, whether a block ends before it."""
+    """A stretch of text or one tag: its tag, text, noise, whether a block ends before it."""
 
-    __slots__ = ("kind", "text", "noise", "cut")
+    __slots__ = ("tag", "text", "noise", "cut")
 
-    def __init__(self, kind: str, text: str, noise: bool, cut: bool):
-        self.kind, self.text, self.noise, self.cut = "!" * (noise and kind != "") + kind, text, noise, cut
+    def __init__(self, tag: str, text: str, noise: bool, cut: bool):
+        self.tag, self.text, self.noise, self.cut = tag, text, noise, cut
 
+    @property
+    def kind(self) -> str:
+        """The tag, with ! before it where it is noise; empty for text."""
+        return "!" + self.tag if self.noise and self.tag else self.tag
 
-def pieces(html: str) -> Iterator[Piece]:
-    open_: list[tuple[str, bool]] = []
-    noise = 0  # open elements that are noise
-    at, cut = 0, True
 
+class Named:
+    """An element that its name calls noise: the range of its pieces, and whether it holds the main text's own element."""
+
+    __slots__ = ("start", "end", "holds")
+
+    def __init__(self, start: int):
+        self.start, self.end, self.holds = start, start, False
+
+
+class _Page:
+    """The pieces of a page and its open elements."""
+
+    def __init__(self):
+        self.pieces: list[Piece] = []
+        self.open: list[tuple[str, bool, Named | None]] = []
+        self.noise = 0  # open elements that are noise by what they are
+        self.named: list[Named] = []
+
+    def add(self, tag: str, text: str, cut: bool, noise: bool = False) -> None:
+        self.pieces.append(Piece(tag, text, noise or self.noise > 0, cut))
+
+    def enter(self, name: str, bad: bool, named: bool) -> None:
+        if name in ("article", "main"):
+            for _, _, n in self.open:
+                if n:
+                    n.holds = True
+        mark = Named(len(self.pieces) - 1) if named else None
+        if mark:
+            self.named.append(mark)
+        self.open.append((name, bad, mark))
+        self.noise += bad
+
+    def leave(self, to: int, count_last: bool = False) -> None:
+        """Closes the elements from ``to`` on; the close tag, if one was added, is inside them."""
+        for _, bad, mark in self.open[to:]:
+            self.noise -= bad
+            if mark:
+                mark.end = len(self.pieces) + count_last
+        del self.open[to:]
+
+    def settle(self) -> list[Piece]:
+        """Marks the named elements that are neither the page's bulk nor around its article."""
+        self.leave(0)
+        words = [len(p.text.split()) if not p.tag and not p.noise else 0 for p in self.pieces]
+        sums = np.concatenate([[0], np.cumsum(words)]) if words else np.zeros(1, int)
+        for n in self.named:
+            if not n.holds and 2 * (sums[n.end] - sums[n.start]) <= sums[-1]:
+                for p in self.pieces[n.start : n.end]:
+                    p.noise = True
+        return self.pieces
+
+
+def pieces(html: str) -> list[Piece]:
+    page = _Page()
+    at, cut = 0, True
     while at < len(html):
         m = _TAG.search(html, at)
         if not m:
             break
         if m.start() > at:
-            yield Piece("", html[at : m.start()], noise > 0, cut)
+            page.add("", html[at : m.start()], cut)
             cut = False
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
         if m[0][-1] != ">":
-            return
+            return page.settle()
         if name in BLOCK or name == "title":
             cut = True
         if m[1]:
-            inside = noise > 0
-            if any(n == name for n, _ in open_):
-                while True:
-                    n, bad = open_.pop()
-                    noise -= bad
-                    if n == name:
-                        break
-            yield Piece("/" + name, "", inside, cut)
+            found = next((k for k in range(len(page.open) - 1, -1, -1) if page.open[k][0] == name), None)
+            inside = page.noise > 0
+            if found is not None:
+                page.leave(found, True)
+            page.add("/" + name, "", cut, inside)
             continue
         if name in ENDS_P:
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == "p":
-                    noise -= sum(b for _, b in open_[k:])
-                    del open_[k:]
+            for k in range(len(page.open) - 1, -1, -1):
+                if page.open[k][0] == "p":
+                    page.leave(k)
                     break
-                if open_[k][0] in ("div", "article", "section", "td", "th", "li", "blockquote", "button", "body", "main", "aside", "nav", "form", "footer"):
+                if page.open[k][0] in ("div", "article", "section", "td", "th", "li", "blockquote", "button", "body", "main", "aside", "nav", "form", "footer"):
                     break
-        bad = is_noise(name, m[3]) or (name == "header" and not any(n in ("article", "main", "section") for n, _ in open_))
-        yield Piece(name, "\n" if name == "br" else "", noise > 0 or bad, cut)
+        bad = name in NOISE or (name == "header" and not any(n in ("article", "main", "section") for n, _, _ in page.open))
+        page.add(name, "\n" if name == "br" else "", cut, bad)
         if name in VOID or m[3].endswith("/>") and name not in BLOCK and name not in RAW:
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
-        open_.append((name, bad))
-        noise += bad
+        page.enter(name, bad, not bad and named_noise(name, m[3]))
     if at < len(html):
-        yield Piece("", html[at:], noise > 0, cut)
+        page.add("", html[at:], cut)
+    return page.settle()
 
 
-def main_text(html: str, weights: dict[str, float]) -> str:
-    """The best run's blocks, joined by line ends."""
-    list_ = list(pieces(html))
-    best, best_at = 0.0, (0, 0)
-    run, start = 0.0, 0
-    for i, p in enumerate(list_):
-        if p.kind:
-            s = weights.get(p.kind, weights["!?" if p.noise else "?"])
-        else:
-            s = 0.0 if p.noise else float(len(p.text.split()))
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """Start and end of the run with the largest positive sum, the first of equals; (0, 0) without one."""
+    best, best_at, run, start = 0.0, (0, 0), 0.0, 0
+    for i, s in enumerate(scores):
         if run <= 0 < s:
             run, start = 0.0, i
         run += s
         if run > best:
             best, best_at = run, (start, i + 1)
+    return best_at
+
+
+def main_text(html: str, weights: dict[str, float]) -> str:
+    """The best run's blocks, joined by line ends."""
+    list_ = pieces(html)
+    other = {False: weights["?"], True: weights["!?"]}
+    lo, hi = best_run([weights.get(p.kind, other[p.noise]) if p.tag else 0.0 if p.noise else float(len(p.text.split())) for p in list_])
     blocks, now = [], []
-    for p in list_[best_at[0] : best_at[1]]:
+    for p in list_[lo:hi]:
         if p.cut and now:
             blocks.append("".join(now))
             now = []
@@ -160,7 +219,7 @@ def count_tags(html: str, text: str) -> tuple[Counter, Counter]:
     lo, hi = (hit[0], hit[-1]) if hit else (len(found), -1)
     inside, outside = Counter(), Counter()
     for i, (p, _) in enumerate(found):
-        if p.kind:
+        if p.tag:
             (inside if lo < i < hi else outside)[p.kind] += 1
     return inside, outside
 
@@ -188,7 +247,7 @@ def self_labelled(pages: DataFrame, limit: int = LEARN_PAGES) -> DataFrame:
     body = F.regexp_extract("html", r"(?s)<article[^>]*>(.*?)</article>", 1)
     one = F.regexp_count("html", F.lit(r"<article[\s>]")) == 1
     text = F.regexp_replace(body, r"<[^>]*>", " ")
-    return pages.where(F.length("html") < 50_000).select("page_id", "html").where(one).orderBy(F.md5(F.concat(F.lit("page|"), F.col("page_id").cast("string")).cast("binary")), "html").limit(limit).select("html", text.alias("text"))
+    return pages.select("page_id", "html").where(one).orderBy(F.md5(F.concat(F.lit("page|"), F.col("page_id").cast("string")).cast("binary")), "html").limit(limit).select("html", text.alias("text"))
 
 
 def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
