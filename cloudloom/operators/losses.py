@@ -8,13 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cloudloom.functions import geometry as g
 from cloudloom.functions.weights import cross_entropy, sigmoid, smooth_l1, softmax, softplus
 from cloudloom.operators.neighbors import k_nearest
 from cloudloom.operators.prefix import totals_above
+from cloudloom.session import cut
 
 TAU = 1e-3
 DIST_SCALE = 0.08
@@ -329,23 +334,56 @@ def gate(df: DataFrame) -> str:
 
 # -- pair terms --------------------------------------------------------------------
 
-def ordinal_pairs(df: DataFrame, radius: float = 0.15, min_gap: float = 0.02, margin: float = 0.05, k: int = 16) -> DataFrame:
-    """Margin ranking of support over close pairs, per scene.
+#: Points of one block of a cell; two blocks meet in one batch of arithmetic.
+BLOCK_POINTS = 1024
+_HALF = [(dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) if (dx, dy, dz) >= (0, 0, 0)]
 
-    Every narrow-band point is paired with its ``k`` nearest narrow-band points
-    closer than ``radius``; a pair found from both sides counts once.  In training the pairs
-    are drawn at random; here all points take part and ``k`` bounds the pairs.
-    Scenes with fewer than four narrow-band points have none.
+
+def ordinal_pairs(df: DataFrame, radius: float = 0.15, min_gap: float = 0.02, margin: float = 0.05) -> DataFrame:
+    """Margin ranking of support over close pairs, per scene: (scene_id, pairs, loss).
+
+    Every pair of narrow-band points closer than ``radius`` whose distances to the edge differ by more than ``min_gap``
+    takes part; training draws points and pairs from these at random.  Scenes with fewer than four narrow-band points
+    have none.  Points are packed in blocks of about ``BLOCK_POINTS`` of a cell of edge ``radius``; each two blocks of
+    neighbouring cells meet once and give a count and a sum, so a crowded cell is many tasks' work and no pair is
+    written out.  The work is the number of close pairs, which the definition asks for.
     """
+    h = float(radius)
     dist = g.norm(g.vec("v"))
     band = df.where("valid > 0.5 AND support > 0.1").select("scene_id", "point_id", "x", "y", "z", sigmoid(F.col("support_logit")).alias("prob"), dist.alias("dist"))
-    enough = band.groupBy("scene_id").agg(F.count("*").alias("_n")).where("_n >= 4").select("scene_id")
-    band, own = band.join(enough, "scene_id", "left_semi"), ["prob", "dist"]
-    near = k_nearest(band, band, k, by=["scene_id"], exclude_self=True, rmax=radius, carry=own, keep=own)
-    near = near.where((F.col("distance") < radius) & (F.abs(F.col("dist") - F.col("nbr_dist")) > min_gap))
-    gap = F.when(F.col("dist") < F.col("nbr_dist"), F.col("prob") - F.col("nbr_prob")).otherwise(F.col("nbr_prob") - F.col("prob"))
-    pairs = near.groupBy("scene_id", F.least("point_id", "nbr_id").alias("i"), F.greatest("point_id", "nbr_id").alias("j")).agg(F.max(gap).alias("gap"))
-    return pairs.groupBy("scene_id").agg(F.count("*").alias("pairs"), F.avg(F.greatest(F.lit(0.0), F.lit(margin) - F.col("gap"))).alias("loss"))
+    cell = [F.floor(F.col(a) / F.lit(h)).alias(f"c{a}") for a in "xyz"]
+    key = ["scene_id", "cx", "cy", "cz"]
+    placed = cut(band.select("*", *cell))
+    enough = placed.groupBy("scene_id").agg(F.count("*").alias("_n")).where("_n >= 4").select("scene_id")
+    parts = placed.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK_POINTS).alias("_parts")).join(enough, "scene_id")
+    rows = placed.join(parts, key).withColumn("part", F.pmod(F.xxhash64("point_id"), F.col("_parts")))
+    names = ["x", "y", "z", "prob", "dist"]
+    blocks = cut(rows.groupBy(*key, "part").agg(*[F.collect_list(c).alias(c) for c in names]))
+    near = F.explode(F.array(*[F.struct(*[F.lit(d).alias(a) for d, a in zip(s, "xyz")]) for s in _HALF]))
+    left = blocks.withColumn("_s", near).select("scene_id", *[(F.col(f"c{a}") + F.col(f"_s.{a}")).alias(f"c{a}") for a in "xyz"], F.col("part").alias("part_i"), ((F.col("_s.x") == 0) & (F.col("_s.y") == 0) & (F.col("_s.z") == 0)).alias("_same"), *[F.col(c).alias(f"{c}_i") for c in names])
+    met = left.join(blocks.withColumnRenamed("part", "part_j"), key).where("NOT _same OR part_i <= part_j")
+
+    def run(batches):
+        for batch in batches:
+            out = {"scene_id": [], "pairs": [], "total": []}
+            for row in batch.to_pylist():
+                i, j = ([np.array(row[f"{c}{side}"]) for c in names] for side in ("_i", ""))
+                d2 = sum((i[a][:, None] - j[a][None, :]) ** 2 for a in range(3))
+                diff = i[4][:, None] - j[4][None, :]
+                ok = (np.sqrt(d2) < h) & (np.abs(diff) > min_gap)
+                if row["_same"] and row["part_i"] == row["part_j"]:
+                    ok = np.triu(ok, 1)
+                gap = np.where(diff < 0, i[3][:, None] - j[3][None, :], j[3][None, :] - i[3][:, None])[ok]
+                out["scene_id"].append(row["scene_id"])
+                out["pairs"].append(int(ok.sum()))
+                out["total"].append(float(np.maximum(0.0, margin - gap).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(out["scene_id"], scene), pa.array(out["pairs"], pa.int64()), pa.array(out["total"], pa.float64())], names=list(out))
+
+    scene = to_arrow_type(blocks.schema["scene_id"].dataType)
+    wide = met.select("scene_id", "_same", "part_i", "part_j", *[f"{c}_i" for c in names], *names)
+    sums = wide.mapInArrow(run, T.StructType([blocks.schema["scene_id"], T.StructField("pairs", T.LongType()), T.StructField("total", T.DoubleType())]))
+    both = sums.groupBy("scene_id").agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total")).where("pairs > 0")
+    return both.select("scene_id", "pairs", (F.col("total") / F.col("pairs")).alias("loss"))
 
 
 def basin_neighbours(df: DataFrame, radius: float = 0.30) -> DataFrame:

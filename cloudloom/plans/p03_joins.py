@@ -210,9 +210,8 @@ def jn_coverage(spark, root):
 
 # all narrow-band points, each against its 16 nearest ones; a pair found from both sides counts once
 ORDINAL_SQL = f"""nb AS (SELECT *, 1/(1+exp(-support_logit)) AS prob, sqrt(vx*vx+vy*vy+vz*vz) AS dist FROM pred WHERE valid > 0.5 AND support > 0.1 QUALIFY count(*) OVER (PARTITION BY scene_id) >= 4),
- nk AS (SELECT a.scene_id, a.point_id AS s, b.point_id AS t, {D2} AS d2, a.dist AS da, b.dist AS db, a.prob AS pa, b.prob AS pb FROM nb a JOIN nb b ON a.scene_id = b.scene_id AND a.point_id <> b.point_id
-   QUALIFY row_number() OVER (PARTITION BY a.scene_id, a.point_id ORDER BY {D2}, b.point_id) <= 16),
- orp AS (SELECT DISTINCT scene_id, least(s, t) AS i, greatest(s, t) AS j, CASE WHEN da < db THEN pa - pb ELSE pb - pa END AS gap FROM nk WHERE sqrt(d2) < 0.15::DOUBLE AND abs(da - db) > 0.02),
+ orp AS (SELECT a.scene_id, CASE WHEN a.dist < b.dist THEN a.prob - b.prob ELSE b.prob - a.prob END AS gap FROM nb a JOIN nb b ON a.scene_id = b.scene_id AND a.point_id < b.point_id
+   WHERE sqrt({D2}) < 0.15::DOUBLE AND abs(a.dist - b.dist) > 0.02::DOUBLE),
  ord AS (SELECT scene_id, count(*) AS pairs, avg(greatest(0, 0.05::DOUBLE - gap)) AS loss FROM orp GROUP BY 1)"""
 
 
