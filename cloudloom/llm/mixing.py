@@ -3,8 +3,10 @@
 Sources in code point order (null last) weigh 5, 2, 1, repeating.  They share ``share`` times all words; a target stops
 at ``cap`` times its source's words and the excess is shared again by weight until none is above.  Of a source with
 target / words = whole + part, every document is taken ``whole`` times (the certain copies), and one more copy goes to
-the sample: documents are ranked by their random odds divided by their inclusion odds, and the head of that order whose
-words come nearest to the rest of the target is taken.
+the sample. A document's inclusion odds are those of ``part`` times its size over the mean size of its source, so longer
+documents are likelier to be taken once more. Documents are ranked by their random odds divided by their inclusion odds,
+and the head of that order whose words come nearest to the rest of the target is taken: the size that is fixed is the
+number of words, which the contract sets, and not that of documents.
 
 Scale: one pass reads the texts and sums words by (source, bucket of the rank); the bucket in which the target falls is
 found on those sums, and only rows of that one bucket of each source are ranked. Per-source facts reach the rows by a
@@ -58,9 +60,9 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
     return s.select("source", "source_size", F.when(F.col("level").isNull() | (F.col("level") * F.col("w") > F.col("limit")), F.col("limit")).otherwise(F.col("level") * F.col("w")).alias("target"))
 
 
-def _rank() -> object:
+def _rank(of: str = "") -> object:
     """Random odds over inclusion odds, as a number in (0, 1) that rises with it."""
-    odds = (F.col("__u") / (1 - F.col("__u"))) / (F.col("part") / (1 - F.col("part")))
+    odds = (F.col("__u") / (1 - F.col("__u"))) / ((F.col(f"{of}part") / (1 - F.col(f"{of}part"))) * (F.col("__size") / F.col(f"{of}mean")))
     return odds / (1 + odds)
 
 
@@ -68,7 +70,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     """All columns of ``docs`` and size, source_size, target, copies, taken."""
     sized = _sized(docs.select("doc_id", "text", F.col("source").alias("source")), seed)
     compact = keep(sized.select("source", "__size", "__u"), "mix")
-    per = targets(compact.groupBy("source").agg(F.sum("__size").alias("source_size")), weights, share, cap)
+    whole = compact.groupBy("source").agg(F.sum("__size").alias("source_size"), F.count_if(F.col("__size") > 0).alias("n"))
+    mean = whole.select(F.col("source").alias("__s"), (F.col("source_size") / F.greatest(F.col("n"), F.lit(1))).alias("mean"))
+    per = targets(whole.select("source", "source_size"), weights, share, cap).join(mean, F.expr("source <=> __s")).drop("__s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     per = per.withColumn("whole", F.floor(ratio)).withColumn("part", ratio - F.floor(ratio))
     per = per.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -76,7 +80,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
 
     salted = per.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     ranked = compact.withColumn("__salt", F.pmod(F.hash("__u"), F.lit(SALTS))).alias("c").join(
-        salted.alias("p"), F.expr("c.source <=> p.source AND c.__salt = p.__salt")).where("part > 0 AND __size > 0").select("c.source", "__size", "__u", "part", "rest")
+        salted.alias("p"), F.expr("c.source <=> p.source AND c.__salt = p.__salt")).where("part > 0 AND __size > 0").select("c.source", "__size", "__u", "part", "mean", "rest")
     ranked = ranked.withColumn("__rank", _rank()).withColumn("__bucket", F.least(F.floor(F.col("__rank") * buckets), F.lit(buckets - 1)))
     sums = ranked.groupBy("source", "__bucket").agg(F.sum("__size").alias("b"), F.max("rest").alias("rest"))
     up = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,8 +90,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     steps = ranked.join(edge, F.expr("source <=> s AND __bucket = k")).groupBy("source", "__rank", "__u").agg(F.sum("__size").alias("b"), F.max("before").alias("before"), F.max("rest").alias("rest"))
     near = Window.partitionBy("source").orderBy("__rank", "__u").rowsBetween(Window.unboundedPreceding, -1)
     steps = steps.withColumn("before", F.col("before") + F.coalesce(F.sum("b").over(near), F.lit(0)))
-    cut = steps.groupBy("source").agg(F.max(F.when(2 * F.col("before") + F.col("b") <= 2 * F.col("rest"), F.col("__u"))).alias("last"), F.min("__u").alias("first"))
-    # within a source the rank rises with __u, so the order's head is a range of __u; no step taken: all before the bucket
+    place = F.struct("__rank", "__u")
+    cut = steps.groupBy("source").agg(F.max(F.when(2 * F.col("before") + F.col("b") <= 2 * F.col("rest"), place)).alias("last"), F.min(place).alias("first"))
+    # the head of the order is all up to the last step taken; no step taken: all before the bucket
     cut = cut.select(F.col("source").alias("s"), F.col("last").alias("upto"), F.col("first").alias("under"))
     facts = keep(per.join(cut, F.expr("source <=> s"), "left").drop("s").withColumnsRenamed({"source": "__s"}), "mix-cuts")
     facts = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -95,7 +100,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
     full = _sized(docs.select(names), seed).withColumn("__salt", F.pmod(F.hash("__u"), F.lit(SALTS)))
     out = full.alias("d").join(facts.alias("f"), F.expr("d.source <=> f.__s AND d.__salt = f.__salt"))
-    head = F.when(F.col("f.upto").isNotNull(), F.col("__u") <= F.col("f.upto")).when(F.col("f.under").isNotNull(), F.col("__u") < F.col("f.under")).otherwise(F.lit(False))
+    at = F.struct(_rank("f.").alias("__rank"), F.col("__u").alias("__u"))
+    head = F.when(F.col("f.upto").isNotNull(), at <= F.col("f.upto")).when(F.col("f.under").isNotNull(), at < F.col("f.under")).otherwise(F.lit(False))
     copies = (F.col("f.whole") + F.when((F.col("f.part") > 0) & (F.col("__size") > 0) & head, 1).otherwise(0)).cast("long")
     return out.select(*[F.col(f"d.{c}") for c in names], F.col("__size").alias("size"), "f.source_size", "f.target", copies.alias("copies"), (copies * F.col("__size")).alias("taken"))
 
@@ -114,9 +120,12 @@ s1 AS (SELECT *, 2.0 * s AS lim,
 s2 AS (SELECT *, max(CASE WHEN (amount - below) / (all_w - gone) * w <= lim THEN (amount - below) / (all_w - gone) END) OVER () AS level FROM s1),
 s3 AS (SELECT source, s, CASE WHEN level IS NULL OR level * w > lim THEN lim ELSE level * w END AS target FROM s2),
 s4 AS (SELECT *, CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END AS whole, CASE WHEN s > 0 THEN target / s - floor(target / s) ELSE 0 END AS part FROM s3),
-r AS (SELECT d.doc_id, d.size, s4.s, s4.target, s4.whole, s4.part, s4.target - s4.whole * s4.s AS rest, d.source, d.u FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source),
-o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS before,
-             sum(size) OVER (PARTITION BY source, u) AS b FROM r)
+mn AS (SELECT source, CAST(sum(size) AS DOUBLE) / greatest(count(*) FILTER (WHERE size > 0), 1) AS mean FROM d GROUP BY source),
+r AS (SELECT d.doc_id, d.size, s4.s, s4.target, s4.whole, s4.part, s4.target - s4.whole * s4.s AS rest, d.source, d.u,
+             CASE WHEN part > 0 AND size > 0 THEN (u / (1 - u)) / ((part / (1 - part)) * (size / mean)) END AS q
+      FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source JOIN mn ON d.source IS NOT DISTINCT FROM mn.source),
+o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q / (1 + q), u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS before,
+             sum(size) OVER (PARTITION BY source, q / (1 + q), u) AS b FROM r)
 SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, target,
        CAST(size * (whole + CASE WHEN part > 0 AND size > 0 AND before < rest AND 2 * before + b <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM o
