@@ -232,20 +232,35 @@ _TOTAL_SQL = {
 }
 
 
+def _dual_sql(name):
+    """Both stages, the early one with its own logits."""
+    terms, _ = _TOTAL_SQL[name]
+    early = LOSS_SQL.replace("ls0", "els0").replace(" ls AS", " els AS").replace("FROM pred", "FROM pe")
+    lovasz = LOVASZ_SQL.format(p="e", w="").replace("FROM pred", "FROM pe")
+    stage = "(SELECT scene_id, avg(loss) AS lov FROM {p}pc GROUP BY 1), {p}tm AS (SELECT scene_id, {terms} AS v FROM {p}ls GROUP BY 1)"
+    return (
+        f"WITH {LOSS_SQL}, {_LOV}, pe AS (SELECT * REPLACE ([v / 2 FOR v IN logits] AS logits) FROM pred), {early}, {lovasz},"
+        f" lv AS {stage.format(p='', terms=terms)}, elv AS {stage.format(p='e', terms=terms)}"
+        f" SELECT tm.scene_id, {q6('tm.v + coalesce(lv.lov, 0) + etm.v + coalesce(elv.lov, 0)', 5)} AS loss FROM tm JOIN etm USING (scene_id) LEFT JOIN lv USING (scene_id) LEFT JOIN elv USING (scene_id)"
+    )
+
+
 def _total_sql(name):
+    if name.startswith("dual_"):
+        return _dual_sql(name)
     terms, more = _TOTAL_SQL[name]
     tables, extra = more or ("none AS (SELECT 1)", "SELECT scene_id, 0.0::DOUBLE AS more FROM pred GROUP BY 1")
-    twice = 2 if name.startswith("dual_") else 1
     return (
         f"WITH {LOSS_SQL}, {_LOV}, {tables}, lv AS (SELECT scene_id, avg(loss) AS lov FROM pc GROUP BY 1), tm AS (SELECT scene_id, {terms} AS v FROM ls GROUP BY 1), xt AS ({extra})"
-        f" SELECT tm.scene_id, {q6(f'{twice}*(v + coalesce(lov, 0) + coalesce(more, 0))', 5)} AS loss FROM tm LEFT JOIN lv ON lv.scene_id = tm.scene_id LEFT JOIN xt ON xt.scene_id = tm.scene_id"
+        f" SELECT tm.scene_id, {q6('v + coalesce(lov, 0) + coalesce(more, 0)', 5)} AS loss FROM tm LEFT JOIN lv ON lv.scene_id = tm.scene_id LEFT JOIN xt ON xt.scene_id = tm.scene_id"
     )
 
 
 def _total(name):
     def run(spark, root):
         rows = _rows(spark, root).withColumn("basin", F.col("point_id") % 7)
-        out = losses.dual(name, rows, rows, KEY) if name.startswith("dual_") else losses.total_loss(name, rows, KEY)
+        early = rows.withColumn("logits", F.transform("logits", lambda v: v / 2))
+        out = losses.dual(name, rows, early, KEY) if name.startswith("dual_") else losses.total_loss(name, rows, KEY)
         return out.select("scene_id", r6("loss", 5).alias("loss"))
 
     return run
