@@ -133,31 +133,53 @@ def fragment_vote(fragments: DataFrame, keys: Sequence[str], classes: int) -> Da
     return summed.select(*keys, argmax(votes).alias("pred"), F.array_max(votes).alias("prob"))
 
 
+def ratios(df: DataFrame, keys: Sequence[str], tau: float = 1e-3) -> DataFrame:
+    """Shares of valid points, of points with support, and of valid points with a direction."""
+    pointed = (F.col("valid") > 0.5) & (g.norm(g.vec("v")) > tau)
+    one = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    return df.groupBy(*keys).agg(F.avg("valid").alias("valid_ratio"), one(F.col("support") > tau).alias("support_positive_ratio"), one(pointed).alias("pointed_ratio"))
+
+
+def mask_support(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Support head against a soft target of all points: SmoothL1, Tversky overlap of target > 0.5, and that share."""
+    p, t = sigmoid(F.col("support_logit")), F.least(F.greatest(F.col("support"), F.lit(0.0)), F.lit(1.0))
+    rows = df.select(*keys, p.alias("p"), t.alias("t"), F.when(t > 0.5, 1.0).otherwise(0.0).alias("b"))
+    p, b = F.col("p"), F.col("b")
+    s = rows.groupBy(*keys).agg(
+        F.avg(smooth_l1(p - F.col("t"))).alias("support_reg_error"), F.avg("b").alias("support_positive_ratio"),
+        F.sum(p * b).alias("tp"), F.sum(p * (1.0 - b)).alias("fp"), F.sum((1.0 - p) * b).alias("fn"), F.sum("b").alias("nb"),
+    )
+    cover = F.when(F.col("nb") > 0, F.col("tp") / (F.col("tp") + 0.3 * F.col("fp") + 0.7 * F.col("fn") + 1e-6)).otherwise(0.0)
+    return s.select(*keys, "support_reg_error", cover.alias("support_cover"), "support_positive_ratio")
+
+
 def registry(classes: int) -> dict[str, Callable[[DataFrame, Sequence[str]], DataFrame]]:
-    """Evaluator name -> metrics of a predictions table, per key."""
+    """Evaluator name -> metrics of a predictions table, per key. Each evaluator has columns of its own."""
     def semantic(df, keys):
         return summary(class_counts(confusion(df, keys), keys, classes), keys)
 
-    def joined(*parts):
+    def region(threshold):
+        return lambda df, keys: boundary_metrics(df, keys, classes, threshold).withColumnsRenamed({"miou": "boundary_miou", "macc": "boundary_macc"})
+
+    def joined(columns: str, *parts):
         def run(df, keys):
             out = semantic(df, keys)
             for part in parts:
                 out = out.join(part(df, keys), list(keys))
-            return out
+            return out.select(*keys, "miou", "macc", "allacc", *columns.split())
 
         return run
 
-    def edge_region(df, keys):
-        return boundary_metrics(df, keys, classes, 0.2).withColumnsRenamed({"miou": "boundary_miou", "macc": "boundary_macc"})
-
-    def mask_region(df, keys):
-        return boundary_metrics(df, keys, classes, 0.5).withColumnsRenamed({"miou": "boundary_miou", "macc": "boundary_macc"})
+    def named(name):
+        return lambda df, keys: ratios(df, keys).withColumnRenamed("pointed_ratio", name)
 
+    near = "boundary_ratio boundary_miou boundary_macc"
+    shares = "valid_ratio support_positive_ratio"
     return {
         "semantic": semantic,
-        "semantic_boundary": joined(support_regression, edge_errors),
-        "axis_side": joined(support_regression, edge_errors),
-        "support_guided_focus": joined(edge_region, support_regression),
-        "redesigned_support_focus": joined(edge_region, support_regression),
-        "mask_support_focus": joined(mask_region, support_regression),
+        "semantic_boundary": joined(f"support_cover support_error dir_cosine dist_error dist_error_scaled {shares} dir_valid_ratio", support_regression, edge_errors, named("dir_valid_ratio")),
+        "axis_side": joined(f"support_cover support_error axis_cosine side_accuracy dir_cosine {shares} axis_valid_ratio", support_regression, edge_errors, named("axis_valid_ratio")),
+        "support_guided_focus": joined(f"{near} support_bce support_cover {shares}", region(0.2), support_regression, ratios),
+        "redesigned_support_focus": joined(f"{near} support_reg_error support_cover {shares}", region(0.2), support_regression, ratios),
+        "mask_support_focus": joined(f"{near} support_reg_error support_cover support_positive_ratio", region(0.5), mask_support),
     }

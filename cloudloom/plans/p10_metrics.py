@@ -91,7 +91,45 @@ def met_axis_side(spark, root):
     return _edge(spark, root).select("scene_id", r6("axis_cosine").alias("axis_cosine"), r6("side_accuracy").alias("side_accuracy"))
 
 
-@query("met_registry")
+def _near_sql(name, threshold):
+    return f"""{name}n AS (SELECT scene_id, avg(CASE WHEN support >= {threshold} THEN 1.0 ELSE 0.0 END) AS boundary_ratio FROM pred GROUP BY 1),
+ {name}c AS (SELECT scene_id, c.c AS class_id, count_if(truth = c.c AND pred = c.c) AS i, count_if(truth = c.c OR pred = c.c) AS u, count_if(truth = c.c) AS t FROM pred, range(8) c(c) WHERE support >= {threshold} GROUP BY 1, 2),
+ {name} AS (SELECT scene_id, any_value(boundary_ratio) AS boundary_ratio, avg(CASE WHEN u > 0 THEN i/u END) AS boundary_miou, avg(CASE WHEN t > 0 THEN i/t END) AS boundary_macc FROM {name}c JOIN {name}n USING (scene_id) GROUP BY 1)"""
+
+
+_SMOOTH = "CASE WHEN abs(p-{t}) < 1 THEN 0.5*(p-{t})*(p-{t}) ELSE abs(p-{t})-0.5 END"
+_COVER = "sum(p*{b})/(sum(p*{b}) + 0.3::DOUBLE*sum(p*(1-{b})) + 0.7::DOUBLE*sum((1-p)*{b}) + 1e-6)"
+_HOT = "(CASE WHEN support > 0.5 THEN 1.0::DOUBLE ELSE 0.0 END)"
+REGISTRY_SQL = f"""{IUT_SQL}, {_SUM.format(k='scene_id')}, sem AS (SELECT scene_id, avg(CASE WHEN u > 0 THEN i/u END) AS miou, avg(CASE WHEN t > 0 THEN i/t END) AS macc, sum(i)/sum(t) AS allacc FROM s GROUP BY 1),
+ {_near_sql('edge', 0.2)}, {_near_sql('mask', 0.5)}, {SUPPORT_SQL}, {EDGE_SQL},
+ sup AS (SELECT scene_id, sum(valid * {_SMOOTH.format(t='tg')})/sum(valid) AS support_reg_error, sum(valid*(p-tg)*(p-tg))/(sum(valid)+1e-6) AS support_error,
+   sum(valid * -(tg*ln(p) + (1-tg)*ln(1-p)))/sum(valid) AS support_bce, {_COVER.format(b='valid')} AS support_cover FROM sp GROUP BY 1),
+ soft AS (SELECT scene_id, avg({_SMOOTH.format(t='support')}) AS support_reg_error, {_COVER.format(b=_HOT)} AS support_cover, avg({_HOT}) AS support_positive_ratio FROM sp GROUP BY 1),
+ err AS (SELECT scene_id, avg(CASE WHEN gt > 0.001 THEN cos END) AS dir_cosine, avg(CASE WHEN gt > 0.001 THEN abs(cos) END) AS axis_cosine, avg(CASE WHEN gt > 0.001 THEN CASE WHEN (side_logit > 0) = side THEN 1.0 ELSE 0.0 END END) AS side_accuracy,
+   avg(abs(dist_pred-gt)) AS dist_error, avg(abs(dist_pred-gt)/0.08) AS dist_error_scaled FROM ed GROUP BY 1),
+ rat AS (SELECT scene_id, avg(valid) AS valid_ratio, avg(CASE WHEN support > 0.001 THEN 1.0 ELSE 0.0 END) AS support_positive_ratio,
+   avg(CASE WHEN valid > 0.5 AND sqrt(vx*vx+vy*vy+vz*vz) > 0.001 THEN 1.0 ELSE 0.0 END) AS dir_valid_ratio FROM pred GROUP BY 1)"""
+
+
+def _long_sql(name, columns, *tables):
+    """One evaluator's metrics in long form; a name of the form a=b shows column b as a."""
+    pairs = [c.split("=") if "=" in c else (c, c) for c in ("miou macc allacc " + columns).split()]
+    joins = "".join(f" JOIN {t} USING (scene_id)" for t in tables)
+    return f"SELECT scene_id, '{name}' AS evaluator, unnest([{', '.join(repr(a) for a, _ in pairs)}]) AS metric, unnest([{', '.join(q6(b) for _, b in pairs)}]) AS value FROM sem{joins}"
+
+
+_NEAR, _SHARES = "boundary_ratio boundary_miou boundary_macc", "valid_ratio support_positive_ratio"
+_EVALUATORS = [
+    ("semantic", ""),
+    ("semantic_boundary", f"support_cover support_error dir_cosine dist_error dist_error_scaled {_SHARES} dir_valid_ratio", "sup", "err", "rat"),
+    ("axis_side", f"support_cover support_error axis_cosine side_accuracy dir_cosine {_SHARES} axis_valid_ratio=dir_valid_ratio", "sup", "err", "rat"),
+    ("support_guided_focus", f"{_NEAR} support_bce support_cover {_SHARES}", "edge", "sup", "rat"),
+    ("redesigned_support_focus", f"{_NEAR} support_reg_error support_cover {_SHARES}", "edge", "sup", "rat"),
+    ("mask_support_focus", f"{_NEAR} support_reg_error support_cover support_positive_ratio", "mask", "soft"),
+]
+
+
+@query("met_registry", f"WITH {REGISTRY_SQL} " + " UNION ALL ".join(_long_sql(*e) for e in _EVALUATORS), "pred")
 def met_registry(spark, root):
     """Every evaluator over the same predictions, long form."""
     out = None
