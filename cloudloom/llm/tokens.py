@@ -30,7 +30,7 @@ from cloudloom.llm.common import batch_of, group_count, id_text, keep, measure,
 END_ID = 2
 SHARD_IDS = 1 << 21
 SHARD_BYTES = 12_000_000
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$&*#]*)")
 
@@ -81,7 +81,7 @@ class Encoder:
         return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.part) > self.remembered:
+        if len(self.part) > self.remembered // 4:
             self.part = {}
         found = [self._of_piece(p) for p in pieces]
         lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
@@ -189,6 +189,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
                 yield flush()
         if held:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     return keep(dealt.select("doc_id", "text").mapInArrow(run, SHARD_DDL), "tokens-catalogue")
 
