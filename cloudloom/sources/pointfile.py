@@ -2,7 +2,8 @@
 
 ``spark.read.format("pointfile").load(path)`` lists the files, reads each header once while planning, and cuts the
 bodies into byte ranges; tasks seek to their range and parse in blocks, so a file of any size spreads over tasks in
-bounded memory.  A line belongs to the range in which it begins.  ``read_points`` adds the row check: the same job
+bounded memory.  Ranges grow with the input until they have ``SPLIT_BYTES``, so their number does not, and a task reads
+little more than its range.  A line belongs to the range in which it begins.  ``read_points`` adds the row check: the same job
 counts the records of every file and fails when a file's count is not what its header says.
 
 Every data line must parse: words where numbers are due fail the job, they are never skipped.
@@ -29,6 +30,9 @@ from cloudloom.sources.points import PointFormatError, parse_header
 
 SPLIT_BYTES = 64_000_000
 BLOCK_BYTES = 8_000_000
+LINE_BYTES = 4096
+#: As many ranges are cut, and one more a file, before ranges grow beyond the asked size.
+RANGES = 64
 ROWS = "file string, split string, sample string, at long, x double, y double, z double, c int, r int, g int, b int"
 COUNTS = "file string, split string, sample string, points long, n long"
 
@@ -128,17 +132,20 @@ HEADERS = {".pcd": pcd_body, ".ply": ply_body}
 
 
 def ranges(path: str, split_bytes: int) -> list[Range]:
-    """Byte ranges of all point files under ``path``; hidden files and folders are passed over."""
+    """Byte ranges of all point files under ``path``; hidden files and folders are passed over.
+
+    A range has ``split_bytes``, or more where that would make over ``RANGES`` of them, but then no more than ``SPLIT_BYTES``.
+    """
     from pyarrow import fs
 
     system, at = open_fs(path)
     info = system.get_file_info(at)
     files = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(at, recursive=True))
+    wanted = lambda f: f.type == fs.FileType.File and os.path.splitext(f.path)[1] in HEADERS and not re.search(r"(?:^|/)[._]", f.path[len(at) :])
+    files = sorted(filter(wanted, files), key=lambda f: f.path)
+    split_bytes = max(split_bytes, min(SPLIT_BYTES, -(-sum(f.size for f in files) // RANGES)))
     out = []
-    for f in sorted(files, key=lambda f: f.path):
-        inner = f.path[len(at) :]
-        if f.type != fs.FileType.File or os.path.splitext(f.path)[1] not in HEADERS or re.search(r"(?:^|/)[._]", inner):
-            continue
+    for f in files:
         with system.open_input_stream(f.path) as handle:
             body = HEADERS[os.path.splitext(f.path)[1]](handle, f.path)
         end = f.size
@@ -165,9 +172,11 @@ def _text_blocks(handle, r: Range) -> Iterator[tuple[int, bytes]]:
     else:
         handle.seek(at)
         skip = False
-    held = b""
+    held, ahead = b"", LINE_BYTES
     while True:
-        more = handle.read(BLOCK_BYTES)
+        # what is left of the range and the end of its last line, looked for in growing steps
+        more = handle.read(min(BLOCK_BYTES, max(r.hi - at - len(held), 0) + ahead))
+        ahead = min(2 * ahead, BLOCK_BYTES)
         held += more
         if skip:
             end = held.find(b"\n")
@@ -296,7 +305,8 @@ def read_points(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES)
     wrong = F.format_string("%s: %d points are said, %d are there", "file", "points", "n")
     ok = F.when(F.col("points") == F.col("n"), True).otherwise(F.raise_error(wrong).cast("boolean"))
     checked = counts(spark, path, split_bytes).where(ok).select("file")
-    return rows.join(checked, "file")
+    # one row a file, as the planner's list has: the points stay where they were read
+    return rows.join(F.broadcast(checked), "file")
 
 
 def _header(kind: str, n: int) -> str:

@@ -44,6 +44,29 @@ def test_ascii_ranges(spark, tmp_path):
     assert len(pointfile.ranges(str(tmp_path), 700)) > 20
 
 
+def test_ranges_grow_with_the_input_and_are_read_once(tmp_path):
+    for i in range(3):
+        put(tmp_path, f"training/S{i}.pcd", HEADER.replace("1000", "20000") + body(20000))
+    size = sum(f.stat().st_size for f in tmp_path.rglob("*.pcd"))
+    found = pointfile.ranges(str(tmp_path), 100)
+    assert len(found) <= pointfile.RANGES + 3
+
+    class Handle:
+        def __init__(self, file):
+            self.file, self.got = open(file, "rb"), 0
+            self.seek = self.file.seek
+
+        def read(self, n):
+            out = self.file.read(n)
+            self.got += len(out)
+            return out
+
+    handles = [Handle(r.file) for r in found]
+    lines = [len(pointfile._full_lines(text)) for h, r in zip(handles, found) for _, text in pointfile._text_blocks(h, r)]
+    assert sum(lines) == 60000
+    assert sum(h.got for h in handles) <= size + len(found) * 2 * pointfile.LINE_BYTES
+
+
 @pytest.mark.parametrize("old,new", [
     ("DATA ascii", "DATA binary"), ("TYPE F F F U F", "TYPE I I I U U"), ("FIELDS x y z classification rgb", "FIELDS x y z intensity rgb"), ("DATA ascii\n", ""),
     ("COUNT 1 1 1 1 1", "COUNT 1 1 1 2 1"), ("HEIGHT 1", "HEIGHT 2"), ("POINTS 1000\n", ""), ("SIZE 4 4 4 1 4", "SIZE 8 8 8 1 4"),
