@@ -92,8 +92,8 @@ def vote(rows: DataFrame, keys: Sequence[str], classes: int, logits: str = "logi
 
 # -- crops --------------------------------------------------------------------
 def seeded_center(points: DataFrame, by: Sequence[str], seed: str, ident: str = "point_id") -> DataFrame:
-    """(by..., cx, cy, cz): the point whose md5 of seed and id is smallest."""
-    mark = F.struct(F.md5(F.concat(F.lit(f"{seed}|"), F.col(ident).cast("string")).cast("binary")), F.col(ident))
+    """(by..., cx, cy, cz): the point whose md5 of seed and id is smallest, of equal ids the one with the smallest coordinates."""
+    mark = F.struct(F.md5(F.concat(F.lit(f"{seed}|"), F.col(ident).cast("string")).cast("binary")), F.col(ident), "x", "y", "z")
     return points.groupBy(*by).agg(F.min_by(F.struct("x", "y", "z"), mark).alias("_c")).select(*by, *[F.col(f"_c.{a}").alias(f"c{a}") for a in "xyz"])
 
 
@@ -125,8 +125,9 @@ def smallest_edge(values: DataFrame, by: Sequence[str], value: str, need: DataFr
 def sphere_crop(points: DataFrame, by: Sequence[str], point_max: int | None = None, sample_rate: float | None = None, seed: str = "crop", ident: str = "point_id") -> DataFrame:
     """The points nearest to a seeded centre: ``point_max`` of each scene, or the ``sample_rate`` share of its points.
 
-    Ties at the border go to the smaller id.  Scenes that are small enough stay whole.  The border distance and, among
-    its ties, the border id are found by refined histograms; points are then kept by comparison.
+    Ties at the border go to the smaller id, those of one id to the smaller coordinates.  Scenes that are small enough stay
+    whole.  The border distance and, among its ties, the border id are found by refined histograms; points are then kept by
+    comparison.  Only rows that share distance and id with the border are numbered, so ids need not be unique.
     """
     if (point_max is None) == (sample_rate is None):
         raise ValueError("give point_max or sample_rate")
@@ -141,7 +142,10 @@ def sphere_crop(points: DataFrame, by: Sequence[str], point_max: int | None = No
     edge = smallest_edge(far.select(*by, "_d"), by, "_d", need)
     edge = cut(edge.join(need, by).select(*by, "edge", (F.col("need") - F.col("below")).alias("need")))
     tied = far.join(edge, by).where(F.col("_d") == F.col("edge")).select(*by, F.col(ident).alias("_id"))
-    last = smallest_edge(tied, by, "_id", edge.select(*by, "need")).select(*by, F.col("edge").alias("_last"))
-    out = far.join(edge.select(*by, "edge"), by).join(last, by)
-    inside = (F.col("_d") < F.col("edge")) | ((F.col("_d") == F.col("edge")) & (F.col(ident) <= F.col("_last")))
-    return out.where(inside).drop("_d", "edge", "_last")
+    last = smallest_edge(tied, by, "_id", edge.select(*by, "need")).withColumnRenamed("edge", "_last")
+    last = cut(edge.join(last, by).select(*by, "edge", "_last", (F.col("need") - F.col("below")).alias("_left")))
+    out = far.join(last, by)
+    inside = (F.col("_d") < F.col("edge")) | ((F.col("_d") == F.col("edge")) & (F.col(ident) < F.col("_last")))
+    border = out.where((F.col("_d") == F.col("edge")) & (F.col(ident) == F.col("_last")))
+    border = border.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("x", "y", "z"))).where(F.col("_r") <= F.col("_left")).drop("_r")
+    return out.where(inside).unionByName(border).drop("_d", "edge", "_last", "_left")

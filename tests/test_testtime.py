@@ -94,6 +94,18 @@ def test_sphere_crop(spark, take):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("most", [5, 12, 13, 30])
+def test_sphere_crop_with_repeated_ids(spark, most):
+    r = random.Random(5)
+    rows = [("a", i // 9, float(r.randrange(3)), float(r.randrange(3)), 0.0) for i in range(27)] + [("b", 1, 1.0, 1.0, 1.0)] * 40
+    pts = spark.createDataFrame(rows, "scene string, point_id long, x double, y double, z double")
+    want = []
+    for x in testtime.seeded_center(pts, ["scene"], "crop").collect():
+        own = sorted((sum((a - b) ** 2 for a, b in zip(p[2:], (x.cx, x.cy, x.cz))), *p[1:]) for p in rows if p[0] == x.scene)
+        want += [(x.scene, *p[1:]) for p in own[:most]]
+    assert sorted(map(tuple, testtime.sphere_crop(pts, ["scene"], point_max=most).collect())) == sorted(want)
+
+
 def test_center_shift(spark):
     pts = spark.createDataFrame([(0, 1, 2.0, 4.0, 5.0), (0, 2, 4.0, 8.0, 7.0)], "scene int, point_id long, x double, y double, z double")
     got = {x.point_id: (x.x, x.y, x.z) for x in testtime.center_shift(pts, ["scene"]).collect()}
