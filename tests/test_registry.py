@@ -33,3 +33,12 @@ def test_matches_oracle(spark, sf_dir, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     message, good = compare(spark, con, name, sf_dir)
     assert good, message
+
+
+def test_supports_without_segments_are_counted(spark, sf_dir, tmp_path):
+    """With 451 points the last cluster has a single vertex and its support no segment."""
+    duckdb.sql(f"COPY (SELECT * FROM '{sf_dir}/embeddings.parquet' WHERE vec_id < 451) TO '{tmp_path}/embeddings.parquet'")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    message, good = compare(spark, con, "val_supports", str(tmp_path))
+    assert good, message
