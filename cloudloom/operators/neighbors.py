@@ -31,6 +31,7 @@ from cloudloom.session import cut
 _FINEST = 30  # bits per axis of the finest cell index
 _SLACK = 1.0 + 1e-9  # keeps box bounds on the safe side of float rounding
 _QUERIES_PER_TASK = 2048
+_GROUPS_PER_TASK = 2048
 
 
 def _axis(prefix: str, dims: int) -> list[str]:
@@ -295,20 +296,20 @@ def _first_frontier(s: _Search, q: DataFrame, pyr: DataFrame, extent: float, rma
     for i in range(dims):
         best = best.withColumn(f"_c{i}", F.expr(f"shiftright(_g{i}, _glvl - level)"))
 
-    around = best
-    for i in range(dims):
-        around = around.withColumn(f"_c{i}", F.explode(F.expr(f"sequence(_c{i} - 2, _c{i} + 2)")))
-    near = _box_bound(_gap, ("_qlo", "_qhi"), ("_lo", "_hi"), dims, s.metric) <= F.col("_tau")
+    # a row becomes up to 125 cells a level, so tasks are cut by rows and not by bytes
+    tasks = max(1, math.ceil(best.count() / _GROUPS_PER_TASK))
+    around = best.repartition(tasks, *gkey).withColumn("_at", F.col("level"))
     if uneven:
         # a neighbouring region may be one leaf coarser than this level: look at the ancestors too
         around = around.withColumn("_at", F.explode(F.sequence(F.least(F.lit(base_level), F.col("level")), F.col("level"))))
-        for i in range(dims):
-            around = around.withColumn(f"_c{i}", F.expr(f"shiftright(_c{i}, level - _at)"))
-        around = around.withColumn("_top", F.col("_at") < F.col("level")).drop("level").withColumnRenamed("_at", "level")
-        around = around.dropDuplicates([*gkey, "level", *cells])
+    for i in range(dims):
+        around = around.withColumn(f"_c{i}", F.explode(F.expr(
+            f"sequence(shiftright(greatest(_c{i} - 2, 0L), level - _at), shiftright(least(_c{i} + 2, shiftleft(1L, level) - 1), level - _at))"
+        )))
+    around = around.withColumn("_top", F.col("_at") < F.col("level")).drop("level").withColumnRenamed("_at", "level")
+    near = _box_bound(_gap, ("_qlo", "_qhi"), ("_lo", "_hi"), dims, s.metric) <= F.col("_tau")
     frontier = s.parent_join(around, pyr).where((s.eligible() > 0) & near)
-    if uneven:
-        frontier = frontier.where(F.col("_is_leaf") | ~F.col("_top")).drop("_top")
+    frontier = frontier.where(F.col("_is_leaf") | ~F.col("_top")).drop("_top")
     return groups, frontier.drop("_lo", "_hi", "_hist", *[f"_{e}{i}" for e in ("lo", "hi") for i in range(dims)])
 
 

@@ -78,3 +78,22 @@ def test_two_tables_and_empty_base(spark):
     d = ((ask[list("xyz")].to_numpy()[:, None] - base[list("xyz")].to_numpy()[None]) ** 2).sum(axis=2)
     assert got == dict(enumerate(d.argmin(axis=1)))
     assert k_nearest(q, b.limit(0), 1).count() == 0
+
+
+def test_first_frontier_lists_cells_once_inside_the_grid_and_in_tasks_cut_by_groups(spark, monkeypatch):
+    df = spark.createDataFrame(cloud(1200, 4))
+    seen, join = [], neighbors._Search.parent_join
+
+    def watch(self, rows, pyr):
+        cells = rows.select(*[c for c in rows.columns if c.startswith("_g") or c in ("scene_id", "_qlabel", "level", *self.cells)])
+        seen.append((rows.rdd.getNumPartitions(), cells.collect(), self.cells))
+        return join(self, rows, pyr)
+
+    monkeypatch.setattr(neighbors, "_GROUPS_PER_TASK", 8, raising=False)
+    monkeypatch.setattr(neighbors._Search, "parent_join", watch)
+    k_nearest(df, df, 1, by=["scene_id"], differ="segment").collect()
+    (tasks, rows, cells), = seen
+    assert len(rows) == len(set(rows))
+    assert all(0 <= r[c] < 2 ** r["level"] for r in rows for c in cells)
+    groups = {tuple(r[c] for c in r.asDict() if c not in ("level", *cells)) for r in rows}
+    assert len(groups) > 16 and tasks == -(-len(groups) // 8)
