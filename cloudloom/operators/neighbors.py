@@ -194,8 +194,9 @@ def k_nearest(
         return query.sparkSession.createDataFrame([], out_schema)
     origin = [float(stat[f"lo{i}"]) for i in range(dims)]
     extent = max(float(stat[f"hi{i}"]) - origin[i] for i in range(dims)) * _SLACK or 1.0
-    # scans cover surfaces: pick the level by how many cells are really occupied
-    lowest = max(0, min(_FINEST - 5, round(math.log(max(total / size, 1.0), 2**dims)) - 1))
+    # scans cover surfaces: pick the level by how many cells are really occupied; each group of ``by`` has a grid of its own
+    grids = max(int(b.agg(F.approx_count_distinct(F.xxhash64(*by))).first()[0]), 1) if by else 1
+    lowest = max(0, min(_FINEST - 5, round(math.log(max(total / grids / size, 1.0), 2**dims)) - 1))
     b = s.locate(b, origin, extent, lowest)
     levels = range(lowest, lowest + 5)
     occupied = b.agg(*[

@@ -97,3 +97,17 @@ def test_first_frontier_lists_cells_once_inside_the_grid_and_in_tasks_cut_by_gro
     assert all(0 <= r[c] < 2 ** r["level"] for r in rows for c in cells)
     groups = {tuple(r[c] for c in r.asDict() if c not in ("level", *cells)) for r in rows}
     assert len(groups) > 16 and tasks == -(-len(groups) // 8)
+
+
+def test_small_groups_are_not_cut_finer_because_there_are_many(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame(rng.normal(0, 1, (10000, 3)), columns=list("xyz")).assign(point_id=range(10000))
+    pdf["cluster_id"] = pdf["point_id"] // 25
+    seen, first = [], neighbors._first_frontier
+    monkeypatch.setattr(neighbors, "_first_frontier", lambda *a: seen.append(a[5]) or first(*a))
+    df = spark.createDataFrame(pdf)
+    got = {r["point_id"]: r["nbr_id"] for r in k_nearest(df, df, 1, by=["cluster_id"], exclude_self=True).collect()}
+    assert seen == [0]
+    p = pdf[list("xyz")].to_numpy().reshape(400, 25, 3)
+    d = ((p[:, :, None] - p[:, None]) ** 2).sum(axis=3) + np.where(np.eye(25), np.inf, 0.0)
+    assert got == dict(enumerate((d.argmin(axis=2) + 25 * np.arange(400)[:, None]).ravel()))
