@@ -41,54 +41,77 @@ class ClusterConfig:
         return math.cos(math.radians(self.merge_angle_deg))
 
 
+_CELLS = ["_c0", "_c1", "_c2"]
+
+
+def _beside(points: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
+    """The points that may lie within eps of an asked one; blocks of 4 x 4 x 4 cells are over twice eps wide."""
+    block = [f"_b{i}" for i in range(3)]
+    blocks = {b: F.shiftright(c, 2) for b, c in zip(block, _CELLS)}
+    near = asked.select(*by, *[blocks[b].alias(b) for b in block]).distinct()
+    for b in block:
+        near = near.withColumn(b, F.explode(F.sequence(F.col(b) - 1, F.col(b) + 1)))
+    return points.withColumns(blocks).join(near.distinct(), [*by, *block], "left_semi").drop(*block)
+
+
 def dbscan(points: DataFrame, eps: float, min_samples: int, by: Sequence[str], ident: str = "center_id") -> DataFrame:
     """Density clusters; ``cluster`` is the smallest core id, NULL for noise.
 
-    Two points of one cell of edge eps/sqrt(3) are always within eps, so the
-    core points of a cell are linked by a star and only one link per pair of
-    neighbouring cells is needed.  Neighbour lists are never materialised.
+    Two points of one cell of edge eps/sqrt(3) are always within eps, so all
+    points of a cell that holds ``min_samples`` are core and only the others are
+    searched.  The core points of a cell are linked by a star, and one link per
+    pair of neighbouring cells is needed at most: first those that the boxes or
+    the cells' smallest ids show, then a search between what these leave apart.
+    Neighbour lists are never materialised.
     """
-    by = list(by)
-    pts = points.select(*by, ident, "x", "y", "z")
-    near = k_nearest(pts, pts, min_samples - 1, by=by, query_id=ident, base_id=ident, exclude_self=True, rmax=eps)
-    core_ids = near.where(F.col("rank") == min_samples - 1).select(*by, ident)
-    cells = ["_c0", "_c1", "_c2"]
+    by, cells = list(by), _CELLS
     side = eps / math.sqrt(3.0) * (1 - 1e-9)
-    core = pts.join(core_ids, [*by, ident])
-    for c, a in zip(cells, "xyz"):
-        core = core.withColumn(c, F.floor(F.col(a) / F.lit(side)))
-    core = cut(core)
+    pts = points.select(*by, ident, "x", "y", "z")
+    pts = cut(pts.withColumns({c: F.floor(F.col(a) / F.lit(side)) for c, a in zip(cells, "xyz")}))
+    crowd = cut(pts.groupBy(*by, *cells).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_samples).drop("_n"))
+    lone = cut(pts.join(crowd, [*by, *cells], "left_anti"))
+    others = max(min_samples - 1, 1)
+    near = k_nearest(lone, _beside(pts, lone, by), others, by=by, query_id=ident, base_id=ident, exclude_self=True, rmax=eps)
+    core_ids = cut(near.where(F.col("rank") == others).select(*by, ident))
+    core = cut(pts.join(crowd, [*by, *cells], "left_semi").unionByName(lone.join(core_ids, [*by, ident], "left_semi")))
     box = core.groupBy(*by, *cells).agg(
-        F.min(ident).alias("node"), *[F.min(a).alias(f"_lo{a}") for a in "xyz"], *[F.max(a).alias(f"_hi{a}") for a in "xyz"]
+        F.min(F.struct(ident, *"xyz")).alias("_first"), *[F.min(a).alias(f"_lo{a}") for a in "xyz"], *[F.max(a).alias(f"_hi{a}") for a in "xyz"]
     )
-    box = cut(box)
-    other = box.withColumnsRenamed({c: f"{c}o" for c in cells} | {"node": "dst"} | {f"_{e}{a}": f"_{e}{a}o" for e in ("lo", "hi") for a in "xyz"})
+    box = cut(box.select(*by, *cells, F.col(f"_first.{ident}").alias("node"), *[F.col(f"_first.{a}").alias(f"_p{a}") for a in "xyz"], *[f"_{e}{a}" for e in ("lo", "hi") for a in "xyz"]))
+    sides = [f"_{e}{a}" for e in ("lo", "hi", "p") for a in "xyz"]
+    other = box.withColumnsRenamed({c: f"{c}o" for c in cells} | {"node": "dst"} | {c: f"{c}o" for c in sides})
     around = box
     for c in cells:
         around = around.withColumn(f"{c}o", F.explode(F.sequence(F.col(c) - 2, F.col(c) + 2)))
     pair = around.join(other, [*by, *[f"{c}o" for c in cells]]).where("node < dst")
     gap = [F.greatest(F.col(f"_lo{a}") - F.col(f"_hi{a}o"), F.col(f"_lo{a}o") - F.col(f"_hi{a}"), F.lit(0.0)) for a in "xyz"]
     far = [F.greatest(F.col(f"_hi{a}o") - F.col(f"_lo{a}"), F.col(f"_hi{a}") - F.col(f"_lo{a}o")) for a in "xyz"]
-    pair = pair.select(*by, *cells, *[f"{c}o" for c in cells], "node", "dst", g.norm(tuple(gap)).alias("_near"), g.norm(tuple(far)).alias("_far"))
-    pair = cut(pair.where(F.col("_near") <= eps))
-    sure = pair.where(F.col("_far") <= eps).select(*by, F.col("node").alias("src"), "dst")
-    # undecided cell pairs: does any core point of one find a core point of the other within eps?
-    link = pair.where(F.col("_far") > eps)
-    ask = link.join(core, [*by, *cells]).select(
-        *by, F.col("dst").alias("_target"), F.struct(F.col("node"), F.col(ident)).alias("_q"), "node", "x", "y", "z"
-    ).withColumn("_qid", F.xxhash64("_q"))
-    offer = link.select(*by, "dst", *[F.col(f"{c}o").alias(c) for c in cells]).distinct().join(core, [*by, *cells])
-    offer = offer.select(*by, F.col("dst").alias("_target"), ident, "x", "y", "z")
-    edges = sure
+    step = tuple(F.col(f"_p{a}") - F.col(f"_p{a}o") for a in "xyz")
+    linked = (g.norm(tuple(far)) <= eps) | (g.dot(step, step) <= eps * eps)
+    pair = pair.where(g.norm(tuple(gap)) <= eps).withColumn("_linked", linked).drop(*[f"_p{a}{t}" for a in "xyz" for t in ("", "o")])
+    pair = cut(pair)
+    comp = cut(components(box.select(*by, "node"), pair.where("_linked").select(*by, F.col("node").alias("src"), "dst"), by))
+    # cells still apart: does any core point of one find a core point of the other within eps?
+    ends = [comp.select(*by, F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("node", "_ci"), ("dst", "_cj"))]
+    link = cut(pair.where("NOT _linked").join(ends[0], [*by, "node"]).join(ends[1], [*by, "dst"]).where("_ci <> _cj"))
     if not link.isEmpty():
-        hit = k_nearest(ask, offer, 1, by=[*by, "_target"], query_id="_qid", base_id=ident, rmax=eps, keep=["node"])
-        edges = sure.unionByName(hit.select(*by, F.col("node").alias("src"), F.col("_target").alias("dst")).distinct())
-    comp = components(box.select(*by, "node"), edges, by)
-    core_lab = core.join(box.select(*by, *cells, "node"), [*by, *cells]).join(comp, [*by, "node"]).select(*by, ident, "x", "y", "z", F.col("component").alias("cluster"))
+        slack = eps * (1 + 1e-9)
+
+        def reaching(rows: DataFrame, t: str) -> DataFrame:
+            """Rows whose point lies within eps of the pair's other box."""
+            return rows.where(g.norm(tuple(F.greatest(F.col(f"_lo{a}{t}") - F.col(a), F.col(a) - F.col(f"_hi{a}{t}"), F.lit(0.0)) for a in "xyz")) <= slack)
+
+        ask = reaching(link.join(core, [*by, *cells]), "o").select(*by, F.col("dst").alias("_target"), ident, "x", "y", "z", "_ci", "_cj")
+        offer = link.drop(*cells).withColumnsRenamed({f"{c}o": c for c in cells}).join(core, [*by, *cells])
+        offer = reaching(offer, "").select(*by, F.col("dst").alias("_target"), ident, "x", "y", "z").distinct()
+        hit = k_nearest(ask, offer, 1, by=[*by, "_target"], query_id=ident, base_id=ident, rmax=eps, keep=["_ci", "_cj"])
+        whole = components(comp.select(*by, F.col("component").alias("node")).distinct(), hit.select(*by, F.col("_ci").alias("src"), F.col("_cj").alias("dst")).distinct(), by)
+        comp = comp.join(whole.select(*by, F.col("node").alias("component"), F.col("component").alias("_to")), [*by, "component"]).select(*by, "node", F.col("_to").alias("component"))
+    core_lab = core.join(box.select(*by, *cells, "node"), [*by, *cells]).join(comp, [*by, "node"]).select(*by, ident, "x", "y", "z", *cells, F.col("component").alias("cluster"))
     core_lab = cut(core_lab)
     # a border point has fewer than min_samples points in reach, so this lists all its core neighbours
-    rest = pts.join(core_ids, [*by, ident], "left_anti")
-    reach = k_nearest(rest, core_lab, max(min_samples - 1, 1), by=by, query_id=ident, base_id=ident, rmax=eps, carry=["cluster"])
+    rest = cut(lone.join(core_ids, [*by, ident], "left_anti"))
+    reach = k_nearest(rest, _beside(core_lab, rest, by), others, by=by, query_id=ident, base_id=ident, rmax=eps, carry=["cluster"])
     border = reach.groupBy(*by, ident).agg(F.min("nbr_cluster").alias("cluster"))
     labels = core_lab.select(*by, ident, "cluster").unionByName(border)
     return points.join(labels, [*by, ident], "left")
