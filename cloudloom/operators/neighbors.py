@@ -32,6 +32,7 @@ _FINEST = 30  # bits per axis of the finest cell index
 _SLACK = 1.0 + 1e-9  # keeps box bounds on the safe side of float rounding
 _QUERIES_PER_TASK = 2048
 _GROUPS_PER_TASK = 2048
+_OFFERS_PER_TASK = 1_000_000
 
 
 def _axis(prefix: str, dims: int) -> list[str]:
@@ -228,7 +229,12 @@ def k_nearest(
     share = groups.groupBy(*unit).agg(F.ceil(F.sum("_nq") / F.lit(_QUERIES_PER_TASK)).cast("int").alias("_parts"))
     q = q.join(share, unit).withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
     pairs = pairs.join(share, unit).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    offer = pairs.join(b, s.leaf)
+    # a pair of some 20 bytes becomes all points of its leaf, so these tasks too are cut by rows and not by bytes
+    pairs = cut(pairs)
+    tasks = max(1, math.ceil(pairs.count() * size / _OFFERS_PER_TASK))
+    at = s.leaf if uneven else [*by, *s.cells]  # a level that all share is a constant, and Spark would shuffle again without it
+    pairs, b = pairs.select(*unit, "_part", *[c for c in at if c not in by]), b.select(*at, "_id", *_axis("_p", dims), *(["_label"] if differ else []), *extra)
+    offer = pairs.repartition(tasks, *at).join(b.repartition(tasks, *at).hint("merge"), at)
     return _ranked(q, offer, by, [*unit, "_part"], dims, bool(differ), keep, extra).mapInArrow(rank, out_schema)
 
 

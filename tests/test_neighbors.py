@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cloudloom.operators import neighbors
 from cloudloom.operators.neighbors import k_nearest
@@ -111,3 +112,22 @@ def test_small_groups_are_not_cut_finer_because_there_are_many(spark, monkeypatc
     p = pdf[list("xyz")].to_numpy().reshape(400, 25, 3)
     d = ((p[:, :, None] - p[:, None]) ** 2).sum(axis=3) + np.where(np.eye(25), np.inf, 0.0)
     assert got == dict(enumerate((d.argmin(axis=2) + 25 * np.arange(400)[:, None]).ravel()))
+
+
+def test_candidates_are_joined_in_tasks_cut_by_rows(spark, monkeypatch):
+    seen, ranked = [], neighbors._ranked
+
+    def kept(q, offer, *args):
+        seen.append(offer)
+        return ranked(q, offer, *args)
+
+    monkeypatch.setattr(neighbors, "_ranked", kept)
+    monkeypatch.setattr(neighbors, "_OFFERS_PER_TASK", 4000, raising=False)
+    xyz = np.random.default_rng(5).uniform(0, 1, (3000, 3))
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xyz)], "point_id long, x double, y double, z double")
+    got = {r["point_id"]: r["nbr_id"] for r in k_nearest(points, points, 1, exclude_self=True).collect()}
+    d = ((xyz[:, None] - xyz[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    assert [got[i] for i in range(len(xyz))] == d.argmin(1).tolist()
+    rows = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(rows) > 40_000 and max(rows) < sum(rows) / 4
