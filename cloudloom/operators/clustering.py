@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,49 +41,85 @@ class ClusterConfig:
         return math.cos(math.radians(self.merge_angle_deg))
 
 
-_CELLS = ["_c0", "_c1", "_c2"]
+_CELLS, _BLOCKS = ["_c0", "_c1", "_c2"], ["_b0", "_b1", "_b2"]
+_POINTS_PER_PART = 2048  # points of one cell that one task compares
 
 
-def _beside(points: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
-    """The points that may lie within eps of an asked one; blocks of 4 x 4 x 4 cells are over twice eps wide."""
-    block = [f"_b{i}" for i in range(3)]
-    blocks = {b: F.shiftright(c, 2) for b, c in zip(block, _CELLS)}
-    near = asked.select(*by, *[blocks[b].alias(b) for b in block]).distinct()
-    for b in block:
-        near = near.withColumn(b, F.explode(F.sequence(F.col(b) - 1, F.col(b) + 1)))
-    return points.withColumns(blocks).join(near.distinct(), [*by, *block], "left_semi").drop(*block)
+def _in_block(rows: DataFrame, cells: Sequence[str] = _CELLS) -> DataFrame:
+    """Blocks are 4 x 4 x 4 cells, over twice eps wide, so what lies within eps lies in eight of them at most."""
+    return rows.withColumns({b: F.shiftright(c, 2) for b, c in zip(_BLOCKS, cells)})
+
+
+def _to_blocks(rows: DataFrame, first: Sequence[Column], last: Sequence[Column]) -> DataFrame:
+    """A row for every block from cell ``first`` to cell ``last``."""
+    for b, lo, hi in zip(_BLOCKS, first, last):
+        rows = rows.withColumn(b, F.explode(F.sequence(F.shiftright(lo, 2), F.shiftright(hi, 2))))
+    return rows
+
+
+def _square(v: Sequence[Column]) -> Column:
+    return g.dot(tuple(v), tuple(v))
+
+
+def _lone_hits(lone: DataFrame, crowd: DataFrame, dense: DataFrame, eps: float, side: float, least: int, by: list[str], ident: str) -> DataFrame:
+    """What lies within eps of the points of cells that are not crowded: by..., ident, cells, ``_nbr``, ``_k``.
+
+    One row a lone neighbour (``_nbr``, the point itself among them) and one a crowded cell with ``_k`` points in reach,
+    so a point has some hundred rows at most.  A cell's box shows whether all or none of its points are in reach; points
+    of a crowded cell are looked at only where neither holds and the others do not make ``least`` yet.
+    """
+    cells, at = _CELLS, [f"_q{a}" for a in "xyz"]
+    asked = lone.select(*by, ident, *[F.col(a).alias(q) for a, q in zip("xyz", at)])
+    reach = eps * (1 + 1e-9)
+    asked = _to_blocks(asked, *[[F.floor((F.col(q) + F.lit(r)) / F.lit(side)) for q in at] for r in (-reach, reach)])
+    single = lone.select(*by, *cells, F.col(ident).alias("_nbr"), F.lit(1).cast("long").alias("_k"), *[F.col(a).alias(f"_{e}{a}") for e in ("lo", "hi") for a in "xyz"])
+    near = asked.join(_in_block(single.unionByName(crowd, allowMissingColumns=True)), [*by, *_BLOCKS])
+    gap = [F.greatest(F.col(f"_lo{a}") - F.col(q), F.col(q) - F.col(f"_hi{a}"), F.lit(0.0)) for a, q in zip("xyz", at)]
+    far = [F.greatest(F.col(f"_hi{a}") - F.col(q), F.col(q) - F.col(f"_lo{a}")) for a, q in zip("xyz", at)]
+    near = cut(near.where(_square(gap) <= eps * eps).select(*by, ident, *at, *cells, "_nbr", "_k", (_square(far) <= eps * eps).alias("_all")))
+    few = near.groupBy(*by, ident).agg(F.coalesce(F.sum(F.when(F.col("_all"), F.col("_k"))), F.lit(0)).alias("_sure")).where(F.col("_sure") < least)
+    # a crowded cell meets a bounded number of lone points; its own points are dealt over parts
+    unsure = near.where("NOT _all").join(few.drop("_sure"), [*by, ident], "left_semi")
+    unsure = unsure.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), _parts("_k") - 1))).drop("_nbr", "_k", "_all")
+    seen = unsure.join(dense, [*by, *cells, "_part"]).where(_square([F.col(a) - F.col(q) for a, q in zip("xyz", at)]) <= eps * eps)
+    seen = seen.groupBy(*by, ident, *cells).agg(F.count("*").alias("_k"))
+    hits = near.where("_all").select(*by, ident, *cells, "_nbr", "_k")
+    return cut(hits.unionByName(seen, allowMissingColumns=True))
+
+
+def _parts(count: str) -> Column:
+    return F.ceil(F.col(count) / F.lit(_POINTS_PER_PART))
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int, by: Sequence[str], ident: str = "center_id") -> DataFrame:
     """Density clusters; ``cluster`` is the smallest core id, NULL for noise.
 
     Two points of one cell of edge eps/sqrt(3) are always within eps, so all
-    points of a cell that holds ``min_samples`` are core and only the others are
-    searched.  The core points of a cell are linked by a star, and one link per
+    points of a cell that holds ``min_samples`` are core and only the others look
+    around, once, at boxes of cells first.  The core points of a cell are linked by a star, and one link per
     pair of neighbouring cells is needed at most: first those that the boxes or
     the cells' smallest ids show, then a search between what these leave apart.
-    Neighbour lists are never materialised.
+    A cell's core points share their cluster, so borders read it off the cells
+    in reach.  Neighbour lists of core points are never materialised.
     """
     by, cells = list(by), _CELLS
     side = eps / math.sqrt(3.0) * (1 - 1e-9)
-    pts = points.select(*by, ident, "x", "y", "z")
+    pts = points.select(*by, ident, *[F.col(a).cast("double").alias(a) for a in "xyz"])
     pts = cut(pts.withColumns({c: F.floor(F.col(a) / F.lit(side)) for c, a in zip(cells, "xyz")}))
-    crowd = cut(pts.groupBy(*by, *cells).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_samples).drop("_n"))
+    extent = [*[F.min(a).alias(f"_lo{a}") for a in "xyz"], *[F.max(a).alias(f"_hi{a}") for a in "xyz"]]
+    crowd = cut(pts.groupBy(*by, *cells).agg(F.count("*").alias("_k"), *extent).where(F.col("_k") >= min_samples))
     lone = cut(pts.join(crowd, [*by, *cells], "left_anti"))
-    others = max(min_samples - 1, 1)
-    near = k_nearest(lone, _beside(pts, lone, by), others, by=by, query_id=ident, base_id=ident, exclude_self=True, rmax=eps)
-    core_ids = cut(near.where(F.col("rank") == others).select(*by, ident))
+    dense = pts.join(crowd.select(*by, *cells, _parts("_k").alias("_part")), [*by, *cells])
+    dense = dense.select(*by, *cells, F.pmod(F.xxhash64(ident), "_part").alias("_part"), "x", "y", "z")
+    hits = _lone_hits(lone, crowd, dense, eps, side, min_samples, by, ident)
+    core_ids = cut(hits.groupBy(*by, ident).agg(F.sum("_k").alias("_k")).where(F.col("_k") >= min_samples).select(*by, ident))
     core = cut(pts.join(crowd, [*by, *cells], "left_semi").unionByName(lone.join(core_ids, [*by, ident], "left_semi")))
-    box = core.groupBy(*by, *cells).agg(
-        F.min(F.struct(ident, *"xyz")).alias("_first"), *[F.min(a).alias(f"_lo{a}") for a in "xyz"], *[F.max(a).alias(f"_hi{a}") for a in "xyz"]
-    )
+    box = core.groupBy(*by, *cells).agg(F.min(F.struct(ident, *"xyz")).alias("_first"), *extent)
     box = cut(box.select(*by, *cells, F.col(f"_first.{ident}").alias("node"), *[F.col(f"_first.{a}").alias(f"_p{a}") for a in "xyz"], *[f"_{e}{a}" for e in ("lo", "hi") for a in "xyz"]))
     sides = [f"_{e}{a}" for e in ("lo", "hi", "p") for a in "xyz"]
     other = box.withColumnsRenamed({c: f"{c}o" for c in cells} | {"node": "dst"} | {c: f"{c}o" for c in sides})
-    around = box
-    for c in cells:
-        around = around.withColumn(f"{c}o", F.explode(F.sequence(F.col(c) - 2, F.col(c) + 2)))
-    pair = around.join(other, [*by, *[f"{c}o" for c in cells]]).where("node < dst")
+    around = _to_blocks(box, [F.col(c) - 2 for c in cells], [F.col(c) + 2 for c in cells])
+    pair = around.join(_in_block(other, [f"{c}o" for c in cells]), [*by, *_BLOCKS]).where("node < dst").drop(*_BLOCKS)
     gap = [F.greatest(F.col(f"_lo{a}") - F.col(f"_hi{a}o"), F.col(f"_lo{a}o") - F.col(f"_hi{a}"), F.lit(0.0)) for a in "xyz"]
     far = [F.greatest(F.col(f"_hi{a}o") - F.col(f"_lo{a}"), F.col(f"_hi{a}") - F.col(f"_lo{a}o")) for a in "xyz"]
     step = tuple(F.col(f"_p{a}") - F.col(f"_p{a}o") for a in "xyz")
@@ -107,14 +143,13 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, by: Sequence[str], i
         hit = k_nearest(ask, offer, 1, by=[*by, "_target"], query_id=ident, base_id=ident, rmax=eps, keep=["_ci", "_cj"])
         whole = components(comp.select(*by, F.col("component").alias("node")).distinct(), hit.select(*by, F.col("_ci").alias("src"), F.col("_cj").alias("dst")).distinct(), by)
         comp = comp.join(whole.select(*by, F.col("node").alias("component"), F.col("component").alias("_to")), [*by, "component"]).select(*by, "node", F.col("_to").alias("component"))
-    core_lab = core.join(box.select(*by, *cells, "node"), [*by, *cells]).join(comp, [*by, "node"]).select(*by, ident, "x", "y", "z", *cells, F.col("component").alias("cluster"))
-    core_lab = cut(core_lab)
-    # a border point has fewer than min_samples points in reach, so this lists all its core neighbours
-    rest = cut(lone.join(core_ids, [*by, ident], "left_anti"))
-    reach = k_nearest(rest, _beside(core_lab, rest, by), others, by=by, query_id=ident, base_id=ident, rmax=eps, carry=["cluster"])
-    border = reach.groupBy(*by, ident).agg(F.min("nbr_cluster").alias("cluster"))
-    labels = core_lab.select(*by, ident, "cluster").unionByName(border)
-    return points.join(labels, [*by, ident], "left")
+    cell = cut(box.select(*by, *cells, "node").join(comp, [*by, "node"]).select(*by, *cells, F.col("component").alias("cluster")))
+    inside = core.join(cell, [*by, *cells]).select(*by, ident, "cluster")
+    # a point that is not core takes the smallest cluster of the crowded cells and lone core points in its reach
+    reach = hits.join(core_ids, [*by, ident], "left_anti")
+    reach = reach.where("_nbr IS NULL").unionByName(reach.join(core_ids.withColumnRenamed(ident, "_nbr"), [*by, "_nbr"], "left_semi").select(*reach.columns))
+    border = reach.join(cell, [*by, *cells]).groupBy(*by, ident).agg(F.min("cluster").alias("cluster"))
+    return points.join(inside.unionByName(border), [*by, ident], "left")
 
 
 def tangent_groups(points: DataFrame, keys: Sequence[str], cos_th: float, order: str = "center_id", out: str = "dir_group") -> DataFrame:

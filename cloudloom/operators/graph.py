@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +23,14 @@ def components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> Da
     node it knows, so a long chain shrinks by a factor per round instead of one
     step.  Both stars are plain aggregations and no neighbour list is collected.
     Only nodes whose edges really change are joined, with the edges of one node
-    dealt over ``SALTS`` tasks; once a component is a star nothing is left to join.
+    dealt over ``SALTS`` tasks.  Before the first round each task replaces its edges, ``EDGES_PER_TASK``
+    at a time, by stars that connect the same nodes; the rounds end when all is stars.
     """
     by = list(by)
     e = edges.select(*by, F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v")
-    e = cut(e.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = _fingerprint(e, by)
-    while seen["n"]:
+    e = e.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    e = cut(e.mapInArrow(_stars(by), e.schema).distinct())
+    while (seen := _shape(e, by))["open"]:
         parts = max(LEAST_TASKS, -(-seen["n"] // EDGES_PER_TASK))
         e = e.coalesce(parts)
         both = e.unionByName(e.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
@@ -42,10 +44,6 @@ def components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> Da
         several = _salted(least.where("m < top").select(*by, "u", "m"))
         small = large.withColumn("_salt", _salt("v")).join(several, [*by, "u", "_salt"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(parts)
         e = cut(small.unionByName(least.select(*by, "u", F.col("m").alias("v"))).distinct().coalesce(parts))
-        now = _fingerprint(e, by)
-        if now == seen:
-            break
-        seen = now
     return _attach(nodes, e.groupBy(*by, F.col("u").alias("node")).agg(F.min("v").alias("component")), by)
 
 
@@ -61,7 +59,40 @@ def _attach(nodes: DataFrame, root: DataFrame, by: list[str]) -> DataFrame:
     return nodes.join(root, [*by, "node"], "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _fingerprint(e: DataFrame, by: Sequence[str]):
-    """Count and two order-free hashes of an edge set: equal iff a round changed nothing."""
-    h = F.xxhash64(*by, "u", "v")
-    return e.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s")).first()
+def _stars(by: Sequence[str]):
+    """Edges of a task -> one edge from each node to the smallest that these edges join it with."""
+
+    def contract(table: pa.Table) -> pa.RecordBatch:
+        part = list(zip(*(table.column(c).to_pylist() for c in by))) if by else [()] * table.num_rows
+        root: dict[tuple, int] = {}  # (group, node) -> a smaller node, or itself
+        for key, u, v in zip(part, table.column("u").to_pylist(), table.column("v").to_pylist()):
+            low, high = sorted((find(root, key, u), find(root, key, v)))
+            root[key, high] = low
+        rows = [(*key, node, low) for key, node in root if (low := find(root, key, node)) != node]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(table.schema), table.schema)], schema=table.schema)
+
+    def find(root: dict[tuple, int], key: tuple, node: int) -> int:
+        while (up := root.setdefault((key, node), node)) != node:
+            root[key, node] = root[key, up]
+            node = up
+        return node
+
+    def run(batches):
+        waiting, rows = [], 0
+        for batch in batches:
+            waiting, rows = [*waiting, batch], rows + batch.num_rows
+            if rows >= EDGES_PER_TASK:
+                yield contract(pa.Table.from_batches(waiting))
+                waiting, rows = [], 0
+        if rows:
+            yield contract(pa.Table.from_batches(waiting))
+
+    return run
+
+
+def _shape(e: DataFrame, by: Sequence[str]):
+    """Number of edges, and whether any node but the end of stars is left: one with two edges down, or one down and one up."""
+    ends = e.select(*by, F.col("u").alias("node"), F.lit(1).alias("down")).unionByName(e.select(*by, F.col("v").alias("node"), F.lit(0).alias("down")))
+    at = ends.groupBy(*by, "node").agg(F.sum("down").alias("down"), F.count("*").alias("all"))
+    between = (F.col("down") > 1) | ((F.col("down") == 1) & (F.col("all") > 1))
+    return at.agg(F.sum("down").alias("n"), F.coalesce(F.max(between), F.lit(False)).alias("open")).first()
