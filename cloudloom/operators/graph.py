@@ -28,7 +28,7 @@ def components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> Da
     """
     by = list(by)
     e = edges.select(*by, F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v")
-    e = e.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    e = e.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     e = cut(e.mapInArrow(_stars(by), e.schema).distinct())
     while (seen := _shape(e, by))["open"]:
         parts = max(LEAST_TASKS, -(-seen["n"] // EDGES_PER_TASK))
@@ -92,7 +92,7 @@ def _stars(by: Sequence[str]):
 
 def _shape(e: DataFrame, by: Sequence[str]):
     """Number of edges, and whether any node but the end of stars is left: one with two edges down, or one down and one up."""
-    ends = e.select(*by, F.col("u").alias("node"), F.lit(1).alias("down")).unionByName(e.select(*by, F.col("v").alias("node"), F.lit(0).alias("down")))
-    at = ends.groupBy(*by, "node").agg(F.sum("down").alias("down"), F.count("*").alias("all"))
+    ends = [F.struct(F.col(c).alias("node"), F.lit(down).alias("down")) for c, down in (("u", 1), ("v", 0))]
+    at = e.select(*by, F.explode(F.array(*ends)).alias("_end")).select(*by, "_end.*").groupBy(*by, "node").agg(F.sum("down").alias("down"), F.count("*").alias("all"))
     between = (F.col("down") > 1) | ((F.col("down") == 1) & (F.col("all") > 1))
     return at.agg(F.sum("down").alias("n"), F.coalesce(F.max(between), F.lit(False)).alias("open")).first()
